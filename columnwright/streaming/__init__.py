@@ -1,0 +1,5 @@
+"""No stream operator is built: every input of this library is a bounded table.
+
+Row-wise pieces (``columnwright.functions`` and specs without statistics) are plain
+``Column`` expressions, so they also work on a streaming DataFrame as they are.
+"""
