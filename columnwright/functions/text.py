@@ -8,12 +8,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+def strip(column: Column) -> Column:
+    """Without white space (of any kind) at both ends."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+
+
 def normalise_label(column: Column) -> Column:
     return F.lower(column)
 
 
 def normalise_reply(column: Column) -> Column:
-    return F.upper(F.trim(column))
+    return F.upper(strip(column))
 
 
 def decode_binary_columns(df: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def label_first_occurrence(reply: Column, classes: Sequence[str]) -> Column:
 def label_marker(reply: Column, begin: str, end: str) -> Column:
     """Trimmed lower-case text between the first pair of markers; NULL without one."""
     pattern = f"(?s){re.escape(begin)}(.*?){re.escape(end)}"
-    return F.nullif(F.lower(F.trim(F.regexp_extract(reply, pattern, 1))), F.lit(""))
+    return F.nullif(F.lower(strip(F.regexp_extract(reply, pattern, 1))), F.lit(""))
 
 
 def render_template(template: str, columns: Mapping[str, Column]) -> Column:

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from columnwright.functions.text import strip
+
 NUMERIC = {"numeric", "real", "integer"}
 
 
@@ -48,7 +50,7 @@ def _field(line: str) -> T.StructField:
 
 def is_data(line: Column) -> Column:
     """Not blank, not a comment, not a declaration."""
-    return F.trim(line).rlike(r"^[^%@]")
+    return strip(line).rlike(r"^[^%@]")
 
 
 def read_arff(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -64,7 +66,7 @@ def read_arff(spark: SparkSession, path: str, schema: T.StructType | None = None
         "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
     }
     parsed = _lines(spark, path).where(is_data(F.col("value"))).select(
-        F.from_csv(F.trim("value"), safe.simpleString()[7:-1].replace(":", " "), options).alias("r")
+        F.from_csv(strip(F.col("value")), safe.simpleString()[7:-1].replace(":", " "), options).alias("r")
     )
     cells = []
     for i, f in enumerate(schema.fields):
@@ -82,8 +84,8 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("at"),
         ).alias("line_no"),
     )
-    return marked.where(F.startswith(F.trim("value"), F.lit("%"))).select(
-        "path", "line_no", F.trim(F.regexp_replace("value", "^%+", "")).alias("comment")
+    return marked.where(F.startswith(strip(F.col("value")), F.lit("%"))).select(
+        "path", "line_no", strip(F.regexp_replace("value", "^%+", "")).alias("comment")
     )
 
 
