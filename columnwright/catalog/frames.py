@@ -141,7 +141,11 @@ def edges_sql(source: str, keys: Sequence[str], numbers: Sequence[str], impute:
     steps = ", ".join(str(i / BINS) for i in range(1, BINS))
     read = lambda c: f"coalesce({c}, 0)" if impute else c
     picks = ", ".join(f"quantile_disc({read(c)}, [{steps}]) AS e_{c}" for c in numbers) or "1 AS e_none"
-    sample = f"SELECT * FROM ({source}) ORDER BY {hash_sql(keys, EDGE_SEED)} LIMIT {EDGE_ROWS}"
+    digits = f"('0x' || substr({hash_sql(keys, EDGE_SEED)}, 1, 8))::BIGINT"
+    sample = (
+        f"SELECT * FROM (SELECT *, count(*) OVER () AS n_edge FROM ({source})) "
+        f"WHERE n_edge <= {EDGE_ROWS} OR {digits} < {EDGE_ROWS * 16**8} // n_edge"
+    )
     return f"SELECT {picks} FROM ({sample})"
 
 

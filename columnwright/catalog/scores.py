@@ -100,8 +100,8 @@ STEPS = {
     f"(SELECT round(avg(auc), 6) FROM ({cv_sql(*STEPS[s])})) AS score_{s}" for s in STEPS))
 def round_compare(spark, sf):
     df = stored_quality(spark, sf)
-    train = splits.split_stratified(df, KEYS, LABEL, name="__test").where(~F.col("__test")).drop("__test")
-    weighted = bayes.weigh(splits.kfold(train, KEYS, FOLDS), KEYS, LABEL, "fold", FOLDS, QUALITY_FEATURES)
+    train, _ = splits.training_folds(df, KEYS, LABEL, FOLDS)
+    weighted = bayes.weigh(train, KEYS, LABEL, "fold", FOLDS, QUALITY_FEATURES)
     # A weight depends on its own feature only, so one weighing serves every feature set.
     scores = None
     for step, (numbers, categories) in STEPS.items():

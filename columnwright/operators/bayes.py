@@ -15,10 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from columnwright.functions.binning import edges_crossed
+from columnwright.functions.hashing import row_hash
 from columnwright.functions.missing import finite
 from columnwright.operators.joins import lookup_join
 from columnwright.operators.metrics import NARROW_LEVELS, auc
-from columnwright.operators.splits import kfold, split_stratified, subsample_cap
+from columnwright.operators.splits import kfold, split_stratified, training_folds
 from columnwright.storage import store
 
 BINS = 8
@@ -38,6 +39,18 @@ def _reading(name: str, impute: bool) -> Column:
     return F.coalesce(column, F.lit(0.0)) if impute else column
 
 
+def edge_sample(
+    df: DataFrame, keys: Sequence[str], rows: int | None = EDGE_ROWS, n: int | None = None
+) -> DataFrame:
+    """About ``rows`` of the ``n`` rows, those with the lowest hashes; all of a smaller table."""
+    if rows is None:
+        return df
+    n = df.count() if n is None else n
+    if n <= rows:
+        return df
+    return df.where(F.substring(row_hash(keys, EDGE_SEED), 1, 8) < f"{rows * 16**8 // n:08x}")
+
+
 def numeric_edges(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,12 +58,13 @@ def numeric_edges(
     bins: int = BINS,
     impute: bool = True,
     sample_rows: int | None = EDGE_ROWS,
+    n: int | None = None,
 ) -> dict[str, list[float]]:
-    """Inner bin edges per column: discrete quantiles of a hash sample, at most
+    """Inner bin edges per column: discrete quantiles of a hash sample of about
     ``sample_rows`` rows. Labels play no part in them; counts use every row."""
     if not columns:
         return {}
-    sample = subsample_cap(df, keys, sample_rows, EDGE_SEED)
+    sample = edge_sample(df, keys, sample_rows, n)
     steps = ", ".join(f"{i / bins}D" for i in range(1, bins))
     read = sample.select(*[_reading(c, impute).alias(f"c{i}") for i, c in enumerate(columns)])
     found = read.agg(
@@ -89,24 +103,26 @@ def weigh(
     impute: bool = True,
     bins: int = BINS,
     edges: dict[str, list[float]] | None = None,
-    keep: Sequence[str] = (),
+    n: int | None = None,
 ) -> Weighted:
     """Attach each row's weights under the model of its own fold.
 
     Folds are 0..k-1. Rows with a NULL fold only train. The label is 0/1. A value that
-    the training rows of a fold do not hold weighs nothing.
+    the training rows of a fold do not hold weighs nothing. ``n`` is the number of rows,
+    if it is known.
     """
     numbers = _numbers(df, features)
     if edges is None:
-        edges = numeric_edges(df, keys, numbers, bins, impute)
+        edges = numeric_edges(df, keys, numbers, bins, impute, n=n)
     codes = {f: f"v{i}" for i, f in enumerate(features)}
     coded = df.where(F.col(label).isNotNull()).select(
-        *dict.fromkeys([*keys, *keep]),
+        *keys,
         F.col(label).cast("int").alias(label),
         F.col(fold).cast("int").alias(fold),
         *[
-            (edges_crossed(_reading(f, impute), edges[f]) if f in edges else F.col(f)).cast("string")
-            .alias(codes[f])
+            (
+                edges_crossed(_reading(f, impute), edges[f]) if f in edges else F.col(f).cast("string")
+            ).alias(codes[f])
             for f in features
         ],
     )
@@ -133,8 +149,8 @@ def weigh(
             size = len(edges[f]) + 1
             table = [small.get((code, v), [0] * k) for v in [None, *map(str, range(size))]]
             literal = F.array(*[F.array(*[F.lit(int(x)).cast("bigint") for x in w]) for w in table])
-            spot = F.coalesce(F.col(code).cast("int") + 1, F.lit(0))
-            ready[name] = at_fold(F.get(literal, spot))
+            spot = F.coalesce(F.col(code) + 1, F.lit(0))
+            ready[name] = F.coalesce(at_fold(F.get(literal, spot)), F.lit(0))
         else:
             vocabulary = weights.where(F.col("feature") == code).select(
                 F.col("value").alias(code), F.col("w").alias(f"a_{name}")
@@ -142,8 +158,7 @@ def weigh(
             known = per_feature[code]["size"] if code in per_feature else 0
             out = lookup_join(out, vocabulary, [code], small=known <= SMALL_VOCABULARY)
             ready[name] = F.coalesce(at_fold(F.col(f"a_{name}")), F.lit(0))
-    kept = list(dict.fromkeys([*keys, *keep, label, fold]))
-    out = out.select(*kept, *[c.cast("bigint").alias(n) for n, c in ready.items()])
+    out = out.select(*keys, label, fold, *[c.cast("bigint").alias(n) for n, c in ready.items()])
     rows = max((r["pos"] + r["neg"] for r in per_feature.values()), default=0)
     return Weighted(out, list(keys), label, fold, columns, rows)
 
@@ -156,7 +171,8 @@ def _count_values(
     coded: DataFrame, label: str, fold: str, k: int, codes: dict[str, str]
 ) -> DataFrame:
     """Rows per (feature, value) and class, in all and inside each fold."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in codes.values()])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
+                      for c in codes.values()])
     long = coded.select(F.col(label).alias("y"), F.col(fold).alias("f"), F.inline(pairs))
     # First per fold, so that one task never sees more of a value than its own share.
     by_fold = long.groupBy("feature", "value", "f").agg(
@@ -216,9 +232,8 @@ def cv_auc(
     seed: object = 42,
 ) -> DataFrame:
     """k-fold AUC on the training part of the stratified split; missing numbers count as 0."""
-    train = split_stratified(df, keys, label, test_size, seed, "__test").where(~F.col("__test"))
-    folded = kfold(train.drop("__test"), keys, k, seed)
-    return fold_auc(weigh(folded, keys, label, "fold", k, features))
+    folded, n = training_folds(df, keys, label, k, test_size, seed)
+    return fold_auc(weigh(folded, keys, label, "fold", k, features, n=n))
 
 
 def holdout_auc(

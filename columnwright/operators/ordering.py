@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from copy import copy
 from functools import reduce
 from itertools import accumulate
 
@@ -14,7 +15,10 @@ from columnwright.functions.hashing import row_hash
 from columnwright.functions.missing import finite
 from columnwright.storage import store
 
+# Rows that one task may rank.
 SMALL_ROWS = 1_000_000
+# Hex digits per histogram level, and digits that surely tell rows apart.
+DIGITS, MAX_DIGITS = 3, 30
 
 
 class HashOrder:
@@ -22,28 +26,31 @@ class HashOrder:
 
     Row positions are never attached. A histogram over the first hex digits of the row
     hash (keys are unique, so it is even by construction) tells which prefix holds a
-    wanted position, and only the rows of that prefix are ranked. What comes out are
-    *cuts*: hash values that mark positions. Folds, splits, blocks and samples are then
+    wanted position; a prefix with many rows is counted again by its next digits, and
+    only the rows of the prefixes found in the end are ranked. What comes out are *cuts*:
+    hash values that mark positions. Folds, splits, blocks and samples are then
     comparisons of the row's own hash with a few literals: no shuffle of the table.
     """
 
     def __init__(
-        self,
-        df: DataFrame,
-        keys: Sequence[str],
-        seed: object,
-        stratum: str | None = None,
-        digits: int = 4,
+        self, df: DataFrame, keys: Sequence[str], seed: object, stratum: str | None = None
     ) -> None:
-        self.keys, self.seed, self.stratum, self.digits = list(keys), seed, stratum, digits
+        self.keys, self.seed, self.stratum = list(keys), seed, stratum
         self._rows = df.select(
             row_hash(self.keys, seed).alias("h"),
             (F.lit(None).cast("string") if stratum is None else F.col(stratum)).alias("s"),
-        ).withColumn("p", F.substring("h", 1, digits))
-        found = self._rows.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n")).collect()
-        self._histogram: dict[object, list[tuple[str, int]]] = {}
-        for r in sorted(found, key=lambda r: r["p"]):
-            self._histogram.setdefault(r["s"], []).append((r["p"], r["n"]))
+        )
+        self._histogram = self._count(self._rows, DIGITS)
+
+    @staticmethod
+    def _count(rows: DataFrame, digits: int) -> dict[object, list[tuple[str, int]]]:
+        counted = rows.groupBy("s", F.substring("h", 1, digits).alias("p")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        found: dict[object, list[tuple[str, int]]] = {}
+        for s, p, n in sorted(counted.collect(), key=lambda r: r[1]):
+            found.setdefault(s, []).append((p, n))
+        return found
 
     @property
     def counts(self) -> dict[object, int]:
@@ -58,62 +65,119 @@ class HashOrder:
     def column(self) -> Column:
         return row_hash(self.keys, self.seed)
 
-    def cuts(self, positions: Mapping[object, Sequence[int]]) -> dict[object, list[str]]:
+    def _place(self, stratum: object, position: int) -> tuple[str, int, int] | None:
+        """(prefix, rows with that prefix, rank among them) of a position."""
+        spans = self._histogram.get(stratum, [])
+        ends = list(accumulate(n for _, n in spans))
+        i = bisect_right(ends, position)
+        if i == len(ends):
+            return None
+        prefix, n = spans[i]
+        return prefix, n, position - (ends[i] - n) + 1
+
+    def _within(self, prefixes: Iterable[str]) -> DataFrame:
+        """The rows whose hash starts with one of the prefixes, marked with it as ``p``."""
+        by_length: dict[int, list[str]] = {}
+        for p in sorted(set(prefixes)):
+            by_length.setdefault(len(p), []).append(p)
+        marks = [
+            F.when(F.substring("h", 1, n).isin(ps), F.substring("h", 1, n))
+            for n, ps in sorted(by_length.items())
+        ]
+        return self._rows.withColumn("p", F.coalesce(*marks)).where("p IS NOT NULL")
+
+    def _refine(self, positions: Mapping[object, Sequence[int]], rank_rows: int) -> None:
+        """Split prefixes that hold a wanted position and more rows than one task should rank."""
+        while True:
+            places = [(s, self._place(s, at)) for s, spots in positions.items() for at in spots]
+            big = {(s, p[0]) for s, p in places if p is not None and p[1] > rank_rows}
+            big = {(s, p) for s, p in big if len(p) < MAX_DIGITS}
+            if not big:
+                return
+            digits = min(len(p) for _, p in big)
+            level = {(s, p) for s, p in big if len(p) == digits}
+            finer = self._count(self._within(p for _, p in level), digits + DIGITS)
+            for s, prefix in level:
+                inside = [(p, n) for p, n in finer[s] if p.startswith(prefix)]
+                others = [x for x in self._histogram[s] if x[0] != prefix]
+                self._histogram[s] = sorted(others + inside)
+
+    def cuts(
+        self, positions: Mapping[object, Sequence[int]], rank_rows: int = SMALL_ROWS
+    ) -> dict[object, list[str]]:
         """For each stratum, the hash of the row at each wanted 0-based position.
 
         A position at or past the end gives ``"g"``, which is above every hash.
         """
+        self._refine(positions, rank_rows)
+        places = {s: [self._place(s, at) for at in spots] for s, spots in positions.items()}
         wanted: dict[tuple[object, str], set[int]] = {}
-        places: dict[object, list[tuple[str, int] | None]] = {}
-        for s, spots in positions.items():
-            prefixes = [p for p, _ in self._histogram.get(s, [])]
-            ends = list(accumulate(n for _, n in self._histogram.get(s, [])))
+        for s, spots in places.items():
             for spot in spots:
-                i = bisect_right(ends, spot)
-                if i == len(ends):
-                    places.setdefault(s, []).append(None)
-                    continue
-                rank = spot - (ends[i - 1] if i else 0) + 1
-                places.setdefault(s, []).append((prefixes[i], rank))
-                wanted.setdefault((s, prefixes[i]), set()).add(rank)
+                if spot is not None:
+                    wanted.setdefault((s, spot[0]), set()).add(spot[2])
         values: dict[tuple[object, str, int], str] = {}
         if wanted:
-            ranked = (
-                self._rows.where(F.col("p").isin(sorted({p for _, p in wanted})))
-                .withColumn("r", F.row_number().over(Window.partitionBy("s", "p").orderBy("h")))
-                .where(
-                    reduce(
-                        lambda a, b: a | b,
-                        [
-                            F.col("s").eqNullSafe(F.lit(s)) & (F.col("p") == p)
-                            & F.col("r").isin(sorted(ranks))
-                            for (s, p), ranks in wanted.items()
-                        ],
-                    )
+            rank = F.row_number().over(Window.partitionBy("s", "p").orderBy("h"))
+            ranked = self._within(p for _, p in wanted).withColumn("r", rank).where(
+                reduce(
+                    lambda a, b: a | b,
+                    [
+                        F.col("s").eqNullSafe(F.lit(s)) & (F.col("p") == p)
+                        & F.col("r").isin(sorted(ranks))
+                        for (s, p), ranks in wanted.items()
+                    ],
                 )
             )
             values = {(r["s"], r["p"], r["r"]): r["h"] for r in ranked.collect()}
         return {
-            s: ["g" if place is None else values[(s, *place)] for place in spots]
+            s: ["g" if spot is None else values[(s, spot[0], spot[2])] for spot in spots]
             for s, spots in places.items()
         }
 
+    def head(self, positions: Mapping[object, int], cuts: Mapping[object, Sequence[str]]) -> HashOrder:
+        """The order of the rows before one cut per stratum, all strata together.
+
+        Their histogram follows from this one, without another pass.
+        """
+        out = copy(self)
+        out.stratum = None
+        out._rows = self._rows.where(_count_marks(F.col("h"), F.col("s"), cuts) == 0).withColumn(
+            "s", F.lit(None).cast("string")
+        )
+        merged: dict[str, int] = {}
+        for s, spans in self._histogram.items():
+            left = positions.get(s, 0)
+            for prefix, n in spans:
+                if left <= 0:
+                    break
+                # A refined prefix is folded back, so that strata share their prefixes.
+                short = prefix[:DIGITS]
+                merged[short] = merged.get(short, 0) + min(n, left)
+                left -= n
+        out._histogram = {None: sorted(merged.items())}
+        return out
+
     def segment(self, cuts: Mapping[object, Sequence[str]]) -> Column:
         """How many of the (ascending) cuts lie at or below the row's hash."""
-        h = self.column()
-
-        def count(marks: Sequence[str]) -> Column:
-            if not marks:
-                return F.lit(0)
-            return reduce(lambda a, b: a + b, [(h >= F.lit(m)).cast("int") for m in marks])
-
-        if self.stratum is None:
-            return count(cuts.get(None, []))
-        chain = None
-        for s, marks in cuts.items():
-            same = F.col(self.stratum).eqNullSafe(F.lit(s))
-            chain = F.when(same, count(marks)) if chain is None else chain.when(same, count(marks))
-        return chain if chain is not None else F.lit(0)
+        stratum = F.lit(None).cast("string") if self.stratum is None else F.col(self.stratum)
+        return _count_marks(self.column(), stratum, cuts)
+
+
+def _count_marks(h: Column, stratum: Column, cuts: Mapping[object, Sequence[str]]) -> Column:
+    """Sum of comparisons that all take the same hash, so that it is worked out once per row."""
+    width = max((len(marks) for marks in cuts.values()), default=0)
+    total = F.lit(0)
+    for i in range(width):
+        at = {s: marks[i] if i < len(marks) else "g" for s, marks in cuts.items()}
+        if list(at) == [None]:
+            mark = F.lit(at[None])
+        else:
+            mark = reduce(
+                lambda chain, s: chain.when(stratum.eqNullSafe(F.lit(s)), F.lit(at[s])), at, F
+            ).otherwise(F.lit("g"))
+        total = total + (h >= mark).cast("int")
+    return total
 
 
 def require_unique_keys(df: DataFrame, keys: Sequence[str]) -> None:

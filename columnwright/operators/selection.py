@@ -125,7 +125,7 @@ def score_variants(
     """
     table = weighted.df if rows is None else rows
     pairs = F.array(*[F.struct(F.lit(n).alias("variant"), c.cast("bigint").alias("score")) for n, c in variants])
-    long = table.select(weighted.fold, weighted.label, F.inline(pairs))
+    long = table.select(weighted.fold, weighted.label, F.inline(pairs)).where("score IS NOT NULL")
     return auc(long, weighted.label, "score", [weighted.fold, "variant"], levels=NARROW_LEVELS)
 
 
@@ -254,6 +254,7 @@ def prune_staged(
     start = {s: [f for f in features if f not in useless[s]] for s in splits}
     best_set, best_auc = dict(start), dict.fromkeys(splits, -1.0)
     deadline = time.monotonic() + time_limit_per_split * len(splits)
+    seen: dict[tuple, dict[str, float]] = {}
     for stage in stages:
         rows = swapped.df if stage.rows is None else _cap_per_split(swapped, stage.rows)
         current, misses = dict(best_set), dict.fromkeys(splits, 0)
@@ -261,20 +262,24 @@ def prune_staged(
         while open_splits and time.monotonic() < deadline:
             extra = noise if stage.against_noise else []
             active = {s: [*current[s], *extra] for s in open_splits}
-            variants = importance_variants(swapped, permuted, active, extra)
-            found = {
-                (r["split"], r["variant"]): r["auc"]
-                for r in score_variants(swapped, variants, rows).collect()
-            }
+            # A later stage walks through sets that an earlier one has scored.
+            at = {s: (s, stage.rows, *active[s]) for s in open_splits}
+            fresh = {s: active[s] for s in open_splits if at[s] not in seen}
+            if fresh:
+                variants = importance_variants(swapped, permuted, fresh, extra)
+                seen.update({at[s]: {} for s in fresh})
+                for r in score_variants(swapped, variants, rows).collect():
+                    seen[at[r["split"]]][r["variant"]] = r["auc"] or 0.0
             still_open = []
             for s in open_splits:
-                base = found.get((s, BASE)) or 0.0
-                value = found.get((s, PLAIN if extra else BASE)) or 0.0
+                found = seen[at[s]]
+                base = found.get(BASE, 0.0)
+                value = found.get(PLAIN if extra else BASE, 0.0)
                 if value >= best_auc[s]:
                     best_set[s], best_auc[s], misses[s] = current[s], value, 0
                 else:
                     misses[s] += 1
-                gain = {f: base - (found.get((s, f)) or 0.0) for f in active[s]}
+                gain = {f: base - found.get(f, 0.0) for f in active[s]}
                 droppable = sorted(current[s], key=lambda f: (gain[f], current[s].index(f)))
                 if extra:
                     bar = max(gain[f] for f in noise)

@@ -103,6 +103,34 @@ def split_stratified(
     return df.withColumn(name, order.segment(cuts) == 1)
 
 
+def training_folds(
+    df: DataFrame,
+    keys: Sequence[str],
+    label: str,
+    k: int,
+    test_size: float = 0.2,
+    seed: object = 42,
+    name: str = "fold",
+    keep_holdout: bool = False,
+) -> tuple[DataFrame, int]:
+    """The training part of the stratified split with its shuffled folds 0..k-1, and its size.
+
+    The folds' histogram follows from the split's. Kept holdout rows have a NULL fold.
+    """
+    order = HashOrder(df, keys, seed, stratum=label)
+    counts = order.counts
+    quotas = dict(zip(counts, train_quotas(list(counts.values()), test_size)))
+    cuts = order.cuts({s: [q] for s, q in quotas.items()})
+    train = order.head(quotas, cuts)
+    if k < 2 or train.total < k:
+        raise ValueError(f"cannot make {k} folds of {train.total} rows")
+    fold = train.segment(train.cuts({None: _starts(train.total, k)}))
+    in_train = order.segment(cuts) == 0
+    if keep_holdout:
+        return df.withColumn(name, fold + F.when(in_train, F.lit(0))), train.total
+    return df.where(in_train).withColumn(name, fold), train.total
+
+
 def split_random(
     df: DataFrame, keys: Sequence[str], frac: float = 0.8, seed: object = 42, name: str = "is_train"
 ) -> DataFrame:

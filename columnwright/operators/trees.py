@@ -14,7 +14,7 @@ from columnwright.functions.missing import finite
 from columnwright.operators import bayes
 from columnwright.operators.metrics import auc
 from columnwright.operators.ranks import category_codes
-from columnwright.operators.splits import kfold, split_stratified
+from columnwright.operators.splits import training_folds
 from columnwright.storage import store
 
 
@@ -66,8 +66,7 @@ def mllib_cv_auc(
     scorer: str = "gbt",
 ) -> DataFrame:
     """(fold, auc) on the training part of the stratified split."""
-    train = split_stratified(df, keys, label, test_size, seed, "__test").where(~F.col("__test"))
-    folded = kfold(train.drop("__test"), keys, k, seed)
+    folded, _ = training_folds(df, keys, label, k, test_size, seed)
     matrix = store(feature_matrix(folded, keys, label, features, ["fold"]), "matrix").df
     return fold_scores(matrix, features, "fold", k, scorer, seed)
 

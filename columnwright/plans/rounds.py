@@ -13,7 +13,7 @@ from columnwright.operators.columns import prune_accept
 from columnwright.operators.ledger import PERFECT
 from columnwright.operators.ordering import require_unique_keys
 from columnwright.operators.selection import STAGES, Stage
-from columnwright.operators.splits import kfold_column, split_stratified, stratified_kfold_column
+from columnwright.operators.splits import stratified_kfold_column, training_folds
 from columnwright.plans.specs import Spec, SpecError, apply_specs, latest_specs, validate
 from columnwright.sources.sinks import LEDGER, append_ledger, append_selected, ledger_row
 from columnwright.storage import Stored, store
@@ -56,30 +56,44 @@ class Run:
 
 def prepare(df: DataFrame, setup: Setup) -> DataFrame:
     """Mark rows once: scoring fold (NULL on the holdout) and pruning split."""
-    marked = split_stratified(df, setup.keys, setup.label, setup.test_size, setup.seed, "__test")
-    train = marked.where(~F.col("__test"))
-    folds = kfold_column(train, setup.keys, setup.folds, setup.seed)
     splits = stratified_kfold_column(df, setup.keys, setup.label, 3, setup.seed)
-    return (
-        marked.withColumn(FOLD, F.when(~F.col("__test"), folds)).withColumn(SPLIT, splits).drop("__test")
+    folded, _ = training_folds(
+        df, setup.keys, setup.label, setup.folds, setup.test_size, setup.seed, FOLD, keep_holdout=True
     )
+    return folded.withColumn(SPLIT, splits)
 
 
-def mean_cv_auc(table: DataFrame, features: Sequence[str], setup: Setup) -> float:
-    """Mean AUC over the folds of the training part."""
+def mean_cv_auc(
+    table: DataFrame, sets: Sequence[Sequence[str]], setup: Setup
+) -> list[float]:
+    """Mean AUC over the folds of the training part, for each set of features.
+
+    Naive Bayes weights do not depend on the set, so all sets share one weighing.
+    """
     train = table.where(F.col(FOLD).isNotNull())
+    features = list(dict.fromkeys(f for fs in sets for f in fs))
+    mean = lambda scores: scores.agg(F.avg("auc")).first()[0]
     if setup.scorer == "nb":
         weighted = bayes.weigh(train, setup.keys, setup.label, FOLD, setup.folds, features)
-        scores = bayes.fold_auc(weighted)
-    elif setup.scorer in trees.ESTIMATORS:
+        scores = selection.score_variants(
+            weighted, [(str(i), weighted.total(fs)) for i, fs in enumerate(sets)]
+        )
+        found = {
+            r["variant"]: r["m"]
+            for r in scores.groupBy("variant").agg(F.avg("auc").alias("m")).collect()
+        }
+        return [found.get(str(i)) for i in range(len(sets))]
+    if setup.scorer in trees.ESTIMATORS:
         matrix = store(
             trees.feature_matrix(train, setup.keys, setup.label, features, [FOLD]), "matrix"
         )
-        scores = trees.fold_scores(matrix.df, features, FOLD, setup.folds, setup.scorer, setup.seed)
+        out = [
+            mean(trees.fold_scores(matrix.df, fs, FOLD, setup.folds, setup.scorer, setup.seed))
+            for fs in sets
+        ]
         matrix.drop()
-    else:
-        raise ValueError(f"unknown scorer: {setup.scorer!r}")
-    return scores.agg(F.avg("auc")).first()[0]
+        return out
+    raise ValueError(f"unknown scorer: {setup.scorer!r}")
 
 
 def augment_round(
@@ -105,7 +119,6 @@ def augment_round(
             raise
         return {**row, "status": "failed", "selected": []}, None, list(features), [], []
     added = [*features, *[s["name"] for s in specs]]
-    row["score_added"] = mean_cv_auc(augmented.df, added, setup)
     selected = selection.prune_staged(
         augmented.df, setup.keys, setup.label, added,
         splitter=lambda df: df.withColumn("split", F.col(SPLIT)),
@@ -117,7 +130,8 @@ def augment_round(
     )
     smaller = prune_accept(added, votes) and bool(votes)
     left = votes if smaller else added
-    row["score_pruned"] = mean_cv_auc(augmented.df, left, setup) if smaller else row["score_added"]
+    scores = mean_cv_auc(augmented.df, [added, left] if smaller else [added], setup)
+    row["score_added"], row["score_pruned"] = scores[0], scores[-1]
     row["selected"] = votes
     row["accepted"] = row["score_pruned"] > best
     row["status"] = "kept" if row["accepted"] else "reverted"
@@ -149,7 +163,7 @@ def augment_run(
     current = store(prepare(df.select(*columns), setup), "prepared")
     run = Run(current.df, list(features))
     run.auc_all_before = _all_rows(current.df, run.features, setup)
-    best = mean_cv_auc(current.df, run.features, setup)
+    best = mean_cv_auc(current.df, [run.features], setup)[0]
     run.ledger.append(
         {"round": 0, "status": "baseline", "suggestions": "[]", "selected": list(features),
          "score_before": best, "score_added": best, "score_pruned": best, "accepted": True}
