@@ -19,7 +19,7 @@ BATCHES = [
     [{"name": "broken", "op": "expr", "input": [], "args": {"sql": "no_such_column + 1"}}],
     [
         {"name": "variety", "op": "pct_rank", "input": ["unique_share"]},
-        {"name": "source_size", "op": "group_transform", "input": ["n_chars"],
+        {"name": "source_size", "op": "group_transform", "input": ["unique_share"],
          "args": {"by": ["source"], "agg": "avg"}},
         {"name": "leak", "op": "expr", "input": [], "args": {"sql": "quality"}},
     ],

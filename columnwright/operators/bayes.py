@@ -3,7 +3,8 @@
 Every feature is discrete: a category value, or the bin of a number. What the model of
 a fold was trained on is the total count minus the count inside the fold, so ``k`` models
 need one shuffle of (feature, value) counts. A row's score is a sum of one weight per
-feature, in whole millionths: the sum is the same in any order and on any cluster.
+feature, in whole thousandths: the sum is the same in any order and on any cluster, and
+scores fold into few distinct values before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from columnwright.storage import store
 BINS = 8
 EDGE_ROWS = 50_000
 EDGE_SEED = "edges"
-UNIT = 1_000_000
+# Weights are whole thousandths: sums are exact, and there are few distinct scores to count.
+UNIT = 1_000
 # A vocabulary up to this size is sent to every executor, a bigger one is shuffled.
 SMALL_VOCABULARY = 200_000
 

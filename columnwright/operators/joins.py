@@ -21,12 +21,10 @@ def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """Measure (not guess) whether a table is small enough to send to every executor."""
-    seen = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size"),
-    )
-    row = seen.first()
-    return row["n"] <= max_rows and row["size"] <= max_bytes
+    if df.count() > max_rows:
+        return False
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    return df.agg(size.alias("size")).first()["size"] <= max_bytes
 
 
 def hot_key_hashes(
@@ -54,7 +52,8 @@ def lookup_join(
 
     ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``. A lookup of measured
     small size is broadcast. A bigger one is shuffled, and the rows of hot keys are
-    spread over ``salts`` partitions against as many copies of their lookup rows.
+    spread over ``salts`` partitions against as many copies of their lookup rows. A
+    lookup that is costly to work out should be stored before.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from columnwright.operators.joins import lookup_join
 from columnwright.operators.ordering import require_unique_keys
+from columnwright.storage import store
 
 
 def map_values(
@@ -55,7 +56,7 @@ def enrich(
             )
         ]
     )
-    return lookup_join(df, per_subject, [column])
+    return lookup_join(df, store(per_subject, "facts").df, [column])
 
 
 def query_values(df: DataFrame, column: str) -> DataFrame:
@@ -66,5 +67,5 @@ def query_values(df: DataFrame, column: str) -> DataFrame:
 def novel_requests(candidates: DataFrame, asked: DataFrame) -> DataFrame:
     """Requests whose (column, relation) was not asked before."""
     return lookup_join(
-        candidates, asked.select("column", "relation").distinct(), ["column", "relation"], "left_anti"
+        candidates, asked.select("column", "relation"), ["column", "relation"], "left_anti"
     )

@@ -226,13 +226,12 @@ def exact_quantiles(
     """Exact quantiles with linear interpolation, by narrowing value ranges.
 
     Each pass counts rows between cut values (a sketch proposes the cuts; only counts are
-    shuffled) and splits the ranges that hold a wanted rank, until a range has at most
+    shuffled) and splits the ranges that hold a wanted rank, until such a range has at most
     ``leaf_rows`` rows or three passes are done; then the distinct values of just those
-    ranges are ranked.
+    ranges are ranked. A value with very many rows is one distinct value.
     """
     values = df.select(finite(F.col(column).cast("double")).alias("v")).where("v IS NOT NULL")
     grid = [i / 256 for i in range(1, 256)]
-    # Repeated quantiles mark a hot value; keeping each once is enough.
     first = values.agg(F.count("v").alias("n"), F.percentile_approx("v", grid, 10_000).alias("q"))
     head = first.first()
     n = head["n"]
@@ -240,12 +239,12 @@ def exact_quantiles(
         return [None] * len(probabilities)
     ranks = sorted({f(p * (n - 1)) for p in probabilities for f in (_floor, _ceil)})
     cuts = sorted(set(head["q"]))
-    for _ in range(3):
+    for passes_left in (2, 1, 0):
         counts = _bucket_counts(values, cuts)
         ends = list(accumulate(counts))
         targets = sorted({bisect_right(ends, r) for r in ranks})
         big = [b for b in targets if counts[b] > leaf_rows]
-        if not big:
+        if not big or not passes_left:
             break
         finer = (
             _bucketed(values, cuts).where(F.col("b").isin(big)).groupBy("b")
@@ -255,9 +254,6 @@ def exact_quantiles(
         if wider == cuts:
             break
         cuts = wider
-    counts = _bucket_counts(values, cuts)
-    ends = list(accumulate(counts))
-    targets = sorted({bisect_right(ends, r) for r in ranks})
     by_value = (
         _bucketed(values, cuts).where(F.col("b").isin(targets)).groupBy("b", "v")
         .agg(F.count(F.lit(1)).alias("n"))

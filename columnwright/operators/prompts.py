@@ -28,7 +28,7 @@ def pairs_to_predict(pairs: DataFrame, cache: DataFrame, strategy: str = "full")
     """Pairs that are not in the cache. Strategy ``evaluated`` asks for none."""
     if strategy == "evaluated":
         return pairs.where(F.lit(False))
-    return lookup_join(pairs, cache.select(*PAIR).distinct(), PAIR, "left_anti")
+    return lookup_join(pairs, cache.select(*PAIR), PAIR, "left_anti")
 
 
 def cache_collect(pairs: DataFrame, cache: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from columnwright.functions.missing import finite, float_columns
 from columnwright.operators.joins import lookup_join
 from columnwright.operators.ordering import SMALL_ROWS, running_totals
+from columnwright.storage import store
 
 
 def pct_rank(df: DataFrame, column: str, name: str, small_rows: int = SMALL_ROWS) -> DataFrame:
@@ -57,17 +58,16 @@ def fold_vocabulary(df: DataFrame, column: str, fold: str = "fold") -> DataFrame
         df.where(F.col(column).isNotNull()).groupBy(column, fold)
         .agg(F.count(F.lit(1)).alias("inside"))
     )
-    total = inside.groupBy(column).agg(F.sum("inside").alias("total"))
-    return lookup_join(inside, total, [column]).select(
-        column, fold, (F.col("total") > F.col("inside")).alias("known")
-    )
+    # At most one row per fold and value is left to sum.
+    total = F.sum("inside").over(Window.partitionBy(column))
+    return inside.select(column, fold, (total > F.col("inside")).alias("known"))
 
 
 def category_codes_per_fold(df: DataFrame, column: str, name: str, fold: str = "fold") -> DataFrame:
     """Category code as the model of the row's own fold sees it: -1 for a value that the
     other folds do not hold."""
     coded = category_codes(df, column, name)
-    known = fold_vocabulary(df, column, fold)
+    known = store(fold_vocabulary(df, column, fold), "vocabulary").df
     out = lookup_join(coded, known, [column, fold])
     return out.withColumn(
         name, F.when(F.coalesce("known", F.lit(False)), F.col(name)).otherwise(F.lit(-1))
@@ -86,4 +86,4 @@ def group_transform(
     for k in keys:
         present = F.col(k).isNotNull() if present is None else present & F.col(k).isNotNull()
     stats = df.where(present).groupBy(*keys).agg(value.alias(name))
-    return lookup_join(df, stats, keys)
+    return lookup_join(df, store(stats, "groups").df, keys)

@@ -16,9 +16,10 @@ from columnwright.operators.selection import STAGES, Stage
 from columnwright.operators.splits import stratified_kfold_column, training_folds
 from columnwright.plans.specs import Spec, SpecError, apply_specs, latest_specs, validate
 from columnwright.sources.sinks import LEDGER, append_ledger, append_selected, ledger_row
-from columnwright.storage import Stored, store
+from columnwright.storage import store
 
 FOLD, SPLIT = "__fold", "__split"
+N_SPLITS = 3
 
 
 @dataclass
@@ -56,7 +57,7 @@ class Run:
 
 def prepare(df: DataFrame, setup: Setup) -> DataFrame:
     """Mark rows once: scoring fold (NULL on the holdout) and pruning split."""
-    splits = stratified_kfold_column(df, setup.keys, setup.label, 3, setup.seed)
+    splits = stratified_kfold_column(df, setup.keys, setup.label, N_SPLITS, setup.seed)
     folded, _ = training_folds(
         df, setup.keys, setup.label, setup.folds, setup.test_size, setup.seed, FOLD, keep_holdout=True
     )
@@ -103,34 +104,36 @@ def augment_round(
     setup: Setup,
     number: int,
     best: float,
-) -> tuple[dict, Stored | None, list[str], list[tuple[int, int, str]], list[Spec]]:
+) -> tuple[dict, DataFrame | None, list[str], list[tuple[int, int, str]], list[Spec]]:
     """One round on a prepared table.
 
-    Gives the ledger row, the augmented table (None if the batch failed), the features
-    left after pruning, the votes per split, and the specs that were applied.
+    Gives the ledger row, the table with the new columns (None if the batch failed), the
+    features left after pruning, the selected features per split, and the applied specs.
+    Only keys, label, marks and features are written for scoring, and deleted again.
     """
     row = {"round": number, "suggestions": json.dumps([s["name"] for s in batch]),
            "score_before": best, "accepted": False}
-    specs, _ = validate(batch, [*table.columns], setup.label)
+    specs, _ = validate(batch, table.columns, setup.label)
+    added = [*features, *[s["name"] for s in specs]]
     try:
-        augmented = store(apply_specs(table, specs), "augmented")
+        augmented = apply_specs(table, specs)
+        narrow = store(augmented.select(*setup.keys, setup.label, FOLD, SPLIT, *added), "augmented")
     except Exception as error:  # a spec that cannot be resolved, or that fails on some row
         if not isinstance(error, SpecError) and not _from_spark(error):
             raise
         return {**row, "status": "failed", "selected": []}, None, list(features), [], []
-    added = [*features, *[s["name"] for s in specs]]
     selected = selection.prune_staged(
-        augmented.df, setup.keys, setup.label, added,
+        narrow.df, setup.keys, setup.label, added,
         splitter=lambda df: df.withColumn("split", F.col(SPLIT)),
         stages=setup.stages, time_limit_per_split=setup.time_limit_per_split, seed=setup.seed,
     )
-    n_splits = len({s for s, _, _ in selected})
     votes = selection.vote_order(
-        selection.majority_vote(selection.selected_frame(table, selected), n_splits)
+        selection.majority_vote(selection.selected_frame(table, selected), N_SPLITS)
     )
     smaller = prune_accept(added, votes) and bool(votes)
     left = votes if smaller else added
-    scores = mean_cv_auc(augmented.df, [added, left] if smaller else [added], setup)
+    scores = mean_cv_auc(narrow.df, [added, left] if smaller else [added], setup)
+    narrow.drop()
     row["score_added"], row["score_pruned"] = scores[0], scores[-1]
     row["selected"] = votes
     row["accepted"] = row["score_pruned"] > best
@@ -156,7 +159,8 @@ def augment_run(
     ``batches`` is a list, or a function of the run so far that gives the next batch (None
     to stop). A round is kept if its score is strictly above all earlier ones; a failed
     batch counts as a round and changes nothing; a perfect score ends the run. Columns in
-    ``setup.sources`` can be used by specs but are not features.
+    ``setup.sources`` can be used by specs but are not features. The input columns are
+    written once; accepted columns are expressions and lookups on top of that table.
     """
     require_unique_keys(df, setup.keys)
     columns = list(dict.fromkeys([*setup.keys, setup.label, *features, *setup.sources]))
@@ -188,11 +192,8 @@ def augment_run(
             append_selected(selection.selected_frame(df, selected), selected_path)
         if row["accepted"]:
             keep = dict.fromkeys([*setup.keys, setup.label, FOLD, SPLIT, *setup.sources, *left])
-            current.drop()
-            current, run.table, run.features = augmented, augmented.df.select(*keep), left
+            run.table, run.features = augmented.select(*keep), left
             best, run.selected = row["score_pruned"], selected
-        elif augmented is not None:
-            augmented.drop()
         if row.get("score_pruned") is not None and row["score_pruned"] > PERFECT:
             break
     run.auc_all_after = _all_rows(run.table, run.features, setup)

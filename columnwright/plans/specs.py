@@ -18,6 +18,7 @@ from columnwright.operators import ranks
 from columnwright.operators.joins import lookup_join
 from columnwright.operators.knowledge import map_values, mapping_frame
 from columnwright.operators.ordering import exact_quantiles
+from columnwright.storage import store
 
 Spec = Mapping[str, object]
 
@@ -119,7 +120,7 @@ def validate_suggestions(
     )
     usable = marked.where(~F.col("uses_target") & ~F.col("exists"))
     first = usable.groupBy(*by, "name").agg(F.min("position").alias("__first"))
-    joined = lookup_join(marked, first, [*by, "name"])
+    joined = lookup_join(marked, store(first, "names").df, [*by, "name"])
     status = (
         F.when(F.col("uses_target"), "uses_target")
         .when(F.col("exists") | (F.col("position") > F.col("__first")), "exists")
