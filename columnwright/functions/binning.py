@@ -42,7 +42,9 @@ def bin_equal_width(column: Column, low: float, high: float, k: int) -> Column:
         return F.when(column.isNotNull(), F.lit((k - 1) // 2))
     width = (high - low) / k
     position = F.ceil((column - F.lit(low)) / F.lit(width)) - 1
-    return F.least(F.greatest(position, F.lit(0)), F.lit(k - 1)).cast("int")
+    inside = F.least(F.greatest(position, F.lit(0)), F.lit(k - 1)).cast("int")
+    # Least and greatest would pass over a missing value.
+    return F.when(column.isNotNull(), inside)
 
 
 def bin_fixed_width(column: Column, size: float) -> Column:

@@ -116,7 +116,7 @@ def weigh(
     numbers = _numbers(df, features)
     if edges is None:
         edges = numeric_edges(df, keys, numbers, bins, impute, n=n)
-    codes = {f: f"v{i}" for i, f in enumerate(features)}
+    codes = {f: f"__v{i}" for i, f in enumerate(features)}
     coded = df.where(F.col(label).isNotNull()).select(
         *keys,
         F.col(label).cast("int").alias(label),
@@ -142,7 +142,7 @@ def weigh(
         for r in weights.where(F.col("feature").isin([codes[f] for f in numbers])).collect()
     }
     out = coded.where(F.col(fold).isNotNull())
-    columns = {f: f"w{i}" for i, f in enumerate(features)}
+    columns = {f: f"__w{i}" for i, f in enumerate(features)}
     at_fold = lambda w: F.get(w, F.col(fold))
     ready: dict[str, Column] = {}
     for f in features:
@@ -155,11 +155,11 @@ def weigh(
             ready[name] = F.coalesce(at_fold(F.get(literal, spot)), F.lit(0))
         else:
             vocabulary = weights.where(F.col("feature") == code).select(
-                F.col("value").alias(code), F.col("w").alias(f"a_{name}")
+                F.col("value").alias(code), F.col("w").alias(f"__a{name}")
             )
             known = per_feature[code]["size"] if code in per_feature else 0
             out = lookup_join(out, vocabulary, [code], small=known <= SMALL_VOCABULARY)
-            ready[name] = F.coalesce(at_fold(F.col(f"a_{name}")), F.lit(0))
+            ready[name] = F.coalesce(at_fold(F.col(f"__a{name}")), F.lit(0))
     out = out.select(*keys, label, fold, *[c.cast("bigint").alias(n) for n, c in ready.items()])
     rows = max((r["pos"] + r["neg"] for r in per_feature.values()), default=0)
     return Weighted(out, list(keys), label, fold, columns, rows)
@@ -220,7 +220,7 @@ def scored(weighted: Weighted, features: Sequence[str] | None = None) -> DataFra
 def fold_auc(weighted: Weighted, features: Sequence[str] | None = None) -> DataFrame:
     """(fold, auc)."""
     return auc(
-        scored(weighted, features), weighted.label, "score", [weighted.fold], levels=NARROW_LEVELS
+        weighted.df, weighted.label, weighted.total(features), [weighted.fold], levels=NARROW_LEVELS
     ).orderBy(weighted.fold)
 
 
@@ -252,7 +252,7 @@ def holdout_auc(
     edges = numeric_edges(train, keys, _numbers(df, features))
     split = marked.withColumn("fold", F.when(F.col("__test"), F.lit(0))).drop("__test")
     weighted = weigh(split, keys, label, "fold", 1, features, edges=edges)
-    return auc(scored(weighted), label, "score", levels=NARROW_LEVELS)
+    return auc(weighted.df, label, weighted.total(), levels=NARROW_LEVELS)
 
 
 def kfold_auc_all(

@@ -35,29 +35,29 @@ def auc(
     Neither a hot score nor a big group reaches one task as rows.
     """
     column = F.col(score) if isinstance(score, str) else score
-    rows = df.select(*by, F.col(label).alias("y"), column.alias("g"))
-    if rows.schema["g"].dataType.simpleString() not in ("int", "bigint"):
-        rows = rows.withColumn("g", to_grid(F.col("g"), digits))
-    pos, neg = F.sum("y").cast("double"), F.sum(1 - F.col("y")).cast("double")
+    rows = df.select(*by, F.col(label).alias("__y"), column.alias("__g"))
+    if rows.schema["__g"].dataType.simpleString() not in ("int", "bigint"):
+        rows = rows.withColumn("__g", to_grid(F.col("__g"), digits))
+    pos, neg = F.sum("__y").cast("double"), F.sum(1 - F.col("__y")).cast("double")
     part = (
-        rows.where("y IS NOT NULL AND g IS NOT NULL")
-        .groupBy(*by, F.col("g").cast("bigint").alias("g"))
-        .agg(pos.alias("pos"), neg.alias("neg"))
-        .withColumn("won", F.col("pos") * F.col("neg") / 2)
+        rows.where("__y IS NOT NULL AND __g IS NOT NULL")
+        .groupBy(*by, F.col("__g").cast("bigint").alias("__g"))
+        .agg(pos.alias("__pos"), neg.alias("__neg"))
+        .withColumn("__won", F.col("__pos") * F.col("__neg") / 2)
     )
     for bits in levels:
-        part = _fold(part.withColumn("up", F.shiftright("g", bits)), [*by, "up"])
-        part = part.withColumnRenamed("up", "g")
+        part = _fold(part.withColumn("__up", F.shiftright("__g", bits)), [*by, "__up"])
+        part = part.withColumnRenamed("__up", "__g")
     return _fold(part, list(by)).select(
-        *by, F.try_divide(F.col("won"), F.col("pos") * F.col("neg")).alias(name)
+        *by, F.try_divide(F.col("__won"), F.col("__pos") * F.col("__neg")).alias(name)
     )
 
 
 def _fold(part: DataFrame, into: Sequence[str]) -> DataFrame:
-    before = Window.partitionBy(*into).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    less = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
-    return part.withColumn("won", F.col("won") + F.col("pos") * less).groupBy(*into).agg(
-        F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    before = Window.partitionBy(*into).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    less = F.coalesce(F.sum("__neg").over(before), F.lit(0.0))
+    return part.withColumn("__won", F.col("__won") + F.col("__pos") * less).groupBy(*into).agg(
+        F.sum("__won").alias("__won"), F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg")
     )
 
 

@@ -103,7 +103,7 @@ def permute(weighted: Weighted, rows_per_group: int = PERMUTE_ROWS) -> tuple[Wei
     are random subsets, so permuting inside them is as good as permuting the fold.
     """
     groups = max(1, weighted.rows // rows_per_group)
-    names = {f: f"p{i}" for i, f in enumerate(weighted.columns)}
+    names = {f: f"__p{i}" for i, f in enumerate(weighted.columns)}
     h = row_hash(weighted.keys, PERMUTE_SEED)
     group = F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint"), F.lit(groups))
     ring = Window.partitionBy(weighted.fold, "__g").orderBy("__h")
@@ -124,9 +124,11 @@ def score_variants(
     A variant whose score is NULL on a row is left out there.
     """
     table = weighted.df if rows is None else rows
-    pairs = F.array(*[F.struct(F.lit(n).alias("variant"), c.cast("bigint").alias("score")) for n, c in variants])
-    long = table.select(weighted.fold, weighted.label, F.inline(pairs)).where("score IS NOT NULL")
-    return auc(long, weighted.label, "score", [weighted.fold, "variant"], levels=NARROW_LEVELS)
+    pairs = F.array(*[
+        F.struct(F.lit(n).alias("variant"), c.cast("bigint").alias("__score")) for n, c in variants
+    ])
+    long = table.select(weighted.fold, F.col(weighted.label).alias("__label"), F.inline(pairs))
+    return auc(long, "__label", "__score", [weighted.fold, "variant"], levels=NARROW_LEVELS)
 
 
 def importance_variants(

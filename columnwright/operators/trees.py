@@ -20,12 +20,12 @@ from columnwright.storage import store
 
 def gbt(seed: int = 42) -> Estimator:
     return GBTClassifier(
-        featuresCol="features", labelCol="y", maxIter=20, maxDepth=5, seed=seed, cacheNodeIds=False
+        featuresCol="__features", labelCol="__y", maxIter=20, maxDepth=5, seed=seed, cacheNodeIds=False
     )
 
 
 def lr(seed: int = 42) -> Estimator:
-    return LogisticRegression(featuresCol="features", labelCol="y", maxIter=20, regParam=0.01)
+    return LogisticRegression(featuresCol="__features", labelCol="__y", maxIter=20, regParam=0.01)
 
 
 ESTIMATORS: dict[str, Callable[[int], Estimator]] = {"gbt": gbt, "lr": lr}
@@ -41,7 +41,7 @@ def feature_matrix(
             out = category_codes(out.withColumn(f, F.col(f).cast("string")), f, f"__{f}")
             out = out.drop(f).withColumnRenamed(f"__{f}", f)
     return out.select(
-        *keys, *keep, F.col(label).cast("double").alias("y"),
+        *keys, *keep, F.col(label).cast("double").alias("__y"),
         *[F.coalesce(finite(F.col(f).cast("double")), F.lit(0.0)).alias(f) for f in features],
     )
 
@@ -50,9 +50,9 @@ def fit_score(
     train: DataFrame, valid: DataFrame, features: Sequence[str], estimator: Estimator
 ) -> DataFrame:
     """Fit on one table, give the probability of the positive class on the other."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
     model = Pipeline(stages=[assembler, estimator]).fit(train)
-    return model.transform(valid).withColumn("score", vector_to_array("probability")[1])
+    return model.transform(valid).withColumn("__score", vector_to_array("probability")[1])
 
 
 def mllib_cv_auc(
@@ -81,7 +81,7 @@ def fold_scores(
             matrix.where(F.col(fold) != i), matrix.where(F.col(fold) == i), features,
             ESTIMATORS[scorer](seed),
         )
-        rows.append((i, auc(made, "y", "score").first()["auc"]))
+        rows.append((i, auc(made, "__y", "__score").first()["auc"]))
     return matrix.sparkSession.createDataFrame(rows, "fold int, auc double")
 
 
