@@ -150,7 +150,8 @@ def weigh(
         if f in edges:
             size = len(edges[f]) + 1
             table = [small.get((code, v), [0] * k) for v in [None, *map(str, range(size))]]
-            literal = F.array(*[F.array(*[F.lit(int(x)).cast("bigint") for x in w]) for w in table])
+            rows = ", ".join("array(" + ", ".join(f"{int(x)}L" for x in w) + ")" for w in table)
+            literal = F.expr(f"array({rows})")
             spot = F.coalesce(F.col(code) + 1, F.lit(0))
             ready[name] = F.coalesce(at_fold(F.get(literal, spot)), F.lit(0))
         else:

@@ -192,18 +192,17 @@ def running_totals(
 ) -> DataFrame:
     """Add the running sum of ``weight`` up to and including each row.
 
-    ``order`` must be unique. A table of at most ``small_rows`` rows takes one window.
-    A bigger one is range-partitioned and written with its range number; each range is
-    summed by its own task, on top of the total of the ranges before it.
+    ``df`` should be stored; ``order`` must be unique. A table of at most ``small_rows``
+    rows takes one window. A bigger one is range-partitioned and written with its range
+    number; each range is summed by its own task, on top of the ranges before it.
     """
-    kept = store(df, "running").df
-    n = kept.count()
+    n = df.count()
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if n <= small_rows:
-        return kept.withColumn(total, F.sum(weight).over(upto(Window.orderBy(order))))
+        return df.withColumn(total, F.sum(weight).over(upto(Window.orderBy(order))))
     ranges = -(-n // small_rows) * 2
     ranged = store(
-        kept.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()),
+        df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()),
         "ranges",
     ).df
     sums = ranged.groupBy("__range").agg(F.sum(weight).alias("__sum"))

@@ -22,6 +22,7 @@ def pct_rank(df: DataFrame, column: str, name: str, small_rows: int = SMALL_ROWS
         df.select(clean.alias(column)).where(F.col(column).isNotNull())
         .groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
     )
+    counts = store(counts, "counts").df
     ranked = running_totals(counts, column, "__n", "__upto", small_rows)
     total = counts.agg(F.sum("__n").alias("t")).first()["t"]
     ranks = ranked.select(
@@ -33,7 +34,8 @@ def pct_rank(df: DataFrame, column: str, name: str, small_rows: int = SMALL_ROWS
 
 def category_vocabulary(df: DataFrame, column: str, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Distinct non-missing values with dense codes in sorted order: (column, code)."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__one", F.lit(1))
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    values = store(values.withColumn("__one", F.lit(1)), "values").df
     ranked = running_totals(values, column, "__one", "__upto", small_rows)
     return ranked.select(column, (F.col("__upto") - 1).cast("int").alias("code"))
 

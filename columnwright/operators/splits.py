@@ -46,9 +46,14 @@ def stratified_sizes(counts: Sequence[int], k: int) -> list[list[int]]:
 
 
 def stratified_kfold_column(
-    df: DataFrame, keys: Sequence[str], label: str, k: int, seed: object = 42
+    df: DataFrame,
+    keys: Sequence[str],
+    label: str,
+    k: int,
+    seed: object = 42,
+    order: HashOrder | None = None,
 ) -> Column:
-    order = HashOrder(df, keys, seed, stratum=label)
+    order = order or HashOrder(df, keys, seed, stratum=label)
     counts = order.counts
     if k < 2 or all(n < k for n in counts.values()):
         raise ValueError(f"cannot make {k} stratified folds: no class has {k} rows")
@@ -112,12 +117,13 @@ def training_folds(
     seed: object = 42,
     name: str = "fold",
     keep_holdout: bool = False,
+    order: HashOrder | None = None,
 ) -> tuple[DataFrame, int]:
     """The training part of the stratified split with its shuffled folds 0..k-1, and its size.
 
     The folds' histogram follows from the split's. Kept holdout rows have a NULL fold.
     """
-    order = HashOrder(df, keys, seed, stratum=label)
+    order = order or HashOrder(df, keys, seed, stratum=label)
     counts = order.counts
     quotas = dict(zip(counts, train_quotas(list(counts.values()), test_size)))
     cuts = order.cuts({s: [q] for s, q in quotas.items()})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from columnwright.operators import prompts as ops
 from columnwright.operators.splits import split_random, subsample
+from columnwright.storage import store
 
 CACHE = "prompt string, x string, y string, score double, sequence string"
 Predict = Callable[[DataFrame], DataFrame]
@@ -38,7 +39,9 @@ def evaluate(
     rows = subsample(task, keys, strategy, n, block, seed)
     pairs = ops.pairs_cross(rows, prompts)
     asked = ops.pairs_to_predict(pairs, known, strategy).select(*ops.PAIR).distinct()
-    extended = ops.extend_cache(known, ops.score_predictions(predict(asked), match))
+    # Predictions are dear: they are written once. None of their pairs is in the cache.
+    new = store(ops.score_predictions(predict(asked), match), "predictions").df
+    extended = known.unionByName(new)
     return ops.cache_collect(pairs, extended), extended
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from columnwright.operators import bayes, selection, trees
 from columnwright.operators.columns import prune_accept
 from columnwright.operators.ledger import PERFECT
-from columnwright.operators.ordering import require_unique_keys
+from columnwright.operators.ordering import HashOrder, require_unique_keys
 from columnwright.operators.selection import STAGES, Stage
 from columnwright.operators.splits import stratified_kfold_column, training_folds
 from columnwright.plans.specs import Spec, SpecError, apply_specs, latest_specs, validate
@@ -57,9 +57,11 @@ class Run:
 
 def prepare(df: DataFrame, setup: Setup) -> DataFrame:
     """Mark rows once: scoring fold (NULL on the holdout) and pruning split."""
-    splits = stratified_kfold_column(df, setup.keys, setup.label, N_SPLITS, setup.seed)
+    keys, label, seed = setup.keys, setup.label, setup.seed
+    order = HashOrder(df, keys, seed, stratum=label)
+    splits = stratified_kfold_column(df, keys, label, N_SPLITS, seed, order)
     folded, _ = training_folds(
-        df, setup.keys, setup.label, setup.folds, setup.test_size, setup.seed, FOLD, keep_holdout=True
+        df, keys, label, setup.folds, setup.test_size, seed, FOLD, keep_holdout=True, order=order
     )
     return folded.withColumn(SPLIT, splits)
 

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from columnwright.functions import binning, rules
 from columnwright.functions.missing import finite, float_columns
 from columnwright.operators import ranks
-from columnwright.operators.joins import lookup_join
-from columnwright.operators.knowledge import map_values, mapping_frame
+from columnwright.operators.joins import BROADCAST_ROWS, lookup_join
+from columnwright.operators.knowledge import mapping_frame
 from columnwright.operators.ordering import exact_quantiles
 from columnwright.storage import store
 
@@ -168,12 +168,28 @@ def _bin_quantile(df: DataFrame, spec: Spec) -> Column:
 
 def _bin_equal_width(df: DataFrame, spec: Spec) -> Column:
     column = _input(df, spec)
-    low, high = df.agg(F.min(column), F.max(column)).first()
+    # Extremes of several specs are taken in one pass where that is possible.
+    low, high = spec.get("extremes") or df.agg(F.min(column), F.max(column)).first()
     if low is None:
         return F.lit(None).cast("int")
     return binning.bin_equal_width(column, float(low), float(high), spec["args"]["k"])
 
 
+def _with_extremes(df: DataFrame, specs: Sequence[Spec]) -> list[Spec]:
+    """Equal-width specs on columns of the table get their extremes from one pass."""
+    wanted = [
+        s for s in specs if s["op"] == "bin_equal_width" and s["input"][0] in df.columns
+    ]
+    if len(wanted) < 2:
+        return list(specs)
+    row = df.agg(*[
+        f(_input(df, s)).alias(f"{a}{i}")
+        for i, s in enumerate(wanted) for a, f in (("lo", F.min), ("hi", F.max))
+    ]).first()
+    found = {id(s): (row[f"lo{i}"], row[f"hi{i}"]) for i, s in enumerate(wanted)}
+    return [{**s, "extremes": found[id(s)]} if id(s) in found else s for s in specs]
+
+
 ROW_OPS: dict[str, Callable[[DataFrame, Spec], Column]] = {
     "bin_edges": lambda df, s: binning.bin_edges(
         _input(df, s), s["args"]["edges"], s["args"]["labels"], s["args"].get("include_lowest", False)
@@ -199,15 +215,20 @@ ROW_OPS: dict[str, Callable[[DataFrame, Spec], Column]] = {
 TABLE_OPS: dict[str, Callable[[DataFrame, Spec], DataFrame]] = {
     "pct_rank": lambda df, s: ranks.pct_rank(df, s["input"][0], s["name"]),
     "category_codes": lambda df, s: ranks.category_codes(df, s["input"][0], s["name"]),
-    "mapping": lambda df, s: map_values(
-        df, s["input"], mapping_frame(df, s["input"], s["args"]["mapping"]), s["name"]
-    ),
+    "mapping": lambda df, s: _mapping(df, s),
     "group_transform": lambda df, s: ranks.group_transform(
         df, s["args"]["by"], AGGREGATES[s["args"]["agg"]](_input(df, s)), s["name"]
     ),
 }
 
 
+def _mapping(df: DataFrame, spec: Spec) -> DataFrame:
+    """A dict has each key once, and its size is known."""
+    on, mapping = list(spec["input"]), spec["args"]["mapping"]
+    lookup = mapping_frame(df, on, mapping).withColumnRenamed("value", spec["name"])
+    return lookup_join(df, lookup, on, small=len(mapping) <= BROADCAST_ROWS)
+
+
 def apply_specs(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     """Append the columns of all specs, or raise ``SpecError`` and append none.
 
@@ -215,7 +236,7 @@ def apply_specs(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     """
     out, pending = df, {}
     try:
-        for spec in specs:
+        for spec in _with_extremes(df, specs):
             if any(uses(spec, name) for name in pending):
                 out, pending = out.withColumns(pending), {}
             op = spec["op"]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from columnwright.functions.text import strip
 
 NUMERIC = {"numeric", "real", "integer"}
+HEADER_LINES = 10_000
+ATTRIBUTE = re.compile(r"\s*@attribute\s", re.IGNORECASE)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -16,7 +18,18 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arff_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Column names and types from the ``@attribute`` lines of the first file with any."""
+    """Column names and types from the ``@attribute`` lines.
+
+    A header at the start of the first file is found without reading further. Otherwise
+    (a folder with the header in a file of its own) all files are searched, and every
+    header has to be the same.
+    """
+    first = [r["value"] for r in _lines(spark, path).take(HEADER_LINES)]
+    ends = [i for i, line in enumerate(first) if line.strip().lower() == "@data"]
+    if ends:
+        header = [line for line in first[: ends[0]] if ATTRIBUTE.match(line)]
+        if header:
+            return T.StructType([_field(line) for line in header])
     found = (
         _lines(spark, path).where(F.col("value").rlike(r"(?i)^\s*@attribute\s"))
         .select(
