@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from columnwright.operators.bayes import BINS, EDGE_ROWS, EDGE_SEED, UNIT
-from columnwright.operators.selection import NOISE_SEED, PERMUTE_SEED
+from columnwright.operators.selection import NOISE_SEED, PERMUTE_ROWS, PERMUTE_SEED
 from columnwright.storage import store
 
 
@@ -236,11 +236,11 @@ def importance_sql(
     folded: str, keys: Sequence[str], label: str, numbers: Sequence[str], categories: Sequence[str],
     k: int,
 ) -> str:
-    """(fold, feature, importance) for splits that each are one permutation group."""
+    """(fold, feature, importance); rows are permuted within hash groups of each fold."""
     features = [*numbers, *categories]
     ctes = weights_sql(folded, keys, label, numbers, categories, k)
     pivot = ", ".join(f"sum(w) FILTER (WHERE feature = '{f}') AS w{i}" for i, f in enumerate(features))
-    ring = "PARTITION BY fold ORDER BY h"
+    ring = "PARTITION BY fold, grp ORDER BY h"
     nexts = ", ".join(
         f"coalesce(lead(w{i}) OVER ({ring}), first_value(w{i}) OVER ({ring})) AS p{i}"
         for i in range(len(features))
@@ -257,7 +257,9 @@ def importance_sql(
     WITH {ctes},
     wide AS (SELECT row_id, any_value(y) AS y, any_value(fold) AS fold,
                     md5(concat_ws('|', row_id, '{PERMUTE_SEED}')) AS h, {pivot} FROM rw GROUP BY row_id),
-    swapped AS (SELECT *, {nexts} FROM wide),
+    grouped AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT
+                          % greatest(1, (SELECT count(*) FROM folded) // {PERMUTE_ROWS}) AS grp FROM wide),
+    swapped AS (SELECT *, {nexts} FROM grouped),
     variants AS ({variants}),
     aucs AS ({auc_sql('SELECT * FROM variants', ['fold', 'feature'])})
     SELECT a.fold, a.feature, b.auc - a.auc AS importance
