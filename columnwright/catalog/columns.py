@@ -367,5 +367,8 @@ def kg_query_values(spark, sf):
 def kg_novelty(spark, sf):
     part = table(spark, sf, "part")
     named = part.select("p_partkey", F.col("p_brand").alias("column"), F.col("p_type").alias("relation"))
-    asked = part.where("p_size > 48").select(F.col("p_brand").alias("column"), F.col("p_type").alias("relation"))
+    sizes = part.groupBy(F.col("p_brand").alias("column"), F.col("p_type").alias("relation")).agg(
+        F.max("p_size").alias("size")
+    )
+    asked = sizes.where("size > 48")
     return knowledge.novel_requests(named, asked)

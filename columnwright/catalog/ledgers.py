@@ -55,16 +55,19 @@ ZIPPED_SQL = f"""
     SELECT a.run, a.round, 'customer ' || a.customer AS response, b.selected
     FROM ({LEDGER_SQL}) a JOIN (
         SELECT o_orderpriority AS run, CAST({ROUND} AS INTEGER) AS round, 'order ' || min(o_orderkey) AS selected
-        FROM orders WHERE o_totalprice > 450000 GROUP BY ALL) b ON a.run = b.run AND a.round = b.round"""
+        FROM orders GROUP BY ALL HAVING max(o_totalprice) > 450000) b ON a.run = b.run AND a.round = b.round"""
 
 
 def zipped(spark, sf):
     responses = ledgers(spark, sf).select(
         "run", "round", F.concat(F.lit("customer "), F.col("customer").cast("string")).alias("response")
     )
-    chosen = table(spark, sf, "orders").where("o_totalprice > 450000").groupBy(
+    chosen = table(spark, sf, "orders").groupBy(
         F.col("o_orderpriority").alias("run"), F.expr(ROUND).cast("int").alias("round")
-    ).agg(F.concat(F.lit("order "), F.min("o_orderkey").cast("string")).alias("selected"))
+    ).agg(
+        F.concat(F.lit("order "), F.min("o_orderkey").cast("string")).alias("selected"),
+        F.max("o_totalprice").alias("top"),
+    ).where("top > 450000")
     return ledger.history_zip(responses, chosen, RUN).select("run", "round", "response", "selected")
 
 
@@ -128,15 +131,16 @@ def selection_frequency(spark, sf):
 
 
 @query("prune_accept", f"""
-    WITH b AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS run, list(DISTINCT o_orderpriority) AS before FROM orders
-               WHERE o_orderstatus = 'P' AND o_totalprice > 490000 GROUP BY 1),
+    WITH p AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS run, o_orderpriority, max(o_totalprice) AS top FROM orders GROUP BY ALL),
+    b AS (SELECT run, list(o_orderpriority) AS before FROM p WHERE top > 498000 GROUP BY 1),
     v AS (SELECT run, list(feature) AS voted FROM ({VOTED_SQL}) GROUP BY 1)
     SELECT run, len(list_filter(voted, lambda x: NOT list_contains(before, x))) = 0 AND len(voted) < len(before) AS accepted
     FROM b JOIN v USING (run)""")
 def prune_accept(spark, sf):
-    before = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_totalprice > 490000").groupBy(
-        F.year("o_orderdate").alias("run")
-    ).agg(F.collect_set("o_orderpriority").alias("before"))
+    tops = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("run"), "o_orderpriority").agg(
+        F.max("o_totalprice").alias("top")
+    )
+    before = tops.where("top > 498000").groupBy("run").agg(F.collect_set("o_orderpriority").alias("before"))
     voted = selection.majority_vote(selected(spark, sf), 4, RUN).groupBy("run").agg(
         F.collect_set("feature").alias("voted")
     )

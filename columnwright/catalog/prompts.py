@@ -17,8 +17,8 @@ PROMPT_ROWS = ", ".join(f"('{p}')" for p in PROMPTS)
 TASK_SQL = "SELECT conv_id, turn, text AS x, lower(role) AS y FROM conversations"
 PAIRS_SQL = f"SELECT prompt, conv_id, turn, x, y FROM ({TASK_SQL}), (VALUES {PROMPT_ROWS}) p(prompt)"
 CACHED_SQL = f"""
-    SELECT DISTINCT prompt, x, y, CASE WHEN length(x) % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score, 'seq ' || length(x) AS sequence
-    FROM ({PAIRS_SQL}) WHERE length(x) % 2 = 0 AND prompt <> '{PROMPTS[2]}'"""
+    SELECT DISTINCT prompt, x, y, CASE WHEN length(x) > 300 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score, 'seq ' || length(x) AS sequence
+    FROM ({PAIRS_SQL}) WHERE y = 'user' AND prompt <> '{PROMPTS[2]}'"""
 
 
 def task(spark, sf):
@@ -26,18 +26,18 @@ def task(spark, sf):
 
 
 def cache(spark, sf):
-    """Known scores of two prompts on the turns of even length."""
+    """Known scores of two prompts on the turns of users."""
     length = F.length("x")
-    pairs = ops.pairs_cross(task(spark, sf), PROMPTS[:2]).where(length % 2 == 0)
+    pairs = ops.pairs_cross(task(spark, sf), PROMPTS[:2]).where("y = 'user'")
     return pairs.select(
-        *ops.PAIR, F.when(length % 3 == 0, 0.0).otherwise(1.0).alias("score"),
+        *ops.PAIR, F.when(length > 300, 0.0).otherwise(1.0).alias("score"),
         F.concat(F.lit("seq "), length.cast("string")).alias("sequence"),
     ).distinct()
 
 
 def predict(pairs):
-    """A stand-in for a model: every third reply names the wrong role."""
-    wrong = (F.length("x") + F.length("prompt")) % 3 == 0
+    """A stand-in for a model: long turns are always taken for a user's."""
+    wrong = F.length("x") + F.length("prompt") > 400
     role = F.when(wrong, F.lit("user")).otherwise(F.col("y"))
     reply = F.concat(F.lit("I think so. <role> "), F.initcap(role), F.lit(" </role>"))
     return pairs.withColumn("sequence", reply).withColumn(
@@ -45,7 +45,7 @@ def predict(pairs):
     )
 
 
-PREDICTED = "CASE WHEN (length(x) + length(prompt)) % 3 = 0 THEN 'user' ELSE y END"
+PREDICTED = "CASE WHEN (length(x) + length(prompt)) > 400 THEN 'user' ELSE y END"
 
 
 @query("pairs_cross", f"SELECT prompt, conv_id, turn, md5(x) AS x, y FROM ({PAIRS_SQL})")
@@ -117,10 +117,10 @@ def exemplars_search(spark, sf):
 
 
 @query("label_marker", f"""
-    SELECT conv_id, turn, CASE WHEN turn % 5 <> 0 THEN {PREDICTED.replace('prompt', 'x')} END AS label FROM ({TASK_SQL})""")
+    SELECT conv_id, turn, CASE WHEN y <> 'system' THEN {PREDICTED.replace('prompt', 'x')} END AS label FROM ({TASK_SQL})""")
 def label_marker(spark, sf):
-    role = F.when((F.length("x") + F.length("x")) % 3 == 0, F.lit("user")).otherwise(F.col("y"))
-    begin = F.when(F.col("turn") % 5 != 0, F.lit("<role>\n")).otherwise(F.lit("role: "))
+    role = F.when(F.length("x") + F.length("x") > 400, F.lit("user")).otherwise(F.col("y"))
+    begin = F.when(F.col("y") != "system", F.lit("<role>\n")).otherwise(F.lit("role: "))
     reply = F.concat(F.col("x"), begin, F.upper(role), F.lit("\n</role> done </role>"))
     return task(spark, sf).select(*KEYS, text.label_marker(reply, "<role>", "</role>").alias("label"))
 
