@@ -16,7 +16,7 @@ BATCHES = [
         {"name": "length_band", "op": "bin_quantile", "input": ["n_chars"],
          "args": {"labels": ["short", "medium", "long", "huge"]}},
     ],
-    [{"name": "broken", "op": "expr", "input": [], "args": {"sql": "no_such_column + 1"}}],
+    [{"name": "broken", "op": "bin_fixed_width", "input": ["no_such_column"], "args": {"size": 3}}],
     [
         {"name": "variety", "op": "pct_rank", "input": ["unique_share"]},
         {"name": "source_size", "op": "group_transform", "input": ["unique_share"],

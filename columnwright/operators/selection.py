@@ -229,6 +229,7 @@ def prune_staged(
     time_limit_per_split: float = 3600,
     seed: int = 42,
     n_noise: int = 3,
+    copy: bool = True,
     on_split: Callable[[list[tuple[int, int, str]]], None] | None = None,
 ) -> list[tuple[int, int, str]]:
     """Selected features as (split, position, feature), by three stages of pruning.
@@ -238,6 +239,7 @@ def prune_staged(
     least important share is dropped (first only features that do not beat noise); a set
     is accepted if its validation AUC is not worse than the best; a stage ends after
     ``patience`` rounds in a row without that. ``splitter`` adds ``split`` (0..k-1).
+    The input is written once with its splits; a stored one needs no ``copy``.
     """
     if splitter is None:
         table = repeated_stratified_kfold(df, keys, label, 3, 1, seed).drop("repeat")
@@ -245,7 +247,10 @@ def prune_staged(
     else:
         table = splitter(df)
     table, noise = noise_columns(table, keys, n_noise)
-    table = store(table.select(*keys, label, "split", *features, *noise), "pruning").df
+    table = table.select(*keys, label, "split", *features, *noise)
+    copied = store(table, "pruning") if copy else None
+    if copied is not None:
+        table = copied.df
     splits = sorted(r["split"] for r in table.select("split").distinct().collect())
     useless = useless_features(table, keys, features, "split")
     weighted = weigh(table, keys, label, "split", max(splits) + 1, [*features, *noise])
@@ -293,6 +298,8 @@ def prune_staged(
                     still_open.append(s)
             open_splits = still_open
     kept.drop()
+    if copied is not None:
+        copied.drop()
     out = [(s, i, f) for s in splits for i, f in enumerate(best_set[s])]
     if on_split is not None:
         for s in splits:

@@ -128,6 +128,7 @@ def augment_round(
         narrow.df, setup.keys, setup.label, added,
         splitter=lambda df: df.withColumn("split", F.col(SPLIT)),
         stages=setup.stages, time_limit_per_split=setup.time_limit_per_split, seed=setup.seed,
+        copy=False,
     )
     votes = selection.vote_order(
         selection.majority_vote(selection.selected_frame(table, selected), N_SPLITS)

@@ -31,7 +31,8 @@ class SpecError(ValueError):
 # between attempts of a task, change the number of rows, or reach outside Spark.
 BLOCKED = {
     "reflect", "java_method", "try_reflect",
-    "select", "exists", "over",
+    "select", "from", "table", "values", "over",
+    "now", "current_timestamp", "current_date", "curdate", "localtimestamp", "current_time",
     "rand", "randn", "random", "uuid", "shuffle", "monotonically_increasing_id",
     "spark_partition_id", "input_file_name", "input_file_block_start",
     "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack",

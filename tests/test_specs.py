@@ -64,6 +64,8 @@ def test_row_wise_specs_are_one_projection(people):
     {"op": "expr", "args": {"sql": "Java_Method('a', 'b')"}},
     {"op": "expr", "args": {"sql": "(select max(age) from x)"}},
     {"op": "expr", "args": {"sql": "rand()"}},
+    {"op": "expr", "args": {"sql": "exists(table x)"}},
+    {"op": "expr", "args": {"sql": "unix_timestamp(now())"}},
     {"op": "expr", "args": {"sql": "sum(age) over ()"}},
     {"op": "expr", "args": {"sql": "explode(array(1, 2))"}},
     {"op": "expr", "args": {"sql": "max(age)"}},
