@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from columnwright.functions.binning import edges_crossed
 from columnwright.functions.hashing import row_hash
 from columnwright.functions.missing import finite
-from columnwright.operators.joins import lookup_join
+from columnwright.operators.joins import BROADCAST_BYTES, lookup_join
 from columnwright.operators.metrics import NARROW_LEVELS, auc
 from columnwright.operators.splits import kfold, split_stratified, training_folds
 from columnwright.storage import store
@@ -132,7 +132,11 @@ def weigh(
     per_feature = {
         r["feature"]: r
         for r in counts.groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("size"), *[F.sum(c).alias(c) for c in _count_names(k)])
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"),
+            *[F.sum(c).alias(c) for c in _count_names(k)],
+        )
         .collect()
     }
     weights = _weights(counts, per_feature, k)
@@ -158,8 +162,9 @@ def weigh(
             vocabulary = weights.where(F.col("feature") == code).select(
                 F.col("value").alias(code), F.col("w").alias(f"__a{name}")
             )
-            known = per_feature[code]["size"] if code in per_feature else 0
-            out = lookup_join(out, vocabulary, [code], small=known <= SMALL_VOCABULARY)
+            size, text = (per_feature[code][c] if code in per_feature else 0 for c in ("size", "bytes"))
+            small_enough = size <= SMALL_VOCABULARY and text + 8 * k * size <= BROADCAST_BYTES
+            out = lookup_join(out, vocabulary, [code], small=small_enough)
             ready[name] = F.coalesce(at_fold(F.col(f"__a{name}")), F.lit(0))
     out = out.select(*keys, label, fold, *[c.cast("bigint").alias(n) for n, c in ready.items()])
     rows = max((r["pos"] + r["neg"] for r in per_feature.values()), default=0)

@@ -19,6 +19,8 @@ from columnwright.storage import store
 SMALL_ROWS = 1_000_000
 # Hex digits per histogram level, and digits that surely tell rows apart.
 DIGITS, MAX_DIGITS = 3, 30
+# Ranges of a running total; their offsets are broadcast.
+MAX_RANGES = 20_000
 
 
 class HashOrder:
@@ -200,7 +202,7 @@ def running_totals(
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if n <= small_rows:
         return df.withColumn(total, F.sum(weight).over(upto(Window.orderBy(order))))
-    ranges = -(-n // small_rows) * 2
+    ranges = min(-(-n // small_rows) * 2, MAX_RANGES)
     ranged = store(
         df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()),
         "ranges",

@@ -103,7 +103,8 @@ def profile(df: DataFrame, top: int | None = 100, exact: bool = True) -> DataFra
     others = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
     out = column_stats(df).join(F.broadcast(distinct_counts(df, exact)), "column")
     if others:
-        out = out.join(F.broadcast(value_lists(df, others, top)), "column", "left")
+        lists = value_lists(df, others, top)
+        out = out.join(lists if top is None else F.broadcast(lists), "column", "left")
     else:
         out = out.withColumn("unique_values", F.lit(None).cast("array<string>"))
     return out.select(

@@ -366,8 +366,10 @@ def select_sequentially(
     if not 0 < target <= len(features):
         raise ValueError("the number of features to select must lie within the table's")
     folded = stratified_kfold(df, keys, label, k, seed).select(*keys, label, "fold", *features)
-    made = weigh(store(folded, "sfs").df, keys, label, "fold", k, features)
+    copied = store(folded, "sfs")
+    made = weigh(copied.df, keys, label, "fold", k, features)
     kept = store(made.df, "weights")
+    copied.drop()
     weighted = replace(made, df=kept.df)
     forward = direction == "forward"
     chosen: list[str] = [] if forward else list(features)

@@ -67,8 +67,10 @@ def mllib_cv_auc(
 ) -> DataFrame:
     """(fold, auc) on the training part of the stratified split."""
     folded, _ = training_folds(df, keys, label, k, test_size, seed)
-    matrix = store(feature_matrix(folded, keys, label, features, ["fold"]), "matrix").df
-    return fold_scores(matrix, features, "fold", k, scorer, seed)
+    matrix = store(feature_matrix(folded, keys, label, features, ["fold"]), "matrix")
+    scores = fold_scores(matrix.df, features, "fold", k, scorer, seed)
+    matrix.drop()
+    return scores
 
 
 def fold_scores(
