@@ -57,11 +57,13 @@ def signatures(rows: DataFrame, key: str, terms: str, samples: int = SAMPLES, ca
 
     ``terms`` is a sorted array of hashes; ``carry`` names columns of whole numbers that go along.
     """
+    # Unnesting a list of one makes Spark work out the array once, not once per reference.
+    rows = rows.select(key, *carry, F.explode(F.array(F.col(terms))).alias(terms))
     n = F.size(terms)
     last = F.filter(
         F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(F.col(terms), i) != F.get(F.col(terms), i - 1))
     )
-    runs = rows.where(n > 0).select(key, *carry, terms, last.alias("__ends"))
+    runs = rows.where(n > 0).select(key, *carry, terms, F.explode(F.array(last)).alias("__ends"))
     each = runs.select(key, *carry, terms, "__ends", F.posexplode("__ends").alias("__at", "__end"))
     weighted = each.select(
         key, *carry, F.get(F.col(terms), F.col("__end") - 1).alias("__term"),
@@ -140,11 +142,12 @@ def edited_likeness(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     name = F.shiftleft(F.col("range").cast("long"), 40) + F.col("place") * 2
     both = rows.select(
         name.alias("__name"), "doc_id", "n_chars", *_sha_parts(F.col("edited")),
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")),
-                          F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("one"),
+        F.explode(F.array(*[
+            F.struct(F.lit(i).alias("which"), sorted_terms(F.col(c)).alias("terms")) for i, c in enumerate(("text", "edited"))
+        ])).alias("one"),
     )
-    # A term that every row has keeps the rows without words; it never meets a real text's terms.
-    terms = sorted_terms(F.col("one.text"))
+    # A made-up term keeps the rows without words; their signature is dropped afterwards.
+    terms = F.col("one.terms")
     ready = both.select(
         (F.col("__name") + F.col("one.which")).alias("key"), "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3",
         (F.size(terms) == 0).cast("int").alias("bare"),
