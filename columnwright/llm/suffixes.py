@@ -44,7 +44,7 @@ LENGTH = 400
 KMER = 128
 HOT_CONTEXTS = 100_000
 BUCKET_CONTEXTS = 20_000
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 # Places of a block of windows fit into this many bits of a sort key.
 PLACE_BITS = 22
 
@@ -131,7 +131,7 @@ def context_table(rows: DataFrame, length: int, kmer: int) -> DataFrame:
                     name = digest(context, left)
                     out.append((mark["h"], t1[i], t2[i], p, name, left, len(context) - left, None if name in sent else context))
                     sent.add(name)
-                if len(out) > 20_000 or (out and i == len(found) - 1):
+                if len(out) > 5_000 or (out and i == len(found) - 1):
                     columns = list(zip(*out))
                     names = np.frombuffer(b"".join(columns[4]), "<i8").reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays(
@@ -365,7 +365,10 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     long = keyed.where(F.octet_length("text") >= length)
     marks = store(anchor_table(long.select("t1", "t2", "text"), length, kmer), "anchors").df
     place = F.xxhash64("t1", "t2", "pos")
-    twice = marks.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h")
+    # Stored sides let Spark split a hot anchor hash over tasks while it joins.
+    twice = store(
+        marks.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h"), "twice"
+    ).df
     found = marks.join(twice, "h").groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "h")).alias("found"))
     # One row stands for a text and all its copies.
     chosen = F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("row")
@@ -394,7 +397,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, kmer: int = KMER,
     answers = answers.unionByName(merged_answers(distinct.where(F.col("n") <= hot_contexts), buckets, length, kmer))
     if (needed[1] or 0) > hot_contexts:
         answers = answers.unionByName(hashed_answers(distinct.where(F.col("n") > hot_contexts), length, kmer))
-    answers = answers.groupBy("c1", "c2").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    answers = store(answers.groupBy("c1", "c2").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "answers").df
     covers = members.select("t1", "t2", "pos", "c1", "c2").join(answers, ["c1", "c2"]).select(
         "t1", "t2", F.struct((F.col("pos") - F.col("lo")).alias("low"), (F.col("pos") + F.col("hi")).alias("high")).alias("span")
     )
