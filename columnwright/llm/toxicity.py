@@ -24,8 +24,8 @@ from columnwright.llm.words import PUNCTUATION, Chunk, chunks, mix
 BUCKETS = 1 << 18
 # Labelled rows that the model is fitted to, at most: the first ones in hash order.
 SAMPLE_ROWS = 20_000
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
-EPOCHS = 3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
+EPOCHS = 5
 FOLDS = 5
 
 
