@@ -334,24 +334,26 @@ def hashed_answers(contexts: DataFrame, length: int, kmer: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c1, c2, before, context in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+            for h, c1, c2, before, context in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 offsets = [d for d in range(min(before, reach) + 1) if before - d + length <= len(context)]
                 names = [xxhash.xxh3_128_digest(context[before - d : before - d + length]) for d in offsets]
                 if names:
                     both = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
                     k = len(offsets)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([c1] * k), pa.array([c2] * k), pa.array(offsets, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                        names=["c1", "c2", "d", "w1", "w2"],
+                        [pa.array([h] * k), pa.array([c1] * k), pa.array([c2] * k), pa.array(offsets, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+                        names=["h", "c1", "c2", "d", "w1", "w2"],
                     )
 
     windows = store(
-        contexts.select("h", "c1", "c2", "before", "context").mapInArrow(run, "c1 long, c2 long, d long, w1 long, w2 long"), "windows"
+        contexts.select("h", "c1", "c2", "before", "context").mapInArrow(run, "h long, c1 long, c2 long, d long, w1 long, w2 long"), "windows"
     ).df
-    name = F.xxhash64("c1", "c2", "d")
-    twice = windows.groupBy("w1", "w2").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select("w1", "w2")
+    # Only windows at one offset of one anchor hash are compared: contexts of neighbouring
+    # anchors hold the same bytes of the same text.
+    same, name = ["h", "d", "w1", "w2"], F.xxhash64("c1", "c2")
+    twice = windows.groupBy(*same).agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x <> y").select(*same)
     return (
-        windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2")
+        windows.join(twice, same).groupBy("c1", "c2")
         .agg(F.max("d").alias("lo"), (F.lit(length) - F.min("d")).alias("hi"))
     )
 
