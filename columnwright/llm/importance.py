@@ -20,12 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from columnwright.llm.urls import bloom_level, key_hashes
 from columnwright.llm.words import Chunk, chunks, mix
 from columnwright.operators.ordering import exact_quantiles
 from columnwright.storage import store
 
 BUCKETS = 1 << 14
 SEED = 2024
+# Ids and false positive rate that the filter before the join with the good ids is made for.
+# Its size (4 MB) is the same for any number of labels; more ids let more rows through.
+FILTER_IDS, FILTER_SHARE = 4_000_000, 1 / 64
 
 
 def grams(chunk: Chunk, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -37,38 +41,55 @@ def grams(chunk: Chunk, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([text, text[1:][inside]]), (keys % np.uint64(buckets)).astype(np.int64)
 
 
-def count_grams(marked: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts (raw, target) per bucket over all rows of (text, __good).
+def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text`` of the documents that any label row of their id calls good.
+
+    A Bloom filter of fixed size keeps most other texts out of the shuffle; the join that
+    follows is exact, and the same at every size.
+    """
+    ids = labels.where("doc_id IS NOT NULL AND quality = 1").select("doc_id")
+    level = documents.sparkSession.sparkContext.broadcast(
+        bloom_level(ids.distinct().select(*key_hashes(F.col("doc_id"))), FILTER_IDS, FILTER_SHARE, 1)
+    )
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=["doc_id", "text"]).filter(pa.array(level.value.holds(a, b)))
+
+    # Hashes stand for equal ids only if both sides have one type.
+    named = documents.where("doc_id IS NOT NULL").select(
+        *key_hashes(F.col("doc_id").cast(labels.schema["doc_id"].dataType)), "doc_id", "text"
+    )
+    likely = named.mapInArrow(run, f"doc_id {kind}, text string")
+    return likely.join(ids.hint("merge"), "doc_id", "left_semi").select("text")
+
+
+def count_grams(documents: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Counts per bucket over the ``text`` of all rows.
 
     Every task adds up its own rows first, so at most ``buckets`` rows a task are shuffled and
     ``buckets`` rows reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        own = np.zeros(buckets, np.int64)
         for batch in batches:
-            good = np.array(batch.column(1).fill_null(0).to_pylist(), bool)
-            for first, last, chunk in chunks(batch.column(0), lower=True):
-                text, bucket = grams(chunk, buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[good[first:last][text]], minlength=buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"]
-        )
-
-    found = (
-        marked.mapInArrow(run, "bucket long, raw long, target long")
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    )
-    counts = np.zeros((2, buckets), np.int64)
-    for r in found:
-        counts[:, r["bucket"]] = r["raw"], r["target"]
+            for _, _, chunk in chunks(batch.column(0), lower=True):
+                own += np.bincount(grams(chunk, buckets)[1], minlength=buckets)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], names=["bucket", "n"])
+
+    found = documents.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = np.zeros(buckets, np.int64)
+    for r in found.collect():
+        counts[r["bucket"]] = r["n"]
     return counts
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability per bucket, one added to every count."""
+    """Log of target over raw probability per bucket from counts (raw, target), one added to each."""
     if not counts[1].sum():
         return np.zeros(counts.shape[1])
     share = (counts + 1.0) / (counts.sum(1, keepdims=True) + counts.shape[1])
@@ -101,13 +122,13 @@ def resample(documents: DataFrame, labels: DataFrame, share: float | None = None
     A document counts as good if any label row of its id says so. The threshold is exact: it
     lies between the k-th and the next key, found by counting ranges, not by a global sort.
     """
-    good = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
-    by_doc = good.groupBy("doc_id").agg(F.max("quality").alias("__good"))
     if share is None:
+        rated = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
+        by_doc = rated.groupBy("doc_id").agg(F.max("quality").alias("__good"))
         share = by_doc.agg(F.avg("__good")).first()[0]
         share = 1.0 if share is None else share
-    marked = documents.select("doc_id", "text").join(by_doc, "doc_id", "left").select("text", "__good")
-    ratio = log_ratio(count_grams(marked, buckets))
+    target = count_grams(good_documents(documents, labels), buckets)
+    ratio = log_ratio(np.stack([count_grams(documents, buckets), target]))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 11)
     uniform = (unit + F.lit(0.5)) / F.lit(float(1 << 53))
     scored = store(

@@ -122,8 +122,8 @@ def _filtered(keys: DataFrame, level: Level) -> DataFrame:
     return keys.mapInArrow(run, "a long, b long")
 
 
-def _level(keys: DataFrame, n: int, share: float, salt: int) -> Level:
-    """Build a filter of ``n`` keys with a false positive rate of ``share``.
+def bloom_level(keys: DataFrame, n: int, share: float, salt: int) -> Level:
+    """Build a filter of ``n`` keys, rows (a, b), with a false positive rate of ``share``.
 
     Tasks turn keys into bit places; words of 64 bits are or-ed by Spark before they reach the
     driver, which holds the finished filter only.
@@ -154,7 +154,7 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     if not n:
         return Cascade([])
     # Level one: about as many others let through as keys are listed; later ones: one in two.
-    levels = [_level(listed, n, 0.5 * n / max(everything - n, 1), 1)]
+    levels = [bloom_level(listed, n, 0.5 * n / max(everything - n, 1), 1)]
     inside = listed
     caught = store(_filtered(universe, levels[0]).join(listed, ["a", "b"], "left_anti"), "caught")
     while True:
@@ -163,7 +163,7 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
             return Cascade(levels)
         if len(levels) == MAX_LEVELS:
             raise RuntimeError("two keys share both hashes")
-        levels.append(_level(caught.df, m, 0.5, len(levels) + 1))
+        levels.append(bloom_level(caught.df, m, 0.5, len(levels) + 1))
         inside, caught = caught.df, store(_filtered(inside, levels[-1]), "caught")
 
 
