@@ -36,8 +36,7 @@ def _profile_sql(full: bool) -> str:
         )
         values = (
             "'continuous values'" if number else
-            f"(SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT {c} AS v FROM customer WHERE {c} IS NOT NULL "
-            f"GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 100))"
+            f"(SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM customer WHERE {c} IS NOT NULL))"
         )
         extra = f"count(DISTINCT {c}) AS unique_count, {values} AS unique_values, " if full else ""
         rows.append(

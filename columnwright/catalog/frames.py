@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from columnwright.functions.hashing import MISSING
 from columnwright.operators.bayes import BINS, EDGE_ROWS, EDGE_SEED, UNIT
 from columnwright.operators.selection import NOISE_SEED, PERMUTE_ROWS, PERMUTE_SEED
 from columnwright.storage import store
@@ -77,8 +78,15 @@ FROM lineitem
 # ------------------------------------------------------------- SQL pieces
 
 
+def key_sql(keys: Sequence[str]) -> str:
+    """The key values, each with its length before it; a missing one is marked."""
+    text = lambda k: f"CAST({k} AS VARCHAR)"
+    parts = [f"coalesce(length({text(k)}) || ':' || {text(k)}, '{MISSING}')" for k in keys]
+    return f"concat_ws('|', {', '.join(parts)})"
+
+
 def hash_sql(keys: Sequence[str], *salt: object) -> str:
-    return f"md5(concat_ws('|', {', '.join([*keys, *[repr(str(s)) for s in salt]])}))"
+    return f"md5(concat_ws('|', {', '.join([key_sql(keys), *[repr(str(s)) for s in salt]])}))"
 
 
 def index_sql(keys: Sequence[str], seed: object, by: str | None = None) -> str:
@@ -164,7 +172,7 @@ def weights_sql(
 
     Rows with a NULL fold only train.
     """
-    key = f"concat_ws('|', {', '.join(keys)})"
+    key = key_sql(keys)
     read = lambda c: f"coalesce({c}, 0)" if impute else c
     pieces = []
     for c in numbers:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from columnwright.catalog.frames import table
+from columnwright.catalog.frames import hash_sql, table
 from columnwright.catalog.registry import query
 from columnwright.functions import text
 from columnwright.operators import metrics, prompts as ops
@@ -83,7 +83,7 @@ def prompt_scores(spark, sf):
 
 @query("prompt_leaderboard", f"""
     SELECT prompt, round(avg(CASE WHEN {PREDICTED} = y THEN 1.0 ELSE 0.0 END), 6) AS score
-    FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', conv_id, turn, '42'))) - 1 AS idx,
+    FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql(KEYS, 42)}) - 1 AS idx,
                          count(*) OVER () AS n FROM ({TASK_SQL})) WHERE idx >= round_even(0.8 * n, 0)),
          (VALUES {PROMPT_ROWS}) p(prompt) GROUP BY 1""")
 def prompt_leaderboard(spark, sf):
@@ -97,7 +97,7 @@ def exemplar_sql(seeds, n=3):
     SELECT prompt, CAST(seed AS INTEGER) AS seed,
            string_agg('Input: ' || x || chr(10) || 'Output: ' || y, chr(10) || chr(10) ORDER BY r) || chr(10) || chr(10) || prompt AS text
     FROM (SELECT *, row_number() OVER (PARTITION BY prompt, seed
-              ORDER BY md5(concat_ws('|', md5(concat_ws('|', conv_id, turn)), prompt, seed)), conv_id, turn) AS r
+              ORDER BY md5(concat_ws('|', {hash_sql(KEYS)}, prompt, seed)), conv_id, turn) AS r
           FROM ({TASK_SQL}), (VALUES {marks}) m(prompt, seed)) WHERE r <= {n} GROUP BY prompt, seed"""
 
 

@@ -23,7 +23,7 @@ def _rounded_sql(sql):
     return f"SELECT * REPLACE (round(auc, 6) AS auc) FROM ({sql})"
 
 
-SCORE_SQL = f"SELECT quality AS y, CAST(round(letter_share * 1e9) AS BIGINT) AS score FROM ({QUALITY_SQL})"
+SCORE_SQL = f"SELECT quality AS y, letter_share AS score FROM ({QUALITY_SQL})"
 
 
 @query("auc_exact", _rounded_sql(auc_sql(SCORE_SQL)))
@@ -32,7 +32,7 @@ def auc_exact(spark, sf):
 
 
 @query("auc_per_fold", _rounded_sql(auc_sql(
-    f"SELECT quality AS y, fold, CAST(round(letter_share * 1e9) AS BIGINT) AS score "
+    f"SELECT quality AS y, fold, letter_share AS score "
     f"FROM ({kfold_rows_sql(QUALITY_SQL, KEYS, FOLDS)})", ["fold"])))
 def auc_per_fold(spark, sf):
     folded = splits.kfold(stored_quality(spark, sf), KEYS, FOLDS)

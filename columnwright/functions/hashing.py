@@ -10,10 +10,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+# Stands for a missing key value; no other key part can begin with it.
+MISSING = "~"
+
+
+def key_part(key: str) -> Column:
+    """A key value with its length before it: parts joined together stay unambiguous."""
+    text = F.col(key).cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit(MISSING))
+
 
 def row_hash(keys: Sequence[str], *salt: object) -> Column:
-    """``md5`` of the key values and the salt (usually a seed), as 32 hex digits."""
-    parts = [F.col(k).cast("string") for k in keys] + [F.lit(str(s)) for s in salt]
+    """``md5`` of the key values and the salt (usually a seed), as 32 hex digits.
+
+    Rows with different key values, missing ones included, have different texts.
+    """
+    parts = [key_part(k) for k in keys] + [F.lit(str(s)) for s in salt]
     return F.md5(F.concat_ws("|", *parts))
 
 

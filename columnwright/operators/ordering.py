@@ -93,7 +93,8 @@ class HashOrder:
         while True:
             places = [(s, self._place(s, at)) for s, spots in positions.items() for at in spots]
             big = {(s, p[0]) for s, p in places if p is not None and p[1] > rank_rows}
-            big = {(s, p) for s, p in big if len(p) < MAX_DIGITS}
+            if any(len(p) >= MAX_DIGITS for _, p in big):
+                raise ValueError(f"key columns {self.keys} do not identify rows: over {rank_rows} share a hash")
             if not big:
                 return
             digits = min(len(p) for _, p in big)
@@ -109,7 +110,8 @@ class HashOrder:
     ) -> dict[object, list[str]]:
         """For each stratum, the hash of the row at each wanted 0-based position.
 
-        A position at or past the end gives ``"g"``, which is above every hash.
+        A position at or past the end gives ``"g"``, which is above every hash. A cut
+        between rows with equal keys cannot be made and raises.
         """
         self._refine(positions, rank_rows)
         places = {s: [self._place(s, at) for at in spots] for s, spots in positions.items()}
@@ -120,8 +122,10 @@ class HashOrder:
                     wanted.setdefault((s, spot[0]), set()).add(spot[2])
         values: dict[tuple[object, str, int], str] = {}
         if wanted:
-            rank = F.row_number().over(Window.partitionBy("s", "p").orderBy("h"))
-            ranked = self._within(p for _, p in wanted).withColumn("r", rank).where(
+            order = Window.partitionBy("s", "p").orderBy("h")
+            ranked = self._within(p for _, p in wanted).withColumns(
+                {"r": F.row_number().over(order), "twin": F.lag("h").over(order) == F.col("h")}
+            ).where(
                 reduce(
                     lambda a, b: a | b,
                     [
@@ -131,7 +135,10 @@ class HashOrder:
                     ],
                 )
             )
-            values = {(r["s"], r["p"], r["r"]): r["h"] for r in ranked.collect()}
+            for r in ranked.collect():
+                if r["twin"]:
+                    raise ValueError(f"key columns {self.keys} do not identify rows: a cut falls between equal keys")
+                values[r["s"], r["p"], r["r"]] = r["h"]
         return {
             s: ["g" if spot is None else values[(s, spot[0], spot[2])] for spot in spots]
             for s, spots in places.items()

@@ -12,7 +12,8 @@ from columnwright.operators.ordering import (
 
 
 def md5(*parts):
-    return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    *keys, seed = map(str, parts)
+    return hashlib.md5("|".join([*[f"{len(k)}:{k}" for k in keys], seed]).encode()).hexdigest()
 
 
 @pytest.mark.parametrize("rank_rows", [1_000_000, 3])

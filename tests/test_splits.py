@@ -128,3 +128,32 @@ def test_caps(spark):
 def test_folds_need_no_shuffle(spark):
     plan = splits.kfold(spark.range(1_000), ["id"], 10)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+ODD_KEYS = [(None, "a"), ("a", None), ("a|", "b"), ("a", "|b"), (None, None), ("~", "a")]
+
+
+@pytest.mark.parametrize("n", range(1, 7))
+def test_missing_and_joined_keys_are_told_apart(spark, n):
+    df = spark.createDataFrame(ODD_KEYS, "x string, y string")
+    assert splits.subsample_n(df, ["x", "y"], n).count() == n
+    popped, rest = splits.pop_rows(df, ["x", "y"], n)
+    assert (popped.count(), rest.count()) == (n, 6 - n)
+
+
+def test_folds_and_splits_with_missing_keys(spark):
+    df = spark.createDataFrame([(*k, i % 2) for i, k in enumerate(ODD_KEYS)], "x string, y string, c int")
+    keys = ["x", "y"]
+    assert sizes(splits.kfold(df, keys, 3), "fold") == {(i,): 2 for i in range(3)}
+    assert sizes(splits.stratified_kfold(df, keys, "c", 3), "fold", "c") == {(i, c): 1 for i in range(3) for c in (0, 1)}
+    assert sizes(splits.split_stratified(df, keys, "c", 1 / 3), "is_test") == {(False,): 4, (True,): 2}
+    assert sizes(splits.split_random(df, keys, 0.5), "is_train") == {(False,): 3, (True,): 3}
+    assert Blocks(df, keys, 2).block(1).count() == 2
+
+
+def test_a_cut_between_equal_keys_raises(spark):
+    df = spark.createDataFrame([("a",)] * 4, "k string")
+    for cut in (lambda: splits.subsample_n(df, ["k"], 3), lambda: splits.kfold(df, ["k"], 2),
+                lambda: splits.split_random(df, ["k"], 0.5), lambda: splits.sample_row(df, ["k"])):
+        with pytest.raises(ValueError):
+            cut()
