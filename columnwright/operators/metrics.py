@@ -6,16 +6,19 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Scores are compared on this grid, so that ties are the same ties on every cluster.
-GRID_DIGITS = 9
+from columnwright.operators.ordering import running_totals
+from columnwright.storage import store
+
 # Bits folded per level. Twenty bits mean that no task ever ranks more than 2**20 entries
 # at a time; what is left after the listed levels is folded at once.
 WIDE_LEVELS = (20, 20)
 NARROW_LEVELS = (20,)
 
 
-def to_grid(score: Column, digits: int = GRID_DIGITS) -> Column:
-    return F.round(score * F.lit(float(10**digits))).cast("bigint")
+def _binary(label: Column) -> Column:
+    """The label as 0.0 / 1.0 / NULL; any other value raises."""
+    y = label.cast("double")
+    return F.when(y.isNull() | y.isin(0.0, 1.0), y).otherwise(F.raise_error(F.lit("the label must be 0 or 1")))
 
 
 def auc(
@@ -24,27 +27,30 @@ def auc(
     score: str | Column,
     by: Sequence[str] = (),
     name: str = "auc",
-    digits: int = GRID_DIGITS,
     levels: Sequence[int] = WIDE_LEVELS,
 ) -> DataFrame:
-    """Exact ROC AUC per group; NULL if a class is missing. ``label`` is 0/1.
+    """Exact ROC AUC per group; NULL if a class is missing. ``label`` is 0/1, else it raises.
 
-    Rows are first folded to counts per distinct score. Then neighbouring scores are
-    folded into buckets, and buckets into bigger ones: ``won`` is the number of
-    (positive, negative) pairs inside that are in the right order, ties counting half.
-    Neither a hot score nor a big group reaches one task as rows.
+    Rows without a label or a score (NaN is none) do not count. Rows are first folded to
+    counts per distinct score; scores that are not whole numbers are then numbered in their
+    order. Neighbouring scores are folded into buckets, and buckets into bigger ones: ``won``
+    is the number of (positive, negative) pairs inside that are in the right order, ties
+    counting half. Neither a hot score nor a big group reaches one task as rows.
     """
     column = F.col(score) if isinstance(score, str) else score
-    rows = df.select(*by, F.col(label).alias("__y"), column.alias("__g"))
-    if rows.schema["__g"].dataType.simpleString() not in ("int", "bigint"):
-        rows = rows.withColumn("__g", to_grid(F.col("__g"), digits))
-    pos, neg = F.sum("__y").cast("double"), F.sum(1 - F.col("__y")).cast("double")
+    rows = df.select(*by, _binary(F.col(label)).alias("__y"), column.alias("__g"))
+    kind = rows.schema["__g"].dataType.simpleString()
+    if kind in ("double", "float"):
+        rows = rows.withColumn("__g", F.nanvl(F.col("__g"), F.lit(None).cast(kind)))
     part = (
-        rows.where("__y IS NOT NULL AND __g IS NOT NULL")
-        .groupBy(*by, F.col("__g").cast("bigint").alias("__g"))
-        .agg(pos.alias("__pos"), neg.alias("__neg"))
-        .withColumn("__won", F.col("__pos") * F.col("__neg") / 2)
+        rows.where("__y IS NOT NULL AND __g IS NOT NULL").groupBy(*by, "__g")
+        .agg(F.sum("__y").alias("__pos"), F.sum(1 - F.col("__y")).alias("__neg"))
     )
+    if kind in ("int", "bigint"):
+        part = part.withColumn("__g", F.col("__g").cast("bigint"))
+    else:
+        part = _numbered(store(part, "score-counts").df)
+    part = part.withColumn("__won", F.col("__pos") * F.col("__neg") / 2)
     for bits in levels:
         part = _fold(part.withColumn("__up", F.shiftright("__g", bits)), [*by, "__up"])
         part = part.withColumnRenamed("__up", "__g")
@@ -53,6 +59,13 @@ def auc(
     )
 
 
+def _numbered(part: DataFrame) -> DataFrame:
+    """Counts with each distinct score replaced by its place in the order of all scores."""
+    distinct = store(part.select("__g").distinct().withColumn("__one", F.lit(1)), "scores").df
+    places = running_totals(distinct, "__g", "__one", "__place").select("__g", "__place")
+    return part.join(places, "__g").drop("__g").withColumnRenamed("__place", "__g")
+
+
 def _fold(part: DataFrame, into: Sequence[str]) -> DataFrame:
     before = Window.partitionBy(*into).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     less = F.coalesce(F.sum("__neg").over(before), F.lit(0.0))

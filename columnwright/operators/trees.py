@@ -83,7 +83,7 @@ def fold_scores(
             matrix.where(F.col(fold) != i), matrix.where(F.col(fold) == i), features,
             ESTIMATORS[scorer](seed),
         )
-        rows.append((i, auc(made, "__y", "__score").first()["auc"]))
+        rows.append((i, auc(made, "__y", F.round("__score", 9)).first()["auc"]))
     return matrix.sparkSession.createDataFrame(rows, "fold int, auc double")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from columnwright.operators import metrics
@@ -15,17 +16,17 @@ def brute(rows):
     return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("scale", [1.0, 5e6, 3e9])
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 5e6, 1e18])
 def test_auc_equals_the_pair_count(spark, scale):
     rng = random.Random(1)
-    rows = [(i % 3, int(rng.random() < 0.4), round(rng.random() * scale, 2)) for i in range(900)]
+    rows = [(i % 3, int(rng.random() < 0.4), round(rng.random(), 2) * scale) for i in range(900)]
     df = spark.createDataFrame(rows, "g int, y int, s double")
-    got = {r["g"]: r["auc"] for r in auc(df, "y", "s", ["g"], digits=2).collect()}
+    got = {r["g"]: r["auc"] for r in auc(df, "y", "s", ["g"]).collect()}
     for g in range(3):
         assert got[g] == pytest.approx(brute([(y, s) for h, y, s in rows if h == g]), abs=1e-12)
-    whole = auc(df, "y", "s", digits=2).first()["auc"]
+    whole = auc(df, "y", "s").first()["auc"]
     assert whole == pytest.approx(brute([(y, s) for _, y, s in rows]), abs=1e-12)
-    assert auc(df, "y", -F.col("s"), digits=2).first()["auc"] == pytest.approx(1 - whole, abs=1e-12)
+    assert auc(df, "y", -F.col("s")).first()["auc"] == pytest.approx(1 - whole, abs=1e-12)
 
 
 @pytest.mark.parametrize("levels", [(20, 20), (20,), (), (2, 3, 4)])
@@ -41,9 +42,16 @@ def test_auc_edge_cases(spark):
     assert auc(frame([(1, 0.5), (1, 0.7)]), "y", "s").first()["auc"] is None
     assert auc(frame([(1, 0.5), (0, 0.5)]), "y", "s").first()["auc"] == 0.5
     assert auc(frame([(1, 0.9), (0, 0.1), (None, 0.5), (1, None)]), "y", "s").first()["auc"] == 1.0
+    assert auc(frame([(1, 0.9), (0, 0.1), (0, float("nan"))]), "y", "s").first()["auc"] == 1.0
+    assert auc(frame([(1, 0.0), (0, -0.0)]), "y", "s").first()["auc"] == 0.5
     assert auc(frame([(1, None)]).where("y = 2"), "y", "s").first()["auc"] is None
 
 
+def test_auc_refuses_other_labels(spark):
+    with pytest.raises(PySparkException):
+        auc(spark.createDataFrame([(1, 0.5), (2, 0.7)], "y int, s double"), "y", "s").collect()
+
+
 def test_accuracy_counts_missing_predictions_as_wrong(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", None), ("b", "b")], "y string, p string")
     assert metrics.score_by(df, metrics.accuracy, "y", "p").first()["score"] == 0.5
