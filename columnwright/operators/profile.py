@@ -8,8 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from columnwright.functions.missing import finite
+from columnwright.storage import store
 
 CONTINUOUS = "continuous values"
+# Bytes that the value lists of one profile may hold.
+LIST_BYTES = 64_000_000
 
 
 def _clean(field: T.StructField) -> Column:
@@ -84,27 +87,35 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
-def value_lists(df: DataFrame, columns: Sequence[str], top: int | None = 100) -> DataFrame:
-    """Sorted list of the values of each column, at most the ``top`` most frequent ones.
+def value_lists(
+    df: DataFrame, columns: Sequence[str], top: int | None = None, list_bytes: int = LIST_BYTES
+) -> DataFrame:
+    """Sorted list of all values of each column, or of the ``top`` most frequent ones if asked.
 
-    A cell cannot hold an unbounded list; ``value_counts`` gives all values as rows.
-    The rank limit is applied by every task before the shuffle.
+    A cell cannot hold an unbounded list: more than ``list_bytes`` of values in all raise,
+    and ``value_counts`` gives them as rows.
     """
     counts = value_counts(df, columns)
     if top is not None:
         by_count = Window.partitionBy("column").orderBy(F.desc("count"), "value")
         counts = counts.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= top)
-    return counts.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("unique_values"))
+    values = store(counts.select("column", "value"), "values").df
+    size = values.agg(F.sum(F.octet_length("value") + F.lit(8))).first()[0] or 0
+    if size > list_bytes:
+        raise ValueError(f"value lists of {size} bytes, more than {list_bytes}: see value_counts")
+    return values.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("unique_values"))
 
 
-def profile(df: DataFrame, top: int | None = 100, exact: bool = True) -> DataFrame:
-    """One row per column: type, distinct and missing values, value list, statistics."""
+def profile(df: DataFrame, top: int | None = None, exact: bool = True) -> DataFrame:
+    """One row per column: type, distinct and missing values, value list, statistics.
+
+    Lists hold all values; see ``value_lists`` for what is too much for a list.
+    """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     others = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
     out = column_stats(df).join(F.broadcast(distinct_counts(df, exact)), "column")
     if others:
-        lists = value_lists(df, others, top)
-        out = out.join(lists if top is None else F.broadcast(lists), "column", "left")
+        out = out.join(F.broadcast(value_lists(df, others, top)), "column", "left")  # measured
     else:
         out = out.withColumn("unique_values", F.lit(None).cast("array<string>"))
     return out.select(

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from columnwright.functions.text import strip
 
 NUMERIC = {"numeric", "real", "integer"}
+# Lines in which the header of a single file is looked for before the whole file is searched.
 HEADER_LINES = 10_000
+# Ways of writing one header that the files of a folder may have.
+HEADERS = 1_000
 ATTRIBUTE = re.compile(r"\s*@attribute\s", re.IGNORECASE)
 
 
@@ -20,32 +23,30 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def arff_schema(spark: SparkSession, path: str) -> T.StructType:
     """Column names and types from the ``@attribute`` lines.
 
-    A header at the start of the first file is found without reading further. Otherwise
-    (a folder with the header in a file of its own) all files are searched, and every
-    header has to be the same.
+    The header at the start of a single file is found without reading further. The files
+    of a folder are all searched, and every header there has to be the same; it may also
+    lie in a file of its own. What reaches the driver is each way of writing it, once.
     """
-    first = [r["value"] for r in _lines(spark, path).take(HEADER_LINES)]
-    ends = [i for i, line in enumerate(first) if line.strip().lower() == "@data"]
-    if ends:
-        header = [line for line in first[: ends[0]] if ATTRIBUTE.match(line)]
+    lines = _lines(spark, path)
+    if len(lines.inputFiles()) == 1:
+        first = [r["value"] for r in lines.take(HEADER_LINES)]
+        ends = [i for i, line in enumerate(first) if line.strip().lower() == "@data"]
+        header = [line for line in first[: ends[0]] if ATTRIBUTE.match(line)] if ends else []
         if header:
             return T.StructType([_field(line) for line in header])
+    place = F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
     found = (
-        _lines(spark, path).where(F.col("value").rlike(r"(?i)^\s*@attribute\s"))
-        .select(
-            "value", F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-        )
-        .collect()
+        lines.where(F.col("value").rlike(r"(?i)^\s*@attribute\s"))
+        .select(F.col("_metadata.file_path").alias("path"), place.alias("line"))
+        .groupBy("path").agg(F.sort_array(F.collect_list("line"))["value"].alias("header"))
+        .select("header").distinct().limit(HEADERS + 1).collect()
     )
     if not found:
         raise ValueError(f"no @attribute lines in {path}")
-    by_file: dict[str, list[T.StructField]] = {}
-    for r in sorted(found, key=lambda r: (r["path"], r["block"], r["at"])):
-        by_file.setdefault(r["path"], []).append(_field(r["value"]))
-    headers = list(by_file.values())
-    if any(h != headers[0] for h in headers):
+    headers = [[_field(line) for line in r["header"]] for r in found]
+    if len(found) > HEADERS or any(h != headers[0] for h in headers):
         raise ValueError(f"the files in {path} have different headers")
     return T.StructType(headers[0])
 

@@ -51,6 +51,17 @@ def test_bad_arff_raises(spark, tmp_path):
         arff.read_arff(spark, str(path))
 
 
+def test_headers_of_all_files_are_compared(spark, tmp_path):
+    for name, columns, row in (("one", "ab", "1,2"), ("two", "ba", "3,4")):
+        lines = ["@relation t", *[f"@attribute {c} numeric" for c in columns], "@data", row]
+        (tmp_path / f"{name}.arff").write_text("\n".join(lines) + "\n")
+    with pytest.raises(ValueError, match="different headers"):
+        arff.read_arff(spark, str(tmp_path))
+    lines = ["@RELATION t", "@attribute   a numeric", "@attribute b real", "@data", "3,4"]
+    (tmp_path / "two.arff").write_text("\n".join(lines) + "\n")
+    assert sorted(tuple(r) for r in arff.read_arff(spark, str(tmp_path)).collect()) == [(1.0, 2.0), (3.0, 4.0)]
+
+
 def test_arff_round_trip(spark, tmp_path):
     rows = [(1, "plain", 0.5), (2, "it's, \\ odd", None), (3, None, -1e-9), (4, "?", 1e20), (5, "%x", 0.0)]
     df = spark.createDataFrame(rows, "id int, `a name` string, x double").repartition(3)

@@ -123,3 +123,11 @@ def test_projections(spark):
     assert columns.binary_label(df, "y", "yes").first()["y"] == 1
     assert columns.prune_accept(["a", "b"], ["a"]) and not columns.prune_accept(["a"], ["a"])
     assert not columns.prune_accept(["a", "b"], ["c"])
+
+
+def test_value_lists_hold_all_values_or_raise(spark):
+    df = spark.range(150).selectExpr("CAST(id AS string) AS c")
+    found = profile.profile(df).first()
+    assert found["unique_count"] == 150 and len(found["unique_values"]) == 150
+    with pytest.raises(ValueError):
+        profile.value_lists(df, ["c"], list_bytes=100)
