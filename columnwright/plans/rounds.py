@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -113,14 +113,14 @@ def augment_round(
     features left after pruning, the selected features per split, and the applied specs.
     Only keys, label, marks and features are written for scoring, and deleted again.
     """
-    row = {"round": number, "suggestions": json.dumps([s["name"] for s in batch]),
-           "score_before": best, "accepted": False}
-    specs, _ = validate(batch, table.columns, setup.label)
-    added = [*features, *[s["name"] for s in specs]]
+    names = [s.get("name") if isinstance(s, Mapping) else None for s in batch]
+    row = {"round": number, "suggestions": json.dumps(names, default=str), "score_before": best, "accepted": False}
     try:
+        specs, _ = validate(batch, table.columns, setup.label)
+        added = [*features, *[s["name"] for s in specs]]
         augmented = apply_specs(table, specs)
         narrow = store(augmented.select(*setup.keys, setup.label, FOLD, SPLIT, *added), "augmented")
-    except Exception as error:  # a spec that cannot be resolved, or that fails on some row
+    except Exception as error:  # no spec at all, one that cannot be resolved, or that fails on some row
         if not isinstance(error, SpecError) and not _from_spark(error):
             raise
         return {**row, "status": "failed", "selected": []}, None, list(features), [], []

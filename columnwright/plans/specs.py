@@ -6,11 +6,10 @@ in order; a later one may use an earlier one's column.
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from columnwright.functions import binning, rules
 from columnwright.functions.missing import finite, float_columns
@@ -23,20 +22,35 @@ from columnwright.storage import store
 Spec = Mapping[str, object]
 
 
+# Names of the library's own columns begin with this.
+RESERVED = "__"
+
+
 class SpecError(ValueError):
     """A spec that cannot be applied; the batch it is in fails as a whole."""
 
 
-# SQL names a column expression may not use. They leave the row, differ
-# between attempts of a task, change the number of rows, or reach outside Spark.
-BLOCKED = {
-    "reflect", "java_method", "try_reflect",
-    "select", "from", "table", "values", "over",
-    "now", "current_timestamp", "current_date", "curdate", "localtimestamp", "current_time",
-    "rand", "randn", "random", "uuid", "shuffle", "monotonically_increasing_id",
-    "spark_partition_id", "input_file_name", "input_file_block_start",
-    "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack",
-}
+# Functions a column expression may call: each takes values of the row, gives one value, and
+# the same one on every attempt.
+FUNCTIONS = set(
+    """abs acos acosh add_months asin asinh atan atan2 atanh between bin bit_count bround cbrt ceil ceiling char_length
+    character_length coalesce concat concat_ws contains conv cos cosh crc32 date_add date_diff date_format date_sub
+    datediff day dayofmonth dayofweek dayofyear degrees div e endswith exp expm1 factorial floor format_number greatest
+    hash hex hour hypot if ifnull initcap instr isnan isnotnull isnull last_day lcase least left len length levenshtein
+    ln locate log log10 log1p log2 lower lpad ltrim md5 minute mod month months_between negative nullif nvl nvl2
+    octet_length pi pmod pow power quarter radians regexp_count regexp_extract regexp_like regexp_replace repeat replace
+    reverse right rint rlike round rpad rtrim second sha2 shiftleft shiftright sign signum sin sinh size soundex split
+    sqrt startswith substr substring tan tanh to_date to_timestamp translate trim trunc try_add try_divide
+    try_multiply try_subtract ucase upper weekday weekofyear width_bucket xxhash64 year zeroif nullifzero zeroifnull""".split()
+)
+# What the parser makes of the rest of an expression that stays within a row.
+NODES = set(
+    """Literal UnresolvedAttribute UnresolvedFunction Alias Add Subtract Multiply Divide IntegralDivide Remainder
+    UnaryMinus UnaryPositive And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual
+    IsNull IsNotNull IsTrue IsNotTrue IsFalse IsNotFalse IsUnknown IsNotUnknown In Between UnresolvedBetween CaseWhen If
+    Cast TryCast Like RLike LikeAll LikeAny BitwiseAnd BitwiseOr BitwiseXor BitwiseNot Substring StringTrim
+    StringTrimLeft StringTrimRight Concat Extract""".split()
+)
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
     "std": F.stddev_samp, "count": F.count, "nunique": F.count_distinct,
@@ -53,12 +67,32 @@ def whole_word(name: str) -> str:
     return rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])"
 
 
-def sql_expression(sql: str) -> Column:
+def _nodes(sql: str) -> Iterator[tuple[str, list[str]]]:
+    """(kind, name parts) of every node of a parsed expression; Spark's own parser reads it."""
+    parser = SparkSession.active()._jsparkSession.sessionState().sqlParser()
+    stack = [parser.parseExpression(sql)]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        named = kind in ("UnresolvedAttribute", "UnresolvedFunction")
+        yield kind, node.nameParts().mkString("\0").lower().split("\0") if named else []
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+
+
+def sql_expression(sql: str, columns: Iterable[str]) -> Column:
     """A Spark SQL expression over the columns of a row."""
-    bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", " ", sql)
-    used = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", bare)} & BLOCKED
-    if used:
-        raise SpecError(f"not allowed in a column expression: {sorted(used)}")
+    known = {c.lower() for c in columns}
+    try:
+        nodes = list(_nodes(sql))
+    except Exception as error:
+        raise SpecError(f"not a column expression: {sql!r}") from error
+    for kind, parts in nodes:
+        if kind not in NODES or (kind == "UnresolvedFunction" and parts[-1] not in FUNCTIONS):
+            raise SpecError(f"not allowed in a column expression: {'.'.join(parts) or kind}")
+        # A name that is no column could be a function without brackets.
+        if kind == "UnresolvedAttribute" and parts[0] not in known:
+            raise SpecError(f"no column {parts[0]!r}")
     return F.expr(sql)
 
 
@@ -75,33 +109,71 @@ def from_declarative(spec: Spec) -> Spec:
 
 # ---------------------------------------------------------------- checking
 
-def _texts(spec: Spec) -> list[str]:
-    """Everything in a spec that can name a column."""
+def _check_shape(spec: object) -> None:
+    """Raise for a suggestion that is no spec at all."""
+    texts = lambda x: isinstance(x, (list, tuple)) and all(isinstance(t, str) for t in x)
+    if not isinstance(spec, Mapping):
+        raise SpecError(f"not a spec: {spec!r}")
+    if not all(isinstance(spec.get(part), str) and spec[part] for part in ("name", "op")):
+        raise SpecError(f"a spec needs a name and an op: {spec!r}")
+    if not texts(spec.get("input") or []) or not isinstance(spec.get("args") or {}, Mapping):
+        raise SpecError(f"{spec['name']}: input is a list of columns, args a dict")
+
+
+def _expressions(args: Mapping[str, object]) -> list[str]:
+    rules = [r[0] for r in args.get("rules") or [] if isinstance(r, (list, tuple)) and r]
+    found = [args.get("sql"), args.get("condition"), *(args.get("conditions") or []), *rules]
+    return [x for x in found if isinstance(x, str)]
+
+
+def _named(value: object) -> Iterator[str]:
+    """Every column named by a ``{"column": name}`` somewhere in the arguments."""
+    if isinstance(value, Mapping):
+        if isinstance(value.get("column"), str):
+            yield value["column"]
+        for inner in value.values():
+            yield from _named(inner)
+    elif isinstance(value, (list, tuple)):
+        for inner in value:
+            yield from _named(inner)
+
+
+def columns_used(spec: Spec) -> set[str]:
+    """Names that a spec may read, in lower case, as Spark resolves them.
+
+    An expression that cannot be parsed names none; it cannot be applied either.
+    """
     args = spec.get("args") or {}
-    out = [str(c) for c in spec.get("input") or []]
-    for key in ("sql", "condition", "conditions", "by", "rules"):
-        if key in args:
-            out.append(json.dumps(args[key], default=str))
+    out = {c.lower() for c in [*(spec.get("input") or []), *(args.get("by") or []), *_named(args)]}
+    for sql in _expressions(args):
+        try:
+            out |= {p for kind, parts in _nodes(sql) if kind == "UnresolvedAttribute" for p in parts}
+        except Exception:  # no expression: applying it raises
+            continue
     return out
 
 
 def uses(spec: Spec, name: str) -> bool:
-    return any(re.search(whole_word(name), text) for text in _texts(spec))
+    return name.lower() in columns_used(spec)
 
 
 def validate(
     specs: Sequence[Spec], existing: Iterable[str], target: str | None = None
 ) -> tuple[list[Spec], list[tuple[str, str]]]:
-    """Specs to apply, and (name, reason) of those skipped: the name is taken, or the
-    target is used. The first of several specs with one name wins."""
-    taken, kept, skipped = set(existing), [], []
+    """Specs to apply, and (name, reason) of those skipped: the name is taken or reserved,
+    or the target is used. The first of several specs with one name wins; case does not
+    tell names apart. Something that is no spec raises ``SpecError``."""
+    taken, kept, skipped = {c.lower() for c in existing}, [], []
     for spec in specs:
+        _check_shape(spec)
         if target and uses(spec, target):
             skipped.append((spec["name"], "uses_target"))
-        elif spec["name"] in taken:
+        elif spec["name"].startswith(RESERVED):
+            skipped.append((spec["name"], "reserved"))
+        elif spec["name"].lower() in taken:
             skipped.append((spec["name"], "exists"))
         else:
-            taken.add(spec["name"])
+            taken.add(spec["name"].lower())
             kept.append(spec)
     return kept, skipped
 
@@ -150,9 +222,16 @@ def _input(df: DataFrame, spec: Spec, i: int = 0) -> Column:
     return finite(F.col(name)) if name in float_columns(df) else F.col(name)
 
 
-def _value(raw: object) -> Column:
+def _existing(df: DataFrame, name: str) -> str:
+    """A name that stands for a column of the table just as it is written."""
+    if name.lower() not in {c.lower() for c in df.columns}:
+        raise SpecError(f"no column {name!r}")
+    return name
+
+
+def _value(df: DataFrame, raw: object) -> Column:
     """A constant, or ``{"column": name}``."""
-    return F.col(raw["column"]) if isinstance(raw, Mapping) else F.lit(raw)
+    return F.col(_existing(df, raw["column"])) if isinstance(raw, Mapping) else F.lit(raw)
 
 
 def _bin_quantile(df: DataFrame, spec: Spec) -> Column:
@@ -199,26 +278,26 @@ ROW_OPS: dict[str, Callable[[DataFrame, Spec], Column]] = {
     "bin_quantile": _bin_quantile,
     "bin_fixed_width": lambda df, s: binning.bin_fixed_width(_input(df, s), s["args"]["size"]),
     "case_where": lambda df, s: rules.case_where(
-        sql_expression(s["args"]["condition"]), _value(s["args"]["yes"]), _value(s["args"]["no"])
+        sql_expression(s["args"]["condition"], df.columns), _value(df, s["args"]["yes"]), _value(df, s["args"]["no"])
     ),
     "flag_conjunction": lambda df, s: rules.flag_conjunction(
-        [sql_expression(c) for c in s["args"]["conditions"]]
+        [sql_expression(c, df.columns) for c in s["args"]["conditions"]]
     ),
     "interaction_threshold": lambda df, s: rules.interaction_threshold(
         _input(df, s, 0), s["args"]["threshold"], _input(df, s, 1)
     ),
     "case_rules": lambda df, s: rules.case_rules(
-        [(sql_expression(c), _value(v)) for c, v in s["args"]["rules"]],
-        _value(s["args"]["otherwise"]) if "otherwise" in s["args"] else None,
+        [(sql_expression(c, df.columns), _value(df, v)) for c, v in s["args"]["rules"]],
+        _value(df, s["args"]["otherwise"]) if "otherwise" in s["args"] else None,
     ),
-    "expr": lambda df, s: sql_expression(s["args"]["sql"]),
+    "expr": lambda df, s: sql_expression(s["args"]["sql"], df.columns),
 }
 TABLE_OPS: dict[str, Callable[[DataFrame, Spec], DataFrame]] = {
     "pct_rank": lambda df, s: ranks.pct_rank(df, s["input"][0], s["name"]),
     "category_codes": lambda df, s: ranks.category_codes(df, s["input"][0], s["name"]),
     "mapping": lambda df, s: _mapping(df, s),
     "group_transform": lambda df, s: ranks.group_transform(
-        df, s["args"]["by"], AGGREGATES[s["args"]["agg"]](_input(df, s)), s["name"]
+        df, [_existing(df, c) for c in s["args"]["by"]], AGGREGATES[s["args"]["agg"]](_input(df, s)), s["name"]
     ),
 }
 

@@ -86,7 +86,7 @@ def test_text_in_quotes_is_not_checked(people):
     assert column(apply_specs(people, [spec]), "t")[0] == "select 25"
 
 
-def test_taken_names_and_the_target_are_skipped():
+def test_taken_names_and_the_target_are_skipped(spark):
     batch = [
         {"name": "a", "op": "expr", "args": {"sql": "x + 1"}},
         {"name": "a", "op": "expr", "args": {"sql": "x + 2"}},
@@ -94,11 +94,63 @@ def test_taken_names_and_the_target_are_skipped():
         {"name": "b", "op": "expr", "args": {"sql": "class = 1"}},
         {"name": "c", "op": "expr", "args": {"sql": "class_size = 1"}},
         {"name": "d", "op": "pct_rank", "input": ["class"]},
+        {"name": "f", "op": "expr", "args": {"sql": "CLASS + x"}},
         {"name": "e", "op": "group_transform", "input": ["x"], "args": {"by": ["class"], "agg": "avg"}},
     ]
     kept, skipped = validate(batch, ["x", "class"], "class")
     assert [(s["name"], s["args"]["sql"]) for s in kept] == [("a", "x + 1"), ("c", "class_size = 1")]
-    assert skipped == [("a", "exists"), ("x", "exists"), ("b", "uses_target"), ("d", "uses_target"), ("e", "uses_target")]
+    assert skipped == [("a", "exists"), ("x", "exists"), ("b", "uses_target"), ("d", "uses_target"), ("f", "uses_target"), ("e", "uses_target")]
+
+
+@pytest.mark.parametrize("args", [
+    {"op": "case_where", "args": {"condition": "x > 1", "yes": {"column": "gr\u00f6\u00dfe"}, "no": 0}},
+    {"op": "case_rules", "args": {"rules": [["x > 1", 1]], "otherwise": {"column": "Gr\u00f6\u00dfe"}}},
+    {"op": "case_rules", "args": {"rules": [["x > 1", {"column": "gr\u00f6\u00dfe"}]]}},
+    {"op": "expr", "args": {"sql": "`GR\u00f6\u00dfE` + 1"}},
+    {"op": "expr", "args": {"sql": "`gr\u00f6\u00dfe` + 1"}},
+    {"op": "flag_conjunction", "args": {"conditions": ["x > 1", "coalesce(`gr\u00f6\u00dfe`, 0) = 1"]}},
+])
+def test_no_way_to_the_target(spark, args):
+    assert validate([{"name": "n", "input": [], **args}], ["x", "gr\u00f6\u00dfe"], "gr\u00f6\u00dfe")[1] == [("n", "uses_target")]
+
+
+@pytest.mark.parametrize("args", [
+    {"op": "expr", "args": {"sql": "struct(*)"}},
+    {"op": "expr", "args": {"sql": "hash(*)"}},
+    {"op": "case_where", "args": {"condition": "true", "yes": {"column": "`age`"}, "no": 0}},
+    {"op": "group_transform", "input": ["income"], "args": {"by": ["`age`"], "agg": "avg"}},
+    {"op": "expr", "args": {"sql": "concat(r'\\', reflect('java.lang.System', 'lineSeparator'), r'\\')"}},
+    {"op": "expr", "args": {"sql": "uniform(0, 1)"}},
+    {"op": "expr", "args": {"sql": "randstr(5)"}},
+    {"op": "expr", "args": {"sql": "unix_timestamp()"}},
+    {"op": "expr", "args": {"sql": "current_user"}},
+    {"op": "expr", "args": {"sql": "current_date"}},
+    {"op": "expr", "args": {"sql": "json_tuple('{}', 'a')"}},
+])
+def test_expressions_stay_in_the_row(people, args):
+    with pytest.raises(SpecError):
+        apply_specs(people, [{"name": "n", "input": [], **args}])
+
+
+def test_common_expressions_are_allowed(people):
+    sql = ("CASE WHEN age BETWEEN 20 AND 30 AND score IS NOT NULL THEN upper(trim('a')) "
+           "WHEN age IN (35, 40) OR NOT (income > 1) THEN substring('xyz', 1, 2) ELSE cast(-age % 7 AS string) END")
+    out = apply_specs(people, [{"name": "n", "op": "expr", "input": [], "args": {"sql": sql}}])
+    assert column(out, "n") == ["A", "A", "xy", "xy", None, "-1", "-4"]
+
+
+def test_case_does_not_tell_names_apart(spark):
+    make = lambda name: {"name": name, "op": "expr", "input": [], "args": {"sql": "x"}}
+    kept, skipped = validate([make("Quality"), make("a"), make("A"), make("__fold")], ["x", "quality"])
+    assert [s["name"] for s in kept] == ["a"]
+    assert skipped == [("Quality", "exists"), ("A", "exists"), ("__fold", "reserved")]
+
+
+@pytest.mark.parametrize("bad", [None, "text", {}, {"name": "a"}, {"name": 1, "op": "expr"},
+                                 {"name": "a", "op": "expr", "input": "x"}, {"name": "a", "op": "expr", "args": "x"}])
+def test_what_is_no_spec_raises(bad):
+    with pytest.raises(SpecError):
+        validate([bad], ["x"])
 
 
 def test_latest_round_wins():
