@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from columnwright.functions.hashing import MISSING
-from columnwright.operators.bayes import BINS, EDGE_ROWS, EDGE_SEED, UNIT
-from columnwright.operators.selection import NOISE_SEED, PERMUTE_ROWS, PERMUTE_SEED
+from columnwright.operators.bayes import BINS, UNIT
+from columnwright.operators.selection import NOISE_SEED, PERMUTE_SEED
 from columnwright.storage import store
 
 
@@ -145,16 +145,11 @@ def stratified_fold_sql(
     """
 
 
-def edges_sql(source: str, keys: Sequence[str], numbers: Sequence[str], impute: bool = True) -> str:
+def edges_sql(source: str, numbers: Sequence[str], impute: bool = True) -> str:
     steps = ", ".join(str(i / BINS) for i in range(1, BINS))
     read = lambda c: f"coalesce({c}, 0)" if impute else c
     picks = ", ".join(f"quantile_disc({read(c)}, [{steps}]) AS e_{c}" for c in numbers) or "1 AS e_none"
-    digits = f"('0x' || substr({hash_sql(keys, EDGE_SEED)}, 1, 8))::BIGINT"
-    sample = (
-        f"SELECT * FROM (SELECT *, count(*) OVER () AS n_edge FROM ({source})) "
-        f"WHERE n_edge <= {EDGE_ROWS} OR {digits} < {EDGE_ROWS * 16**8} // n_edge"
-    )
-    return f"SELECT {picks} FROM ({sample})"
+    return f"SELECT {picks} FROM ({source})"
 
 
 def weights_sql(
@@ -190,7 +185,7 @@ def weights_sql(
         )
     return f"""
     folded AS ({folded}),
-    edges AS ({edges or edges_sql('SELECT * FROM folded', keys, numbers, impute)}),
+    edges AS ({edges or edges_sql('SELECT * FROM folded', numbers, impute)}),
     long AS ({' UNION ALL '.join(pieces)}),
     counted AS (SELECT feature, value, fold, sum(y) AS p, sum(1 - y) AS n FROM long GROUP BY ALL),
     sizes AS (SELECT feature, count(DISTINCT coalesce(value, '~missing~')) AS size FROM counted GROUP BY 1),
@@ -244,11 +239,11 @@ def importance_sql(
     folded: str, keys: Sequence[str], label: str, numbers: Sequence[str], categories: Sequence[str],
     k: int,
 ) -> str:
-    """(fold, feature, importance); rows are permuted within hash groups of each fold."""
+    """(fold, feature, importance); each row gets the values of the next one of its fold in a hash order."""
     features = [*numbers, *categories]
     ctes = weights_sql(folded, keys, label, numbers, categories, k)
     pivot = ", ".join(f"sum(w) FILTER (WHERE feature = '{f}') AS w{i}" for i, f in enumerate(features))
-    ring = "PARTITION BY fold, grp ORDER BY h"
+    ring = "PARTITION BY fold ORDER BY h"
     nexts = ", ".join(
         f"coalesce(lead(w{i}) OVER ({ring}), first_value(w{i}) OVER ({ring})) AS p{i}"
         for i in range(len(features))
@@ -265,9 +260,7 @@ def importance_sql(
     WITH {ctes},
     wide AS (SELECT row_id, any_value(y) AS y, any_value(fold) AS fold,
                     md5(concat_ws('|', row_id, '{PERMUTE_SEED}')) AS h, {pivot} FROM rw GROUP BY row_id),
-    grouped AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT
-                          % greatest(1, (SELECT count(*) FROM folded) // {PERMUTE_ROWS}) AS grp FROM wide),
-    swapped AS (SELECT *, {nexts} FROM grouped),
+    swapped AS (SELECT *, {nexts} FROM wide),
     variants AS ({variants}),
     aucs AS ({auc_sql('SELECT * FROM variants', ['fold', 'feature'])})
     SELECT a.fold, a.feature, b.auc - a.auc AS importance

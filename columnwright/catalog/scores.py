@@ -78,7 +78,7 @@ def kfold_auc_all(spark, sf):
 def _holdout_sql():
     marked = stratified_split_sql(QUALITY_SQL, KEYS, LABEL)
     folded = f"SELECT *, CASE WHEN is_test THEN 0 END AS fold FROM ({marked})"
-    edges = edges_sql("SELECT * FROM folded WHERE fold IS NULL", KEYS, QUALITY_NUMBERS)
+    edges = edges_sql("SELECT * FROM folded WHERE fold IS NULL", QUALITY_NUMBERS)
     ctes = weights_sql(folded, KEYS, LABEL, QUALITY_NUMBERS, QUALITY_CATEGORIES, 1, edges=edges)
     scored = "SELECT row_id, any_value(y) AS y, sum(w) AS score FROM rw GROUP BY row_id"
     return f"WITH {ctes} SELECT auc FROM ({auc_sql(scored)})"

@@ -16,16 +16,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from columnwright.functions.binning import edges_crossed
-from columnwright.functions.hashing import row_hash
 from columnwright.functions.missing import finite
 from columnwright.operators.joins import BROADCAST_BYTES, lookup_join
 from columnwright.operators.metrics import NARROW_LEVELS, auc
+from columnwright.operators.ordering import discrete_quantiles
 from columnwright.operators.splits import kfold, split_stratified, training_folds
 from columnwright.storage import store
 
 BINS = 8
-EDGE_ROWS = 50_000
-EDGE_SEED = "edges"
 # Weights are whole thousandths: sums are exact, and there are few distinct scores to count.
 UNIT = 1_000
 # A vocabulary up to this size is sent to every executor, a bigger one is shuffled.
@@ -41,41 +39,18 @@ def _reading(name: str, impute: bool) -> Column:
     return F.coalesce(column, F.lit(0.0)) if impute else column
 
 
-def edge_sample(
-    df: DataFrame, keys: Sequence[str], rows: int | None = EDGE_ROWS, n: int | None = None
-) -> DataFrame:
-    """About ``rows`` of the ``n`` rows, those with the lowest hashes; all of a smaller table."""
-    if rows is None:
-        return df
-    n = df.count() if n is None else n
-    if n <= rows:
-        return df
-    return df.where(F.substring(row_hash(keys, EDGE_SEED), 1, 8) < f"{rows * 16**8 // n:08x}")
-
-
 def numeric_edges(
     df: DataFrame,
-    keys: Sequence[str],
     columns: Sequence[str],
     bins: int = BINS,
     impute: bool = True,
-    sample_rows: int | None = EDGE_ROWS,
     n: int | None = None,
 ) -> dict[str, list[float]]:
-    """Inner bin edges per column: discrete quantiles of a hash sample of about
-    ``sample_rows`` rows. Labels play no part in them; counts use every row."""
+    """Inner bin edges per column: exact discrete quantiles of all rows. Labels play no part."""
     if not columns:
         return {}
-    sample = edge_sample(df, keys, sample_rows, n)
-    steps = ", ".join(f"{i / bins}D" for i in range(1, bins))
-    read = sample.select(*[_reading(c, impute).alias(f"c{i}") for i, c in enumerate(columns)])
-    found = read.agg(
-        *[
-            F.expr(f"percentile_disc(array({steps})) WITHIN GROUP (ORDER BY c{i})").alias(f"q{i}")
-            for i in range(len(columns))
-        ]
-    ).first()
-    return {c: sorted(set(found[f"q{i}"] or [])) for i, c in enumerate(columns)}
+    read = df.select(*[_reading(c, impute).alias(f"c{i}") for i, c in enumerate(columns)])
+    return {c: sorted(set(q)) for c, q in zip(columns, discrete_quantiles(read, bins, n=n))}
 
 
 @dataclass(frozen=True)
@@ -115,7 +90,7 @@ def weigh(
     """
     numbers = _numbers(df, features)
     if edges is None:
-        edges = numeric_edges(df, keys, numbers, bins, impute, n=n)
+        edges = numeric_edges(df, numbers, bins, impute, n)
     codes = {f: f"__v{i}" for i, f in enumerate(features)}
     coded = df.where(F.col(label).isNotNull()).select(
         *keys,
@@ -255,7 +230,7 @@ def holdout_auc(
     """AUC on the holdout of a model fitted on the training part."""
     marked = split_stratified(df, keys, label, test_size, seed, "__test")
     train = marked.where(~F.col("__test"))
-    edges = numeric_edges(train, keys, _numbers(df, features))
+    edges = numeric_edges(train, _numbers(df, features))
     split = marked.withColumn("fold", F.when(F.col("__test"), F.lit(0))).drop("__test")
     weighted = weigh(split, keys, label, "fold", 1, features, edges=edges)
     return auc(weighted.df, label, weighted.total(), levels=NARROW_LEVELS)

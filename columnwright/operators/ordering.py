@@ -7,13 +7,14 @@ from collections.abc import Iterable, Mapping, Sequence
 from copy import copy
 from functools import reduce
 from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.ml.feature import Bucketizer
 
 from columnwright.functions.hashing import row_hash
 from columnwright.functions.missing import finite
-from columnwright.storage import store
+from columnwright.storage import scratch, store
 
 # Rows that one task may rank.
 SMALL_ROWS = 1_000_000
@@ -288,6 +289,103 @@ def exact_quantiles(
     return out
 
 
+def discrete_quantiles(
+    values: DataFrame, steps: int, leaf_rows: int = SMALL_ROWS, n: int | None = None
+) -> list[list[float]]:
+    """For each column of doubles, the least values that 1/steps, 2/steps, .. of its values
+    do not exceed; an empty list for a column without values.
+
+    All columns go through the same passes. Values of a small table are ranked at once. Else
+    they are written once, a sketch per column proposes cuts, the values between cuts are counted (only counts are
+    shuffled), ranges that hold a wanted rank are split until they have at most ``leaf_rows``
+    values or three passes are done, and the distinct values of just those are ranked.
+    """
+    names = [f"c{i}" for i in range(len(values.columns))]
+    read = values.toDF(*names)
+    n = read.count() if n is None else n
+    shares = [i / steps for i in range(1, steps)]
+    if n * len(names) <= leaf_rows:
+        listed = ", ".join(f"{p}D" for p in shares)
+        small = read.agg(*[
+            F.expr(f"percentile_disc(array({listed})) WITHIN GROUP (ORDER BY {c})").alias(c) for c in names
+        ]).first()
+        return [list(q or []) for q in small]
+    with scratch():
+        # The passes read doubles only, whatever it took to make them.
+        return _narrowed_quantiles(store(read, "values").df, shares, leaf_rows)
+
+
+def _narrowed_quantiles(read: DataFrame, shares: Sequence[float], leaf_rows: int) -> list[list[float]]:
+    names = read.columns
+    grid = [i / 256 for i in range(1, 256)]
+    sketch = lambda c: F.percentile_approx(c, grid, 10_000).alias("q")
+    head = read.agg(*[x for c in names for x in (F.count(c), sketch(c))]).first()
+    ranks = [sorted({ceil(size * p) - 1 for p in shares}) if size else [] for size in head[0::2]]
+    cuts = [sorted(set(q or [0.0])) for q in head[1::2]]
+    for passes_left in (2, 1, 0):
+        counts = [[0] * (len(c) + 1) for c in cuts]
+        for c, b, m in _columns_bucketed(read, cuts).groupBy("c", "b").agg(F.count(F.lit(1))).collect():
+            counts[c][b] = m
+        ends = [list(accumulate(c)) for c in counts]
+        targets = [sorted({bisect_right(ends[c], r) for r in ranks[c]}) for c in range(len(names))]
+        big = [[b for b in bs if counts[c][b] > leaf_rows] for c, bs in enumerate(targets)]
+        if not any(big) or not passes_left:
+            break
+        wider = [set(c) for c in cuts]
+        crowded = _columns_bucketed(read, cuts).where(_in_buckets(big))
+        for c, b, q in crowded.groupBy("c", "b").agg(sketch("v")).collect():
+            wider[c].update(q)
+        if all(len(w) == len(c) for w, c in zip(wider, cuts)):
+            break
+        cuts = [sorted(w) for w in wider]
+    by_value = (
+        _columns_bucketed(read, cuts).where(_in_buckets(targets)).groupBy("c", "b", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = Window.partitionBy("c", "b").orderBy("v")
+    spans = by_value.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
+    wanted = {
+        (c, r): (bisect_right(ends[c], r), r - (ends[c][bisect_right(ends[c], r) - 1] if r >= ends[c][0] else 0))
+        for c, rs in enumerate(ranks) for r in rs
+    }
+    if not wanted:
+        return [[] for _ in names]
+    hit = reduce(
+        lambda x, y: x | y,
+        [
+            (F.col("c") == c) & (F.col("b") == b) & (F.col("lo") <= at) & (F.col("hi") > at)
+            for (c, _), (b, at) in wanted.items()
+        ],
+    )
+    rows = spans.where(hit).collect()
+    value = lambda c, r: next(
+        x["v"] for x in rows
+        if (x["c"], x["b"]) == (c, wanted[c, r][0]) and x["lo"] <= wanted[c, r][1] < x["hi"]
+    )
+    return [[value(c, ceil(size * p) - 1) for p in shares] if size else [] for c, size in enumerate(head[0::2])]
+
+
+def _columns_bucketed(read: DataFrame, cuts: Sequence[Sequence[float]]) -> DataFrame:
+    """(c, b, v): number of the column, bucket by its own cuts, and value."""
+    names, buckets = read.columns, [f"b{i}" for i in range(len(cuts))]
+    marked = Bucketizer(
+        inputCols=names, outputCols=buckets, handleInvalid="keep",
+        splitsArray=[[float("-inf"), *c, float("inf")] for c in cuts],
+    ).transform(read)
+    each = F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(b).cast("int").alias("b"), F.col(v).alias("v"))
+        for i, (v, b) in enumerate(zip(names, buckets))
+    ])
+    return marked.select(F.inline(each)).where("v IS NOT NULL")
+
+
+def _in_buckets(buckets: Sequence[Sequence[int]]) -> Column:
+    return reduce(
+        lambda x, y: x | y,
+        [(F.col("c") == c) & F.col("b").isin(list(bs)) for c, bs in enumerate(buckets) if bs], F.lit(False),
+    )
+
+
 def _floor(x: float) -> int:
     return int(x // 1)
 

@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from columnwright.functions.hashing import hash_uniform, row_hash
 from columnwright.operators.bayes import Weighted, weigh
-from columnwright.operators.joins import lookup_join
+from columnwright.operators.joins import BROADCAST_BYTES, lookup_join
 from columnwright.operators.metrics import NARROW_LEVELS, auc
-from columnwright.operators.ordering import HashOrder
+from columnwright.operators.ordering import MAX_RANGES, HashOrder
 from columnwright.operators.splits import repeated_stratified_kfold, stratified_kfold
-from columnwright.storage import store
+from columnwright.storage import scratch, store
 
 PERMUTE_SEED = "permute"
 NOISE_SEED = "noise"
-# Rows that are permuted among each other; a bigger split has several such hash groups.
-PERMUTE_ROWS = 200_000
+# Rows that one task orders; the order of a bigger table is cut into ranges.
+RANGE_ROWS = 200_000
 BASE = "__base"
 PLAIN = "__plain"
 
@@ -95,25 +95,39 @@ def noise_columns(df: DataFrame, keys: Sequence[str], n: int = 3) -> tuple[DataF
     return df.withColumns({c: hash_uniform(keys, NOISE_SEED, i) for i, c in enumerate(names)}), names
 
 
-def permute(weighted: Weighted, rows_per_group: int = PERMUTE_ROWS) -> tuple[Weighted, dict[str, str]]:
-    """Add, per feature, the weight of the next row of the same fold in a hash order.
+def permute(weighted: Weighted, rows_per_range: int = RANGE_ROWS) -> tuple[Weighted, dict[str, str]]:
+    """Add, per feature, the weight of the next row of the same fold in a hash order; the
+    last row of a fold is followed by its first.
 
     Inside one fold a row's weight depends on its value alone, so the neighbour's weight
-    is the weight of the permuted value. Hash groups keep any window partition small; they
-    are random subsets, so permuting inside them is as good as permuting the fold.
+    is the weight of the permuted value. A table of more than ``rows_per_range`` rows is
+    range-partitioned and written with its range number: ranges are ordered by their own
+    tasks, and the last row of a range gets the first row of the next one, which are
+    broadcast. The number of ranges does not change the result.
     """
-    groups = max(1, weighted.rows // rows_per_group)
-    names = {f: f"__p{i}" for i, f in enumerate(weighted.columns)}
-    h = row_hash(weighted.keys, PERMUTE_SEED)
-    group = F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint"), F.lit(groups))
-    ring = Window.partitionBy(weighted.fold, "__g").orderBy("__h")
+    fold, names = weighted.fold, {f: f"__p{i}" for i, f in enumerate(weighted.columns)}
     row = F.struct(*[F.col(w).alias(names[f]) for f, w in weighted.columns.items()])
-    out = (
-        weighted.df.withColumn("__h", h).withColumn("__g", group).withColumn("__row", row)
-        .withColumn("__next", F.coalesce(F.lead("__row").over(ring), F.first("__row").over(ring)))
-        .select(*weighted.df.columns, "__next.*")
-    )
-    return replace(weighted, df=out), names
+    hashed = weighted.df.withColumn("__h", row_hash(weighted.keys, PERMUTE_SEED))
+    follower = lambda c, window: F.coalesce(F.lead(c).over(window), F.first(c).over(window))
+    most = min(MAX_RANGES, BROADCAST_BYTES // (16 * (len(names) + 2)))
+    ranges = min(-(-weighted.rows // rows_per_range), most)
+    if ranges <= 1:
+        ring = Window.partitionBy(fold).orderBy("__h")
+        out = hashed.withColumn("__row", row).withColumn("__next", follower("__row", ring))
+    else:
+        ranged = store(
+            hashed.repartitionByRange(ranges, fold, "__h").withColumn("__range", F.spark_partition_id()), "ring"
+        ).df.withColumn("__row", row)
+        heads = ranged.groupBy(fold, "__range").agg(F.min_by("__row", "__h").alias("__head"))
+        ring = Window.partitionBy(fold).orderBy("__range")
+        borders = heads.select(fold, "__range", follower("__head", ring).alias("__border"))
+        within = Window.partitionBy(fold, "__range").orderBy("__h")
+        out = (
+            ranged.withColumn("__after", F.lead("__row").over(within))
+            .join(F.broadcast(borders), [fold, "__range"])
+            .withColumn("__next", F.coalesce("__after", "__border"))
+        )
+    return replace(weighted, df=out.select(*weighted.df.columns, "__next.*")), names
 
 
 def score_variants(
@@ -160,15 +174,16 @@ def importance_variants(
 def permutation_importance(
     weighted: Weighted,
     features: Sequence[str] | None = None,
-    rows_per_group: int = PERMUTE_ROWS,
+    rows_per_range: int = RANGE_ROWS,
 ) -> DataFrame:
     """(fold, feature, importance): AUC lost when the feature's values are permuted."""
     names = list(weighted.columns) if features is None else list(features)
-    swapped, permuted = permute(weighted, rows_per_group)
-    folds = [r[0] for r in weighted.df.select(weighted.fold).distinct().collect()]
-    scores = score_variants(swapped, importance_variants(swapped, permuted, {s: names for s in folds}))
-    # One score per (fold, feature): bounded by the schema, whatever the table holds.
-    scores = store(scores, "scores").df
+    with scratch():
+        swapped, permuted = permute(weighted, rows_per_range)
+        folds = [r[0] for r in weighted.df.select(weighted.fold).distinct().collect()]
+        scores = score_variants(swapped, importance_variants(swapped, permuted, {s: names for s in folds}))
+        # One score per (fold, feature): bounded by the schema, whatever the table holds.
+        scores = store(scores, "scores", lasting=True).df
     base = scores.where(F.col("variant") == BASE).select(weighted.fold, F.col("auc").alias("__base"))
     return (
         scores.where(F.col("variant") != BASE).join(F.broadcast(base), weighted.fold)

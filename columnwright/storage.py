@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,15 +44,41 @@ class Stored:
 
     def drop(self) -> None:
         """Delete the files. Only for tables no later query reads."""
-        jvm = self.df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.df.sparkSession._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+        _delete(self.df.sparkSession, self.path)
 
 
-def store(df: DataFrame, name: str = "table") -> Stored:
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+# Paths written in each open block, the innermost last.
+_blocks: ContextVar[tuple[list[str], ...]] = ContextVar("blocks", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what is stored inside this block at its end, also after an error.
+
+    A ``lasting`` table belongs to the block around it, or stays if there is none.
+    """
+    made: list[str] = []
+    token = _blocks.set((*_blocks.get(), made))
+    try:
+        yield
+    finally:
+        _blocks.reset(token)
+        spark = SparkSession.getActiveSession()
+        for path in made:
+            _delete(spark, path)
+
+
+def store(df: DataFrame, name: str = "table", lasting: bool = False) -> Stored:
     """Write ``df`` as Parquet and read it back: short lineage, column pruning, real sizes."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    blocks = _blocks.get()[:-1] if lasting else _blocks.get()
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from columnwright.operators import ordering
 from columnwright.operators.ordering import (
-    HashOrder, exact_quantiles, require_unique_keys, running_totals,
+    HashOrder, discrete_quantiles, exact_quantiles, require_unique_keys, running_totals,
 )
 
 
@@ -79,6 +80,20 @@ def test_exact_quantiles(spark, leaf_rows):
     assert got == pytest.approx(np.quantile(values, probabilities).tolist(), abs=1e-12)
 
 
+@pytest.mark.parametrize("leaf_rows", [1_000_000, 20])
+def test_discrete_quantiles_of_several_columns(spark, leaf_rows):
+    rng = np.random.default_rng(6)
+    columns = [rng.normal(size=6_000), np.where(rng.random(6_000) < 0.4, 0.25, rng.random(6_000)), rng.integers(0, 5, 6_000)]
+    rows = [tuple(None if rng.random() < 0.1 else float(c[i]) for c in columns) for i in range(6_000)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "a double, b double, c double, d double")
+    want = []
+    for i in range(3):
+        values = sorted(r[i] for r in rows if r[i] is not None)
+        want.append([values[math.ceil(len(values) * s / 8) - 1] for s in range(1, 8)])
+    assert discrete_quantiles(df, 8, leaf_rows) == [*want, []]
+    assert discrete_quantiles(df.limit(0), 8, leaf_rows) == [[]] * 4
+
+
 def test_quantiles_of_nothing(spark):
     assert exact_quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]) == [None]
 

@@ -94,15 +94,18 @@ def test_columns_may_have_any_name(spark):
 # ---------------------------------------------------------------- selection
 
 
-def test_permutation_groups_keep_the_multiset(spark):
+def test_permutation_is_one_ring_per_fold(spark):
     df = splits.kfold(table(spark), ["id"], 3)
     weighted = bayes.weigh(df, ["id"], "y", "fold", 3, ["x", "c"])
-    for per_group in (selection.PERMUTE_ROWS, 40):
-        swapped, names = selection.permute(weighted, per_group)
+    seen = []
+    for per_range in (selection.RANGE_ROWS, 40, 7):
+        swapped, names = selection.permute(weighted, per_range)
+        seen.append(sorted(map(tuple, swapped.df.collect())))
         for f, column in weighted.columns.items():
             sums = swapped.df.groupBy("fold").agg(F.sum(column).alias("a"), F.sum(names[f]).alias("b")).collect()
             assert all(r["a"] == r["b"] for r in sums)
             assert swapped.df.where(F.col(column) != F.col(names[f])).count() > 50
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_importance_ranks_the_signal_first(spark):
