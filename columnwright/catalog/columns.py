@@ -301,8 +301,7 @@ ROUNDS = [
            CAST(o_orderstatus = 'O' AS INTEGER) AS open FROM orders""")
 def accumulate_columns(spark, sf):
     df = orders(spark, sf)
-    out = specs.apply_specs(df, specs.latest_specs(ROUNDS, df.columns))
-    return out.select("o_orderkey", "o_custkey", "tier", "open")
+    return specs.accumulate(df, ROUNDS).select("o_orderkey", "o_custkey", "tier", "open")
 
 
 # ------------------------------------------------------------- lookups

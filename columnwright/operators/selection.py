@@ -261,60 +261,56 @@ def prune_staged(
         table = table.withColumnRenamed("fold", "split")
     else:
         table = splitter(df)
-    table, noise = noise_columns(table, keys, n_noise)
-    table = table.select(*keys, label, "split", *features, *noise)
-    copied = store(table, "pruning") if copy else None
-    if copied is not None:
-        table = copied.df
-    splits = sorted(r["split"] for r in table.select("split").distinct().collect())
-    useless = useless_features(table, keys, features, "split")
-    weighted = weigh(table, keys, label, "split", max(splits) + 1, [*features, *noise])
-    swapped, permuted = permute(weighted)
-    kept = store(swapped.df, "weights")
-    swapped = replace(swapped, df=kept.df)
-
-    start = {s: [f for f in features if f not in useless[s]] for s in splits}
-    best_set, best_auc = dict(start), dict.fromkeys(splits, -1.0)
-    deadline = time.monotonic() + time_limit_per_split * len(splits)
-    seen: dict[tuple, dict[str, float]] = {}
-    for stage in stages:
-        rows = swapped.df if stage.rows is None else _cap_per_split(swapped, stage.rows)
-        current, misses = dict(best_set), dict.fromkeys(splits, 0)
-        open_splits = [s for s in splits if current[s]]
-        while open_splits and time.monotonic() < deadline:
-            extra = noise if stage.against_noise else []
-            active = {s: [*current[s], *extra] for s in open_splits}
-            # A later stage walks through sets that an earlier one has scored.
-            at = {s: (s, stage.rows, *active[s]) for s in open_splits}
-            fresh = {s: active[s] for s in open_splits if at[s] not in seen}
-            if fresh:
-                variants = importance_variants(swapped, permuted, fresh, extra)
-                seen.update({at[s]: {} for s in fresh})
-                for r in score_variants(swapped, variants, rows).collect():
-                    seen[at[r["split"]]][r["variant"]] = r["auc"] or 0.0
-            still_open = []
-            for s in open_splits:
-                found = seen[at[s]]
-                base = found.get(BASE, 0.0)
-                value = found.get(PLAIN if extra else BASE, 0.0)
-                if value >= best_auc[s]:
-                    best_set[s], best_auc[s], misses[s] = current[s], value, 0
-                else:
-                    misses[s] += 1
-                gain = {f: base - found.get(f, 0.0) for f in active[s]}
-                droppable = sorted(current[s], key=lambda f: (gain[f], current[s].index(f)))
-                if extra:
-                    bar = max(gain[f] for f in noise)
-                    droppable = [f for f in droppable if gain[f] <= bar]
-                n_drop = min(math.ceil(stage.ratio * len(current[s])), len(current[s]) - 1)
-                dropped = set(droppable[:n_drop])
-                if dropped and misses[s] < stage.patience:
-                    current[s] = [f for f in current[s] if f not in dropped]
-                    still_open.append(s)
-            open_splits = still_open
-    kept.drop()
-    if copied is not None:
-        copied.drop()
+    with scratch():
+        table, noise = noise_columns(table, keys, n_noise)
+        table = table.select(*keys, label, "split", *features, *noise)
+        if copy:
+            table = store(table, "pruning").df
+        splits = sorted(r["split"] for r in table.select("split").distinct().collect())
+        useless = useless_features(table, keys, features, "split")
+        weighted = weigh(table, keys, label, "split", max(splits) + 1, [*features, *noise])
+        swapped, permuted = permute(weighted)
+        swapped = replace(swapped, df=store(swapped.df, "weights").df)
+
+        start = {s: [f for f in features if f not in useless[s]] for s in splits}
+        best_set, best_auc = dict(start), dict.fromkeys(splits, -1.0)
+        deadline = time.monotonic() + time_limit_per_split * len(splits)
+        seen: dict[tuple, dict[str, float]] = {}
+        for stage in stages:
+            rows = swapped.df if stage.rows is None else _cap_per_split(swapped, stage.rows)
+            current, misses = dict(best_set), dict.fromkeys(splits, 0)
+            open_splits = [s for s in splits if current[s]]
+            while open_splits and time.monotonic() < deadline:
+                extra = noise if stage.against_noise else []
+                active = {s: [*current[s], *extra] for s in open_splits}
+                # A later stage walks through sets that an earlier one has scored.
+                at = {s: (s, stage.rows, *active[s]) for s in open_splits}
+                fresh = {s: active[s] for s in open_splits if at[s] not in seen}
+                if fresh:
+                    variants = importance_variants(swapped, permuted, fresh, extra)
+                    seen.update({at[s]: {} for s in fresh})
+                    for r in score_variants(swapped, variants, rows).collect():
+                        seen[at[r["split"]]][r["variant"]] = r["auc"] or 0.0
+                still_open = []
+                for s in open_splits:
+                    found = seen[at[s]]
+                    base = found.get(BASE, 0.0)
+                    value = found.get(PLAIN if extra else BASE, 0.0)
+                    if value >= best_auc[s]:
+                        best_set[s], best_auc[s], misses[s] = current[s], value, 0
+                    else:
+                        misses[s] += 1
+                    gain = {f: base - found.get(f, 0.0) for f in active[s]}
+                    droppable = sorted(current[s], key=lambda f: (gain[f], current[s].index(f)))
+                    if extra:
+                        bar = max(gain[f] for f in noise)
+                        droppable = [f for f in droppable if gain[f] <= bar]
+                    n_drop = min(math.ceil(stage.ratio * len(current[s])), len(current[s]) - 1)
+                    dropped = set(droppable[:n_drop])
+                    if dropped and misses[s] < stage.patience:
+                        current[s] = [f for f in current[s] if f not in dropped]
+                        still_open.append(s)
+                open_splits = still_open
     out = [(s, i, f) for s in splits for i, f in enumerate(best_set[s])]
     if on_split is not None:
         for s in splits:
@@ -380,28 +376,25 @@ def select_sequentially(
     target = len(features) // 2 if n_features is None else n_features
     if not 0 < target <= len(features):
         raise ValueError("the number of features to select must lie within the table's")
-    folded = stratified_kfold(df, keys, label, k, seed).select(*keys, label, "fold", *features)
-    copied = store(folded, "sfs")
-    made = weigh(copied.df, keys, label, "fold", k, features)
-    kept = store(made.df, "weights")
-    copied.drop()
-    weighted = replace(made, df=kept.df)
-    forward = direction == "forward"
-    chosen: list[str] = [] if forward else list(features)
-    steps: list[tuple[int, str, float]] = []
-    while (len(chosen) < target) if forward else (len(chosen) > target):
-        trials = {
-            f: [*chosen, f] if forward else [c for c in chosen if c != f]
-            for f in features
-            if (f in chosen) != forward
-        }
-        scores = score_variants(weighted, [(f, weighted.total(fs)) for f, fs in trials.items()])
-        means = {r["variant"]: r["m"] for r in scores.groupBy("variant").agg(F.avg("auc").alias("m")).collect()}
-        # Equal to six digits is equal: the earlier feature wins.
-        best = max(trials, key=lambda f: (round(means.get(f) or 0.0, 6), -list(features).index(f)))
-        chosen = trials[best]
-        steps.append((len(steps) + 1, best, means.get(best)))
-    kept.drop()
+    with scratch():
+        folded = stratified_kfold(df, keys, label, k, seed).select(*keys, label, "fold", *features)
+        made = weigh(store(folded, "sfs").df, keys, label, "fold", k, features)
+        weighted = replace(made, df=store(made.df, "weights").df)
+        forward = direction == "forward"
+        chosen: list[str] = [] if forward else list(features)
+        steps: list[tuple[int, str, float]] = []
+        while (len(chosen) < target) if forward else (len(chosen) > target):
+            trials = {
+                f: [*chosen, f] if forward else [c for c in chosen if c != f]
+                for f in features
+                if (f in chosen) != forward
+            }
+            scores = score_variants(weighted, [(f, weighted.total(fs)) for f, fs in trials.items()])
+            means = {r["variant"]: r["m"] for r in scores.groupBy("variant").agg(F.avg("auc").alias("m")).collect()}
+            # Equal to six digits is equal: the earlier feature wins.
+            best = max(trials, key=lambda f: (round(means.get(f) or 0.0, 6), -list(features).index(f)))
+            chosen = trials[best]
+            steps.append((len(steps) + 1, best, means.get(best)))
     return steps
 
 

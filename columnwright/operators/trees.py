@@ -14,8 +14,8 @@ from columnwright.functions.missing import finite
 from columnwright.operators import bayes
 from columnwright.operators.metrics import auc
 from columnwright.operators.ranks import category_codes
-from columnwright.operators.splits import training_folds
-from columnwright.storage import store
+from columnwright.operators.splits import kfold, split_stratified, training_folds
+from columnwright.storage import scratch, store
 
 
 def gbt(seed: int = 42) -> Estimator:
@@ -67,10 +67,59 @@ def mllib_cv_auc(
 ) -> DataFrame:
     """(fold, auc) on the training part of the stratified split."""
     folded, _ = training_folds(df, keys, label, k, test_size, seed)
-    matrix = store(feature_matrix(folded, keys, label, features, ["fold"]), "matrix")
-    scores = fold_scores(matrix.df, features, "fold", k, scorer, seed)
-    matrix.drop()
-    return scores
+    return scored_folds(folded, keys, label, features, "fold", k, scorer, seed)
+
+
+def scored_folds(
+    folded: DataFrame,
+    keys: Sequence[str],
+    label: str,
+    features: Sequence[str],
+    fold: str,
+    k: int,
+    scorer: str,
+    seed: int = 42,
+) -> DataFrame:
+    """(fold, auc) on a table with folds; its feature matrix is written once."""
+    with scratch():
+        matrix = store(feature_matrix(folded, keys, label, features, [fold]), "matrix").df
+        return fold_scores(matrix, features, fold, k, scorer, seed)
+
+
+def kfold_auc_all(
+    df: DataFrame,
+    keys: Sequence[str],
+    label: str,
+    features: Sequence[str],
+    k: int = 5,
+    seed: int = 42,
+    scorer: str = "nb",
+) -> DataFrame:
+    """k-fold AUC over all rows by the named scorer."""
+    if scorer == "nb":
+        return bayes.kfold_auc_all(df, keys, label, features, k, seed)
+    if scorer in ESTIMATORS:
+        return scored_folds(kfold(df, keys, k, seed), keys, label, features, "fold", k, scorer, seed)
+    raise ValueError(f"unknown scorer: {scorer!r}")
+
+
+def holdout_auc(
+    df: DataFrame,
+    keys: Sequence[str],
+    label: str,
+    features: Sequence[str],
+    test_size: float = 0.2,
+    seed: int = 42,
+    scorer: str = "nb",
+) -> DataFrame:
+    """AUC on the holdout of a model fitted on the training part, by the named scorer."""
+    if scorer == "nb":
+        return bayes.holdout_auc(df, keys, label, features, test_size, seed)
+    if scorer in ESTIMATORS:
+        marked = split_stratified(df, keys, label, test_size, seed, "__test")
+        split = marked.withColumn("fold", F.when(F.col("__test"), F.lit(0)).otherwise(F.lit(1)))
+        return scored_folds(split, keys, label, features, "fold", 1, scorer, seed).select("auc")
+    raise ValueError(f"unknown scorer: {scorer!r}")
 
 
 def fold_scores(

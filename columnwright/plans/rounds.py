@@ -14,9 +14,9 @@ from columnwright.operators.ledger import PERFECT
 from columnwright.operators.ordering import HashOrder, require_unique_keys
 from columnwright.operators.selection import STAGES, Stage
 from columnwright.operators.splits import stratified_kfold_column, training_folds
-from columnwright.plans.specs import Spec, SpecError, apply_specs, latest_specs, validate
+from columnwright.plans.specs import Spec, accumulate, apply_specs, spec_at_fault, validate
 from columnwright.sources.sinks import LEDGER, append_ledger, append_selected, ledger_row
-from columnwright.storage import store
+from columnwright.storage import Stored, scratch, store
 
 FOLD, SPLIT = "__fold", "__split"
 N_SPLITS = 3
@@ -77,25 +77,25 @@ def mean_cv_auc(
     features = list(dict.fromkeys(f for fs in sets for f in fs))
     mean = lambda scores: scores.agg(F.avg("auc")).first()[0]
     if setup.scorer == "nb":
-        weighted = bayes.weigh(train, setup.keys, setup.label, FOLD, setup.folds, features)
-        scores = selection.score_variants(
-            weighted, [(str(i), weighted.total(fs)) for i, fs in enumerate(sets)]
-        )
-        found = {
-            r["variant"]: r["m"]
-            for r in scores.groupBy("variant").agg(F.avg("auc").alias("m")).collect()
-        }
+        with scratch():
+            weighted = bayes.weigh(train, setup.keys, setup.label, FOLD, setup.folds, features)
+            scores = selection.score_variants(
+                weighted, [(str(i), weighted.total(fs)) for i, fs in enumerate(sets)]
+            )
+            found = {
+                r["variant"]: r["m"]
+                for r in scores.groupBy("variant").agg(F.avg("auc").alias("m")).collect()
+            }
         return [found.get(str(i)) for i in range(len(sets))]
     if setup.scorer in trees.ESTIMATORS:
-        matrix = store(
-            trees.feature_matrix(train, setup.keys, setup.label, features, [FOLD]), "matrix"
-        )
-        out = [
-            mean(trees.fold_scores(matrix.df, fs, FOLD, setup.folds, setup.scorer, setup.seed))
-            for fs in sets
-        ]
-        matrix.drop()
-        return out
+        with scratch():
+            matrix = store(
+                trees.feature_matrix(train, setup.keys, setup.label, features, [FOLD]), "matrix"
+            ).df
+            return [
+                mean(trees.fold_scores(matrix, fs, FOLD, setup.folds, setup.scorer, setup.seed))
+                for fs in sets
+            ]
     raise ValueError(f"unknown scorer: {setup.scorer!r}")
 
 
@@ -106,26 +106,33 @@ def augment_round(
     setup: Setup,
     number: int,
     best: float,
-) -> tuple[dict, DataFrame | None, list[str], list[tuple[int, int, str]], list[Spec]]:
+) -> tuple[dict, Stored | None, list[str], list[tuple[int, int, str]], list[Spec]]:
     """One round on a prepared table.
 
-    Gives the ledger row, the table with the new columns (None if the batch failed), the
-    features left after pruning, the selected features per split, and the applied specs.
-    Only keys, label, marks and features are written for scoring, and deleted again.
+    Gives the ledger row, the written table with the new columns (None if the batch failed),
+    the features left after pruning, the selected features per split, and the applied specs.
+    What else the round writes is deleted at its end.
     """
+    with scratch():
+        return _round(table, features, batch, setup, number, best)
+
+
+def _round(
+    table: DataFrame, features: Sequence[str], batch: Sequence[Spec], setup: Setup, number: int, best: float
+) -> tuple[dict, Stored | None, list[str], list[tuple[int, int, str]], list[Spec]]:
     names = [s.get("name") if isinstance(s, Mapping) else None for s in batch]
     row = {"round": number, "suggestions": json.dumps(names, default=str), "score_before": best, "accepted": False}
     try:
         specs, _ = validate(batch, table.columns, setup.label)
         added = [*features, *[s["name"] for s in specs]]
-        augmented = apply_specs(table, specs)
-        narrow = store(augmented.select(*setup.keys, setup.label, FOLD, SPLIT, *added), "augmented")
+        columns = dict.fromkeys([*setup.keys, setup.label, FOLD, SPLIT, *setup.sources, *added])
+        augmented = store(apply_specs(table, specs).select(*columns), "augmented", lasting=True)
     except Exception as error:  # no spec at all, one that cannot be resolved, or that fails on some row
-        if not isinstance(error, SpecError) and not _from_spark(error):
+        if not spec_at_fault(error):
             raise
         return {**row, "status": "failed", "selected": []}, None, list(features), [], []
     selected = selection.prune_staged(
-        narrow.df, setup.keys, setup.label, added,
+        augmented.df, setup.keys, setup.label, added,
         splitter=lambda df: df.withColumn("split", F.col(SPLIT)),
         stages=setup.stages, time_limit_per_split=setup.time_limit_per_split, seed=setup.seed,
         copy=False,
@@ -135,8 +142,7 @@ def augment_round(
     )
     smaller = prune_accept(added, votes) and bool(votes)
     left = votes if smaller else added
-    scores = mean_cv_auc(narrow.df, [added, left] if smaller else [added], setup)
-    narrow.drop()
+    scores = mean_cv_auc(augmented.df, [added, left] if smaller else [added], setup)
     row["score_added"], row["score_pruned"] = scores[0], scores[-1]
     row["selected"] = votes
     row["accepted"] = row["score_pruned"] > best
@@ -144,10 +150,6 @@ def augment_round(
     return row, augmented, left, selected, specs
 
 
-def _from_spark(error: Exception) -> bool:
-    return type(error).__module__.startswith(("pyspark.errors", "py4j"))
-
-
 def augment_run(
     df: DataFrame,
     features: Sequence[str],
@@ -162,9 +164,25 @@ def augment_run(
     ``batches`` is a list, or a function of the run so far that gives the next batch (None
     to stop). A round is kept if its score is strictly above all earlier ones; a failed
     batch counts as a round and changes nothing; a perfect score ends the run. Columns in
-    ``setup.sources`` can be used by specs but are not features. The input columns are
-    written once; accepted columns are expressions and lookups on top of that table.
+    ``setup.sources`` can be used by specs but are not features. The table of a kept round
+    is the next one's input as it was written; the one before it and those of other rounds
+    are deleted, so plans do not grow over rounds. An error deletes them all.
     """
+    with scratch():
+        run, current = _rounds(df, features, batches, setup, max_rounds, ledger_path, selected_path)
+        current.keep()
+    return run
+
+
+def _rounds(
+    df: DataFrame,
+    features: Sequence[str],
+    batches: Sequence[Sequence[Spec]] | Callable[[Run, int], Sequence[Spec] | None],
+    setup: Setup,
+    max_rounds: int,
+    ledger_path: str | None,
+    selected_path: str | None,
+) -> tuple[Run, Stored]:
     require_unique_keys(df, setup.keys)
     columns = list(dict.fromkeys([*setup.keys, setup.label, *features, *setup.sources]))
     current = store(prepare(df.select(*columns), setup), "prepared")
@@ -195,19 +213,26 @@ def augment_run(
             append_selected(selection.selected_frame(df, selected), selected_path)
         if row["accepted"]:
             keep = dict.fromkeys([*setup.keys, setup.label, FOLD, SPLIT, *setup.sources, *left])
-            run.table, run.features = augmented.select(*keep), left
+            current.drop()
+            current = augmented
+            run.table, run.features = current.df.select(*keep), left
             best, run.selected = row["score_pruned"], selected
+        elif augmented is not None:
+            augmented.drop()
         if row.get("score_pruned") is not None and row["score_pruned"] > PERFECT:
             break
     run.auc_all_after = _all_rows(run.table, run.features, setup)
-    return run
+    return run, current
 
 
 def _all_rows(table: DataFrame, features: Sequence[str], setup: Setup) -> float:
-    scores = bayes.kfold_auc_all(table, setup.keys, setup.label, features, setup.folds, setup.seed)
-    return scores.agg(F.avg("auc")).first()[0]
+    with scratch():
+        scores = trees.kfold_auc_all(
+            table, setup.keys, setup.label, features, setup.folds, setup.seed, setup.scorer
+        )
+        return scores.agg(F.avg("auc")).first()[0]
 
 
 def all_columns(df: DataFrame, run: Run) -> DataFrame:
     """The table with every column ever added, the latest round winning per name."""
-    return apply_specs(df, latest_specs(run.applied, df.columns))
+    return accumulate(df, run.applied)

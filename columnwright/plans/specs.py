@@ -204,13 +204,18 @@ def validate_suggestions(
     ).drop("__first", "uses_target", "exists")
 
 
-def latest_specs(rounds: Sequence[Sequence[Spec]], original: Iterable[str] = ()) -> list[Spec]:
-    """Specs of all rounds, the latest round winning per name; original columns stay."""
-    latest: dict[str, Spec] = {}
+def accumulate(df: DataFrame, rounds: Sequence[Sequence[Spec]]) -> DataFrame:
+    """The table with the columns of all rounds, the latest round winning per name.
+
+    Rounds are applied in order, so a spec reads the columns as they were in its own round;
+    what an earlier round made of a column keeps its values. Original columns stay.
+    """
+    original = {c.lower() for c in df.columns}
     for batch in rounds:
-        for spec in batch:
-            latest[spec["name"]] = spec
-    return [s for name, s in latest.items() if name not in set(original)]
+        specs = [s for s in batch if s["name"].lower() not in original]
+        if specs:
+            df = apply_specs(df.drop(*[s["name"] for s in specs]), specs)
+    return df
 
 
 # ---------------------------------------------------------------- applying
@@ -332,5 +337,28 @@ def apply_specs(df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
     except SpecError:
         raise
     except Exception as error:
+        if from_spark(error) and not spec_at_fault(error):
+            raise
         raise SpecError(f"specs cannot be applied: {error}") from error
     return out
+
+
+# How Spark names errors that an expression or the values of a row cause.
+ROW_ERROR = re.compile(
+    r"(?:Analysis|Parse|Arithmetic|NumberFormat|DateTime|ArrayIndexOutOfBounds|IllegalArgument|Runtime|"
+    r"UnsupportedOperation|NoSuchElement)Exception"
+)
+
+
+def from_spark(error: Exception) -> bool:
+    return type(error).__module__.startswith(("pyspark.errors", "py4j"))
+
+
+def spec_at_fault(error: Exception) -> bool:
+    """Whether a spec or a value made Spark fail, not a lost executor, a full disk or the like."""
+    if isinstance(error, SpecError):
+        return True
+    if not from_spark(error):
+        return False
+    named = type(error).__name__
+    return bool(ROW_ERROR.fullmatch(named) or re.search(r"Spark" + ROW_ERROR.pattern, str(error)))

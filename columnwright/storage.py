@@ -46,6 +46,12 @@ class Stored:
         """Delete the files. Only for tables no later query reads."""
         _delete(self.df.sparkSession, self.path)
 
+    def keep(self) -> None:
+        """Take the table out of the block it belongs to."""
+        for made in _blocks.get():
+            if self.path in made:
+                made.remove(self.path)
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

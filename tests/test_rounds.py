@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from columnwright.plans import rounds
 from columnwright.sources import sinks
+from columnwright.storage import shared_folder, store
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +44,22 @@ def test_a_run_keeps_what_helps(spark, table, tmp_path):
     assert run.ledger_frame().where("accepted").count() == 3
 
 
+def test_only_the_accepted_table_is_left(spark, table):
+    store(spark.range(1))
+    folder = os.path.join(shared_folder(spark).removeprefix("file:"), "columnwright")
+    before = set(os.listdir(folder))
+    band = {"name": "band", "op": "pct_rank", "input": ["c"]}
+    run = rounds.augment_run(table, ["a", "c"], [[HALF, band], [BAD], [DIFFERENT]], setup(sources=["b"]))
+    assert [r["status"] for r in run.ledger][-1] == "kept"
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert "Join" not in run.table._jdf.queryExecution().optimizedPlan().toString()
+    assert run.table.count() == 300
+    kept = set(os.listdir(folder))
+    with pytest.raises(ZeroDivisionError):
+        rounds.augment_run(table, ["c"], lambda run, number: [1 // 0], setup())
+    assert set(os.listdir(folder)) == kept
+
+
 def test_batches_may_depend_on_the_run(table):
     seen = []
 

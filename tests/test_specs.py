@@ -1,8 +1,9 @@
 import pytest
+from pyspark.errors import ArithmeticException, PySparkException
 from pyspark.sql import functions as F
 
 from columnwright.plans import specs
-from columnwright.plans.specs import SpecError, apply_specs, latest_specs, validate
+from columnwright.plans.specs import SpecError, accumulate, apply_specs, spec_at_fault, validate
 
 
 @pytest.fixture(scope="module")
@@ -153,10 +154,21 @@ def test_what_is_no_spec_raises(bad):
         validate([bad], ["x"])
 
 
-def test_latest_round_wins():
-    make = lambda name, sql: {"name": name, "op": "expr", "args": {"sql": sql}}
-    rounds = [[make("a", "1"), make("b", "1")], [make("a", "2"), make("base", "0")]]
-    assert [(s["name"], s["args"]["sql"]) for s in latest_specs(rounds, ["base"])] == [("a", "2"), ("b", "1")]
+def test_latest_round_wins_and_earlier_values_stay(spark):
+    make = lambda name, sql: {"name": name, "op": "expr", "input": [], "args": {"sql": sql}}
+    rounds = [
+        [make("a", "x + 1"), make("y", "a + 100")], [make("a", "x * 1000"), make("base", "0")],
+        [make("b", "a + 1"), {"name": "y2", "op": "pct_rank", "input": ["x"]}], [make("Y2", "b * 2"), make("c", "b")],
+    ]
+    df = spark.createDataFrame([(5, 7)], "x int, base int")
+    row = accumulate(df, rounds).first().asDict()
+    assert row == {"x": 5, "base": 7, "y": 106, "a": 5000, "b": 5001, "Y2": 10002, "c": 5001}
+
+
+def test_only_specs_and_values_are_spec_at_fault():
+    assert spec_at_fault(SpecError("x")) and spec_at_fault(ArithmeticException("x"))
+    assert spec_at_fault(PySparkException("Caused by: org.apache.spark.SparkArithmeticException: [DIVIDE_BY_ZERO]"))
+    assert not spec_at_fault(PySparkException("ExecutorLostFailure (executor 3 exited)")) and not spec_at_fault(KeyError("x"))
 
 
 def test_suggestion_rows(spark):
