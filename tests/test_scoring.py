@@ -86,6 +86,17 @@ def test_scorers(spark):
         trees.cv_auc(df, ["id"], "y", ["x"], 2, scorer="other")
 
 
+def test_scorers_on_all_rows_and_on_the_holdout(spark):
+    df = table(spark, 200)
+    for scorer in ("nb", "lr"):
+        scores = trees.kfold_auc_all(df, ["id"], "y", ["x", "c"], 2, scorer=scorer).collect()
+        assert [r["fold"] for r in scores] == [0, 1] and all(r["auc"] > 0.75 for r in scores)
+        assert trees.holdout_auc(df, ["id"], "y", ["x", "c"], scorer=scorer).first()["auc"] > 0.7
+    for function in (trees.kfold_auc_all, trees.holdout_auc):
+        with pytest.raises(ValueError):
+            function(df, ["id"], "y", ["x"], scorer="other")
+
+
 def test_columns_may_have_any_name(spark):
     df = table(spark).select("id", F.col("y").alias("score"), F.col("x").alias("v0"), F.col("c").alias("y"))
     assert bayes.cv_auc(df, ["id"], "score", ["v0", "y"], 3).count() == 3
