@@ -8,7 +8,11 @@ sample. Two texts agree in a sample with a probability equal to the generalised
 similarity of their weighted terms.
 
 Counts come from a sorted array inside the row, so terms are never shuffled; the least values
-are a grouped minimum that Spark combines before the shuffle.
+are a grouped minimum within the ranges in which the texts already lie. A document's text and
+its edited text share most terms, and a term they share draws once for both.
+
+The share of samples that agree has a standard error of sqrt(p (1 - p) / SAMPLES) at a true
+likeness of p: at most 0.044 with 128 samples.
 
 Defined results: a null text is the empty text; texts without words have the fingerprint of
 ``-`` signs, alike with each other (1.0) and unlike all others (0.0); rows that repeat an id
@@ -17,21 +21,29 @@ follow each other by text; null ids come first; an empty table gives an empty ta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from columnwright.llm.ranges import id_ranges
-from columnwright.storage import store
 
-SAMPLES = 32
+SAMPLES = 128
+# Samples that a term is entered for at a time; with more, the JVM leaves the code uncompiled.
+WIDTH = 2
 SEPARATORS = r"[\x20\x09-\x0D]+"
 RANGE_BYTES = 8_000_000
 LOW = (1 << 32) - 1
 
 
+def hashes(text: Column, tag: int = 0) -> Column:
+    """The hashes of a text's words, repeats included; the lowest bit is ``tag``."""
+    words = F.array_remove(F.split(text, SEPARATORS), "")
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(tag)))
+
+
 def sorted_terms(text: Column) -> Column:
     """The hashes of a text's words, sorted, repeats included."""
-    words = F.array_remove(F.split(text, SEPARATORS), "")
-    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.sort_array(hashes(text))
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -40,40 +52,104 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (part + F.lit(0.5)) * F.lit(2.0**-width)
 
 
-def sample(term: Column, log_weight: Column, j: int) -> Column:
-    """What a term enters for sample ``j``: its value in the upper, (term, t) in the lower 32 bits."""
-    first, second = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
-    r = -F.log(_uniform(first, 0, 21) * _uniform(first, 21, 21))
-    b = _uniform(first, 42, 21)
-    c = -F.log(_uniform(second, 0, 31) * _uniform(second, 31, 31))
-    t = F.floor(log_weight / r + b)
-    value = F.log(c) - r * (t - b) - r
-    place = ((F.greatest(F.lit(-60.0), F.least(F.lit(60.0), value)) + F.lit(64.0)) * F.lit(float(1 << 24))).cast("long")
-    return F.shiftleft(place, 32).bitwiseOR(term.bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
+def _log(x: Column) -> Column:
+    """The logarithm of a number known to be above zero: never null, which shortens the code."""
+    return F.coalesce(F.log(x), F.lit(0.0))
+
 
+def _samples(terms: DataFrame, keep: list[str], width: int, texts: int) -> DataFrame:
+    """``keep`` and what a term enters for each of ``width`` samples from number ``__from`` on.
 
-def signatures(rows: DataFrame, key: str, terms: str, samples: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
+    ``__0_0``, ``__0_1``, ..: its value in the upper, (term, t) in the lower 32 bits, for each of
+    the ``texts`` weights of the term. Each step is a projection of its own, so that Spark works
+    out what later steps read more than once only once.
+    """
+    of = range(width)
+    both = [(i, j) for i in range(texts) for j in of]
+    weights = [f"__weight{i}" for i in range(texts)]
+    col = lambda name, j: F.col(f"__{name}{j}")
+    number = F.col("__from") * 2
+    hashed = terms.select(
+        *keep, "__term", *weights,
+        *[F.xxhash64("__term", number + 2 * j).alias(f"__h{j}") for j in of],
+        *[F.xxhash64("__term", number + (2 * j + 1)).alias(f"__g{j}") for j in of],
+    )
+    drawn = hashed.select(
+        *keep, "__term", *weights,
+        *[(-_log(_uniform(col("h", j), 0, 21) * _uniform(col("h", j), 21, 21))).alias(f"__r{j}") for j in of],
+        *[_uniform(col("h", j), 42, 21).alias(f"__b{j}") for j in of],
+        *[_log(-_log(_uniform(col("g", j), 0, 31) * _uniform(col("g", j), 31, 31))).alias(f"__c{j}") for j in of],
+    )
+    stepped = drawn.select(
+        *keep, "__term", *[f"__{x}{j}" for x in "rbc" for j in of],
+        *[F.coalesce(F.floor(F.col(f"__weight{i}") / col("r", j) + col("b", j)), F.lit(0).cast("long")).alias(f"__t{i}_{j}")
+          for i, j in both],
+    )
+
+    def entry(i: int, j: int) -> Column:
+        t = F.col(f"__t{i}_{j}")
+        value = col("c", j) - col("r", j) * (t - col("b", j)) - col("r", j)
+        # Between -88 and 64: 32 bits hold it.
+        place = ((value + F.lit(60.0)) * F.lit(float(1 << 24))).cast("long")
+        return F.shiftleft(place, 32).bitwiseOR(F.col("__term").bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
+
+    return stepped.select(*keep, *[entry(i, j).alias(f"__{i}_{j}") for i, j in both])
+
+
+def signatures(
+    rows: DataFrame, key: str | Sequence[str], terms: str, samples: int = SAMPLES,
+    carry: tuple[str, ...] = (), texts: int = 1,
+) -> DataFrame:
     """``key`` and ``signature`` (array of ``samples`` integers) of every row that has terms.
 
     ``terms`` is a sorted array of hashes; ``carry`` names columns of whole numbers that go along.
+    With two ``texts`` the lowest bit of a hash tells the text it is from, and the signature of
+    the second is ``signature1``; a term of both draws once. ``key`` is one column or several; if
+    rows lie together by some of them, nothing is shuffled. A term is entered for ``WIDTH``
+    samples at a time: the code has one size for any number of samples, which the JVM compiles.
     """
+    key = [key] if isinstance(key, str) else list(key)
     # Unnesting a list of one makes Spark work out the array once, not once per reference.
-    rows = rows.select(key, *carry, F.explode(F.array(F.col(terms))).alias(terms))
+    rows = rows.select(*key, *carry, F.explode(F.array(F.col(terms))).alias(terms))
     n = F.size(terms)
     last = F.filter(
         F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(F.col(terms), i) != F.get(F.col(terms), i - 1))
     )
-    runs = rows.where(n > 0).select(key, *carry, terms, F.explode(F.array(last)).alias("__ends"))
-    each = runs.select(key, *carry, terms, "__ends", F.posexplode("__ends").alias("__at", "__end"))
-    weighted = each.select(
-        key, *carry, F.get(F.col(terms), F.col("__end") - 1).alias("__term"),
-        F.log((F.col("__end") - F.when(F.col("__at") == 0, 0).otherwise(
-            F.get(F.col("__ends"), F.col("__at") - 1))).cast("double")).alias("__weight"),
+    runs = rows.where(n > 0).select(*key, *carry, terms, F.explode(F.array(last)).alias("__ends"))
+    each = runs.select(*key, *carry, terms, "__ends", F.posexplode("__ends").alias("__at", "__end"))
+    end = lambda back: F.coalesce(F.get(F.col("__ends"), F.col("__at") - back), F.lit(0))
+    term = F.get(F.col(terms), F.col("__end") - 1)
+    plain = lambda x: x.bitwiseAND(F.lit(-2))
+    own = F.col("__end") - end(1)
+    if texts == 1:
+        weights = [own]
+    else:
+        # A run of the first text is left to the run of the second that follows it, if any does.
+        each = each.where(
+            (term.bitwiseAND(F.lit(1)) == 1)
+            | ~F.coalesce(F.get(F.col(terms), F.col("__end")) == term + 1, F.lit(False))
+        )
+        second = term.bitwiseAND(F.lit(1)) == 1
+        before = F.when(F.get(F.col(terms), end(1) - 1) == plain(term), end(1) - end(2)).otherwise(0)
+        weights = [F.when(second, before).otherwise(own), F.when(second, own).otherwise(0)]
+    weighted = each.select(*key, *carry, plain(term).alias("__term"), *[
+        # A term that is not in a text never beats one that is: values of those are below 4.
+        F.when(w > 0, _log(w.cast("double"))).otherwise(F.lit(-60.0)).alias(f"__weight{i}") for i, w in enumerate(weights)
+    ])
+    numbered = weighted.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, samples, WIDTH)])).alias("__from"))
+    width = min(WIDTH, samples)
+    names = [[f"__{i}_{j}" for j in range(width)] for i in range(texts)]
+    entered = _samples(numbered, [*key, *carry, "__from"], width, texts)
+    least = entered.groupBy(*key, "__from").agg(
+        *[F.min(x).alias(x) for some in names for x in some], *[F.min(c).alias(c) for c in carry]
     )
-    least = [F.min(sample(F.col("__term"), F.col("__weight"), j)).alias(f"__{j}") for j in range(samples)]
-    found = weighted.groupBy(key).agg(*least, *[F.min(c).alias(c) for c in carry])
-    parts = F.array(*[F.col(f"__{j}").bitwiseAND(F.lit(LOW)) for j in range(samples)])
-    return found.select(key, *carry, parts.alias("signature"))
+    low = [F.array(*[F.col(x).bitwiseAND(F.lit(LOW)) for x in some]).alias(f"low{i}") for i, some in enumerate(names)]
+    found = least.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("__from", *low))).alias("__parts"), *[F.min(c).alias(c) for c in carry]
+    )
+    return found.select(*key, *carry, *[
+        F.slice(F.flatten(f"__parts.low{i}"), 1, samples).alias(f"signature{i or ''}") for i in range(texts)
+    ])
 
 
 def as_text(signature: Column, samples: int = SAMPLES) -> Column:
@@ -92,8 +168,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), ``range``, ``place`` in it, and the text of the next document.
 
     Ranges of ids are ordered on their own; the first document of each range stands once more
-    at the end of the range before it (of the last one for the first), so every row finds its
-    follower in its own range. Texts are shuffled once.
+    at the end of the range before it (of the last one for the first) with ``border`` 1, so every
+    row finds its follower in its own range. Texts are shuffled once.
     """
     plain = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranges = id_ranges(plain, F.octet_length("text"), RANGE_BYTES)
@@ -104,7 +180,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     order = sorted(heads)
     before = {r: order[i - 1] for i, r in enumerate(order)}
     if not order:
-        return marked.select("doc_id", "text", "range", F.lit(0).alias("place"), F.col("text").alias("next_text"))
+        return marked.select("doc_id", "text", "range", "border", F.lit(0).alias("place"), F.col("text").alias("next_text"))
     spark = documents.sparkSession
     names = spark.createDataFrame(
         [(r, heads[r], before[r]) for r in order], f"range int, id {documents.schema['doc_id'].dataType.simpleString()}, to int"
@@ -118,7 +194,6 @@ def with_next(documents: DataFrame) -> DataFrame:
     return (
         marked.select("doc_id", "text", "range", "border").unionByName(first)
         .withColumn("place", F.row_number().over(along)).withColumn("next_text", F.lead("text").over(along))
-        .where("border = 0").drop("border")
     )
 
 
@@ -137,42 +212,32 @@ def edited_likeness(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    rows = with_next(documents).select("doc_id", "text", "range", "place", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    # One long names a row and which of its two texts is meant.
-    name = F.shiftleft(F.col("range").cast("long"), 40) + F.col("place") * 2
+    rows = with_next(documents).select(
+        "range", "place", "border", "doc_id", "text", n.cast("long").alias("n_chars"),
+        F.coalesce(edited, F.lit("")).alias("edited"),  # a border row has no next text
+    )
     both = rows.select(
-        name.alias("__name"), "doc_id", "n_chars", *_sha_parts(F.col("edited")),
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("which"), sorted_terms(F.col(c)).alias("terms")) for i, c in enumerate(("text", "edited"))
-        ])).alias("one"),
+        "range", "place", "border", "doc_id", "n_chars", *_sha_parts(F.col("edited")),
+        F.explode(F.array(F.struct(hashes(F.col("text"), 0).alias("a"), hashes(F.col("edited"), 1).alias("b")))).alias("one"),
     )
+    bare, bare1 = F.size("one.a") == 0, F.size("one.b") == 0
     # A made-up term keeps the rows without words; their signature is dropped afterwards.
-    terms = F.col("one.terms")
     ready = both.select(
-        (F.col("__name") + F.col("one.which")).alias("key"), "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3",
-        (F.size(terms) == 0).cast("int").alias("bare"),
-        F.when(F.size(terms) == 0, F.array(F.lit(0).cast("long"))).otherwise(terms).alias("terms"),
-    )
-    carry = ("doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3", "bare")
-    found = store(signatures(ready, "key", "terms", samples, carry), "signatures").df
-    found = found.withColumn("signature", F.when(F.col("bare") == 0, F.col("signature")))
-    own = found.where("key % 2 = 0").withColumn("name", F.shiftright("key", 1))
-    other = found.where("key % 2 = 1").select(
-        F.shiftright("key", 1).alias("name"), F.col("signature").alias("edited")
-    )
-    # The name of the next document: the next place, or the first one of the next range.
-    spans = (
-        own.groupBy(F.shiftright("key", 40).alias("range")).agg(F.count(F.lit(1)).alias("n")).collect()
+        "range", "place", "border", "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3",
+        bare.cast("int").alias("bare"), bare1.cast("int").alias("bare1"),
+        F.when(bare & bare1, F.array(F.lit(0).cast("long")))
+        .otherwise(F.sort_array(F.concat("one.a", "one.b"))).alias("terms"),
     )
-    order = sorted(spans)
-    ends = [((r << 40) + 2 * n) >> 1 for r, n in order]
-    starts = [((r << 40) + 2) >> 1 for r, _ in order]
-    jump = documents.sparkSession.createDataFrame(
-        list(zip(ends, starts[1:] + starts[:1])), "name long, jump long"
+    carry = ("border", "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3", "bare", "bare1")
+    # Rows lie by range already, and the border row stands for the next range: no join, no shuffle.
+    found = signatures(ready, ("range", "place"), "terms", samples, carry, texts=2)
+    own = F.when(F.col("bare") == 0, F.col("signature"))
+    other = F.when(F.col("bare1") == 0, F.col("signature1"))
+    along = Window.partitionBy("range").orderBy("place")
+    joined = (
+        found.withColumns({"signature": own, "edited": other})
+        .withColumn("after", F.lead("signature").over(along)).where("border = 0")
     )
-    pointed = own.join(F.broadcast(jump), "name", "left").withColumn("next", F.coalesce("jump", F.col("name") + 1))
-    following = own.select(F.col("name").alias("next"), F.col("signature").alias("after"))
-    joined = pointed.join(other, "name").join(following, "next")
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
     return joined.select(
         "doc_id", "n_chars", sha.alias("edited_sha256"), as_text(F.col("signature"), samples).alias("fingerprint"),
