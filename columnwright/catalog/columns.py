@@ -54,7 +54,7 @@ def _rounded(df):
 
 @query("profile", _profile_sql(True))
 def profile_query(spark, sf):
-    found = profile.profile(customer(spark, sf))
+    found = profile.profile(customer(spark, sf)).drop("list_omitted")
     return _rounded(found).withColumn("unique_values", F.array_join("unique_values", ","))
 
 
@@ -78,7 +78,7 @@ def profile_categorical(spark, sf):
         f"SELECT '{c}' AS c, '{kind}' AS d, count(DISTINCT {c}) AS u, count(*) - count({c}) AS m FROM customer"
         for c, (kind, _) in CUSTOMER_COLUMNS.items()) + ")")
 def profile_json(spark, sf):
-    found = profile.profile(customer(spark, sf))
+    found = profile.profile_counts(customer(spark, sf))
     return profile.profile_json(found, ["column", "dtype", "unique_count", "missing_values"])
 
 

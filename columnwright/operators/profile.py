@@ -11,7 +11,7 @@ from columnwright.functions.missing import finite
 from columnwright.storage import store
 
 CONTINUOUS = "continuous values"
-# Bytes that the value lists of one profile may hold.
+# Bytes that the value lists of one profile may hold; longer lists are left out of it.
 LIST_BYTES = 64_000_000
 
 
@@ -87,6 +87,21 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
+def _values(df: DataFrame, columns: Sequence[str], top: int | None) -> tuple[DataFrame, dict[str, int]]:
+    """(column, value) of all values or of the ``top`` most frequent ones, and the bytes of each list."""
+    counts = value_counts(df, columns)
+    if top is not None:
+        by_count = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+        counts = counts.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= top)
+    values = store(counts.select("column", "value"), "values").df
+    sizes = values.groupBy("column").agg(F.sum(F.octet_length("value") + F.lit(8))).collect()  # a row per column
+    return values, {name: size for name, size in sizes}
+
+
+def _lists(values: DataFrame) -> DataFrame:
+    return values.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("unique_values"))
+
+
 def value_lists(
     df: DataFrame, columns: Sequence[str], top: int | None = None, list_bytes: int = LIST_BYTES
 ) -> DataFrame:
@@ -95,34 +110,44 @@ def value_lists(
     A cell cannot hold an unbounded list: more than ``list_bytes`` of values in all raise,
     and ``value_counts`` gives them as rows.
     """
-    counts = value_counts(df, columns)
-    if top is not None:
-        by_count = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-        counts = counts.withColumn("r", F.row_number().over(by_count)).where(F.col("r") <= top)
-    values = store(counts.select("column", "value"), "values").df
-    size = values.agg(F.sum(F.octet_length("value") + F.lit(8))).first()[0] or 0
+    values, sizes = _values(df, columns, top)
+    size = sum(sizes.values())
     if size > list_bytes:
         raise ValueError(f"value lists of {size} bytes, more than {list_bytes}: see value_counts")
-    return values.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("unique_values"))
+    return _lists(values)
+
+
+def profile_counts(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row per column: type, distinct and missing values, statistics; no value lists."""
+    return column_stats(df).join(F.broadcast(distinct_counts(df, exact)), "column")
 
 
-def profile(df: DataFrame, top: int | None = None, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame, top: int | None = None, exact: bool = True, list_bytes: int = LIST_BYTES) -> DataFrame:
     """One row per column: type, distinct and missing values, value list, statistics.
 
-    Lists hold all values; see ``value_lists`` for what is too much for a list.
+    A list holds all values or is null with ``list_omitted`` true: the shortest lists are given
+    as long as they hold ``list_bytes`` together. ``value_counts`` gives the values as rows.
     """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     others = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.NumericType)]
-    out = column_stats(df).join(F.broadcast(distinct_counts(df, exact)), "column")
+    out, omitted = profile_counts(df, exact), []
     if others:
-        out = out.join(F.broadcast(value_lists(df, others, top)), "column", "left")  # measured
+        values, sizes = _values(df, others, top)
+        total = 0
+        for name in sorted(sizes, key=lambda c: (sizes[c], c)):
+            total += sizes[name]
+            if total > list_bytes:
+                omitted.append(name)
+        lists = _lists(values.where(~F.col("column").isin(omitted)))
+        out = out.join(F.broadcast(lists), "column", "left")  # measured
     else:
         out = out.withColumn("unique_values", F.lit(None).cast("array<string>"))
     return out.select(
         "column", "dtype", "unique_count", "missing_values",
         F.when(F.col("column").isin(numeric), F.array(F.lit(CONTINUOUS)))
-        .otherwise(F.coalesce("unique_values", F.array().cast("array<string>"))).alias("unique_values"),
-        "mean", "min", "max", "std",
+        .when(~F.col("column").isin(omitted), F.coalesce("unique_values", F.array().cast("array<string>")))
+        .alias("unique_values"),
+        "mean", "min", "max", "std", F.col("column").isin(omitted).alias("list_omitted"),
     )
 
 

@@ -131,3 +131,18 @@ def test_value_lists_hold_all_values_or_raise(spark):
     assert found["unique_count"] == 150 and len(found["unique_values"]) == 150
     with pytest.raises(ValueError):
         profile.value_lists(df, ["c"], list_bytes=100)
+
+
+def test_a_list_too_big_leaves_the_rest_of_the_profile(spark):
+    df = spark.range(150).selectExpr("id", "CAST(id AS string) AS c", "CAST(id % 3 AS string) AS d", "CAST(NULL AS string) AS e")
+    rows = {r["column"]: r for r in profile.profile(df, list_bytes=100).collect()}
+    assert rows["c"]["unique_values"] is None and rows["c"]["list_omitted"] and rows["c"]["unique_count"] == 150
+    assert rows["d"]["unique_values"] == ["0", "1", "2"] and rows["e"]["unique_values"] == []
+    assert rows["id"]["mean"] == 74.5 and not any(rows[c]["list_omitted"] for c in ("id", "d", "e"))
+
+
+def test_profile_counts_make_no_lists(spark, monkeypatch):
+    monkeypatch.setattr(profile, "_values", None)
+    df = spark.createDataFrame([("x", 1), ("y", None)], "c string, a int")
+    assert {(r["column"], r["unique_count"], r["missing_values"]) for r in profile.profile_counts(df).collect()} == {
+        ("c", 2, 0), ("a", 1, 1)}
