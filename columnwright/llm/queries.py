@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from columnwright.llm import fingerprints as fingerprinting
-from columnwright.llm import importance, linerules, mixing, packing, simhash, suffixes, tokens, toxicity, urls
+from columnwright.llm import importance, linerules, mixing, packing, prefixtrie, simhash, suffixes, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,6 +126,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"))
 
 
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def corpus() -> object:
     """The pipeline module at the top of the repository."""
     if ROOT not in sys.path:
