@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from columnwright.llm import fingerprints as fingerprinting
-from columnwright.llm import importance, linerules, mixing, packing, prefixtrie, simhash, suffixes, tokens, toxicity, urls
+from columnwright.llm import importance, languages, linerules, mixing, packing, prefixtrie, ranking, simhash, suffixes, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,6 +131,18 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_language_spans")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = languages.identify(documents, languages.train(documents))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op13_dual_tree_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def corpus() -> object:
     """The pipeline module at the top of the repository."""
     if ROOT not in sys.path:
