@@ -1,12 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 The terms of a text are its words, weighted by how often they occur. For each of ``SAMPLES``
-samples a term ``k`` of weight ``w`` draws, from hashes of the term and the sample's number,
+samples a term ``k`` of weight ``w`` draws, from a hash of the term and the sample's number,
 two gamma(2, 1) values ``r`` and ``c`` and a uniform ``b``; with ``t = floor(ln w / r + b)`` and
 ``ln y = r (t - b)`` the term with the least ``ln c - ln y - r`` wins, and (term, t) is the
 sample. Two texts agree in a sample with a probability equal to the generalised Jaccard
 similarity of their weighted terms.
 
+A draw is read from a table of 4,096 quantiles (for ``c`` with linear steps between them), so
+that no logarithm is taken per term and sample; the lowest quantiles of ``c``, which decide who
+wins, have a table of their own.
+
 Counts come from a sorted array inside the row, so terms are never shuffled; the least values
 are a grouped minimum within the ranges in which the texts already lie. A document's text and
 its edited text share most terms, and a term they share draws once for both.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from columnwright.llm.ranges import id_ranges
@@ -33,6 +38,8 @@ WIDTH = 2
 SEPARATORS = r"[\x20\x09-\x0D]+"
 RANGE_BYTES = 8_000_000
 LOW = (1 << 32) - 1
+# Steps of the tables that the gamma draws are read from.
+CELLS = 1 << 12
 
 
 def hashes(text: Column, tag: int = 0) -> Column:
@@ -46,39 +53,69 @@ def sorted_terms(text: Column) -> Column:
     return F.sort_array(hashes(text))
 
 
-def _uniform(bits: Column, shift: int, width: int) -> Column:
-    """A number in (0, 1) from ``width`` bits of a hash."""
-    part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
-    return (part + F.lit(0.5)) * F.lit(2.0**-width)
-
-
 def _log(x: Column) -> Column:
     """The logarithm of a number known to be above zero: never null, which shortens the code."""
     return F.coalesce(F.log(x), F.lit(0.0))
 
 
+def gamma_quantiles(share: np.ndarray) -> np.ndarray:
+    """The values that a gamma(2, 1) draw is below with these probabilities, by Newton's method."""
+    x = np.sqrt(2 * share) + share
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - share) / np.maximum(x * np.exp(-x), 1e-300), x / 4)
+    return x
+
+
+def _table(values: np.ndarray) -> Column:
+    """A constant array: Spark folds the text into one before it runs."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
+
+
+def _at(table: Column, place: Column) -> Column:
+    return F.coalesce(F.get(table, place.cast("int")), F.lit(0.0))
+
+
+def _tables() -> tuple[Column, Column, Column]:
+    """Quantiles of r and of ln c at steps of 2^-12, and how far it is to the next ln c.
+
+    The cell of the least draws of c, which decide, is cut into 2^12 more.
+    """
+    edges = np.arange(1, CELLS + 1) / CELLS
+    edges[-1] = 1 - 0.25 / CELLS
+    middle = (np.arange(CELLS) + 0.5) / CELLS
+    c = np.concatenate([[0.0], np.log(gamma_quantiles(edges))])
+    fine = np.log(gamma_quantiles(middle / CELLS))
+    return _table(gamma_quantiles(middle)), _table(np.concatenate([c[:-1], fine])), _table(np.diff(c))
+
+
+def _bits(hash_: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(hash_, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
 def _samples(terms: DataFrame, keep: list[str], width: int, texts: int) -> DataFrame:
     """``keep`` and what a term enters for each of ``width`` samples from number ``__from`` on.
 
     ``__0_0``, ``__0_1``, ..: its value in the upper, (term, t) in the lower 32 bits, for each of
     the ``texts`` weights of the term. Each step is a projection of its own, so that Spark works
-    out what later steps read more than once only once.
+    out what later steps read more than once only once. One hash gives all draws of a sample:
+    12 bits for r, 28 for b, 12 + 12 for c.
     """
     of = range(width)
     both = [(i, j) for i in range(texts) for j in of]
     weights = [f"__weight{i}" for i in range(texts)]
     col = lambda name, j: F.col(f"__{name}{j}")
-    number = F.col("__from") * 2
-    hashed = terms.select(
-        *keep, "__term", *weights,
-        *[F.xxhash64("__term", number + 2 * j).alias(f"__h{j}") for j in of],
-        *[F.xxhash64("__term", number + (2 * j + 1)).alias(f"__g{j}") for j in of],
-    )
+    r, c, c_step = _tables()
+    hashed = terms.select(*keep, "__term", *weights, *[F.xxhash64("__term", F.col("__from") + j).alias(f"__h{j}") for j in of])
+
+    def ln_c(h: Column) -> Column:
+        high, low = _bits(h, 12, 12), _bits(h, 0, 12)
+        return F.when(high > 0, _at(c, high) + _at(c_step, high) * low * F.lit(2.0**-12)).otherwise(_at(c, low + CELLS))
+
     drawn = hashed.select(
         *keep, "__term", *weights,
-        *[(-_log(_uniform(col("h", j), 0, 21) * _uniform(col("h", j), 21, 21))).alias(f"__r{j}") for j in of],
-        *[_uniform(col("h", j), 42, 21).alias(f"__b{j}") for j in of],
-        *[_log(-_log(_uniform(col("g", j), 0, 31) * _uniform(col("g", j), 31, 31))).alias(f"__c{j}") for j in of],
+        *[_at(r, F.shiftrightunsigned(col("h", j), 52)).alias(f"__r{j}") for j in of],
+        *[((_bits(col("h", j), 24, 28) + F.lit(0.5)) * F.lit(2.0**-28)).alias(f"__b{j}") for j in of],
+        *[ln_c(col("h", j)).alias(f"__c{j}") for j in of],
     )
     stepped = drawn.select(
         *keep, "__term", *[f"__{x}{j}" for x in "rbc" for j in of],
@@ -100,7 +137,7 @@ def signatures(
     rows: DataFrame, key: str | Sequence[str], terms: str, samples: int = SAMPLES,
     carry: tuple[str, ...] = (), texts: int = 1,
 ) -> DataFrame:
-    """``key`` and ``signature`` (array of ``samples`` integers) of every row that has terms.
+    """``key``, ``signature`` (array of ``samples`` integers) and ``digits`` (the same as text) of every row that has terms.
 
     ``terms`` is a sorted array of hashes; ``carry`` names columns of whole numbers that go along.
     With two ``texts`` the lowest bit of a hash tells the text it is from, and the signature of
@@ -109,14 +146,15 @@ def signatures(
     samples at a time: the code has one size for any number of samples, which the JVM compiles.
     """
     key = [key] if isinstance(key, str) else list(key)
+    carried = rows.select(*key, *carry)
     # Unnesting a list of one makes Spark work out the array once, not once per reference.
-    rows = rows.select(*key, *carry, F.explode(F.array(F.col(terms))).alias(terms))
+    rows = rows.select(*key, F.explode(F.array(F.col(terms))).alias(terms))
     n = F.size(terms)
     last = F.filter(
         F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(F.col(terms), i) != F.get(F.col(terms), i - 1))
     )
-    runs = rows.where(n > 0).select(*key, *carry, terms, F.explode(F.array(last)).alias("__ends"))
-    each = runs.select(*key, *carry, terms, "__ends", F.posexplode("__ends").alias("__at", "__end"))
+    runs = rows.where(n > 0).select(*key, terms, F.explode(F.array(last)).alias("__ends"))
+    each = runs.select(*key, terms, "__ends", F.posexplode("__ends").alias("__at", "__end"))
     end = lambda back: F.coalesce(F.get(F.col("__ends"), F.col("__at") - back), F.lit(0))
     term = F.get(F.col(terms), F.col("__end") - 1)
     plain = lambda x: x.bitwiseAND(F.lit(-2))
@@ -132,29 +170,37 @@ def signatures(
         second = term.bitwiseAND(F.lit(1)) == 1
         before = F.when(F.get(F.col(terms), end(1) - 1) == plain(term), end(1) - end(2)).otherwise(0)
         weights = [F.when(second, before).otherwise(own), F.when(second, own).otherwise(0)]
-    weighted = each.select(*key, *carry, plain(term).alias("__term"), *[
+    weighted = each.select(*key, plain(term).alias("__term"), *[
         # A term that is not in a text never beats one that is: values of those are below 4.
         F.when(w > 0, _log(w.cast("double"))).otherwise(F.lit(-60.0)).alias(f"__weight{i}") for i, w in enumerate(weights)
     ])
     numbered = weighted.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, samples, WIDTH)])).alias("__from"))
     width = min(WIDTH, samples)
     names = [[f"__{i}_{j}" for j in range(width)] for i in range(texts)]
-    entered = _samples(numbered, [*key, *carry, "__from"], width, texts)
-    least = entered.groupBy(*key, "__from").agg(
-        *[F.min(x).alias(x) for some in names for x in some], *[F.min(c).alias(c) for c in carry]
-    )
+    entered = _samples(numbered, [*key, "__from"], width, texts)
+    least = entered.groupBy(*key, "__from").agg(*[F.min(x).alias(x) for some in names for x in some])
     low = [F.array(*[F.col(x).bitwiseAND(F.lit(LOW)) for x in some]).alias(f"low{i}") for i, some in enumerate(names)]
-    found = least.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("__from", *low))).alias("__parts"), *[F.min(c).alias(c) for c in carry]
-    )
+    digits = [
+        F.concat(*[F.lpad(F.hex(F.col(x).bitwiseAND(F.lit(LOW))), 8, "0") for x in some]).alias(f"text{i}")
+        for i, some in enumerate(names)
+    ]
+    parts = least.select(*key, F.struct("__from", *low, *digits).alias("__part"))
+    if carry:
+        # Columns that go along join here: in the aggregate above they would take most of its time.
+        # Both sides lie by the same columns, so the union does too, and nothing is shuffled.
+        parts = parts.unionByName(carried, allowMissingColumns=True)
+    found = parts.groupBy(*key).agg(
+        F.sort_array(F.collect_list("__part")).alias("__parts"), *[F.min(c).alias(c) for c in carry]
+    ).where(F.size("__parts") > 0)
     return found.select(*key, *carry, *[
         F.slice(F.flatten(f"__parts.low{i}"), 1, samples).alias(f"signature{i or ''}") for i in range(texts)
+    ], *[
+        F.lower(F.substring(F.array_join(f"__parts.text{i}", ""), 1, 8 * samples)).alias(f"digits{i or ''}") for i in range(texts)
     ])
 
 
-def as_text(signature: Column, samples: int = SAMPLES) -> Column:
+def as_text(digits: Column, samples: int = SAMPLES) -> Column:
     """Eight hexadecimal digits per sample; signs for a text without words."""
-    digits = F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
     return F.coalesce(digits, F.lit("-" * 8 * samples))
 
 
@@ -231,17 +277,17 @@ def edited_likeness(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     carry = ("border", "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3", "bare", "bare1")
     # Rows lie by range already, and the border row stands for the next range: no join, no shuffle.
     found = signatures(ready, ("range", "place"), "terms", samples, carry, texts=2)
-    own = F.when(F.col("bare") == 0, F.col("signature"))
-    other = F.when(F.col("bare1") == 0, F.col("signature1"))
+    own = lambda c: F.when(F.col("bare") == 0, F.col(c))
+    other = lambda c: F.when(F.col("bare1") == 0, F.col(c))
     along = Window.partitionBy("range").orderBy("place")
     joined = (
-        found.withColumns({"signature": own, "edited": other})
+        found.withColumns({"signature": own("signature"), "edited": other("signature1"), "digits": own("digits"), "digits1": other("digits1")})
         .withColumn("after", F.lead("signature").over(along)).where("border = 0")
     )
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)]))
     return joined.select(
-        "doc_id", "n_chars", sha.alias("edited_sha256"), as_text(F.col("signature"), samples).alias("fingerprint"),
-        as_text(F.col("edited"), samples).alias("edited_fingerprint"),
+        "doc_id", "n_chars", sha.alias("edited_sha256"), as_text(F.col("digits"), samples).alias("fingerprint"),
+        as_text(F.col("digits1"), samples).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited"), samples).alias("near_edited"),
         likeness(F.col("signature"), F.col("after"), samples).alias("near_next"),
     )
