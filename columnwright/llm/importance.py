@@ -8,7 +8,8 @@ importances.
 
 Defined results: an empty or null text has importance zero; the same id always draws the same
 noise, null ids the noise of the empty id; rows that tie at the border are all kept; without
-labelled rows every importance is zero; an empty table gives an empty table.
+labelled rows every importance is zero; a very long text makes a chunk of its own; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -120,7 +121,8 @@ def resample(documents: DataFrame, labels: DataFrame, share: float | None = None
 
     ``share`` of the rows is kept; by default the share of good rows among the labelled ones.
     A document counts as good if any label row of its id says so. The threshold is exact: it
-    lies between the k-th and the next key, found by counting ranges, not by a global sort.
+    lies between the k-th and the next key, found by counting ranges, not by a global sort. If
+    these keys are equal, all rows with that key are kept.
     """
     if share is None:
         rated = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -141,6 +143,7 @@ def resample(documents: DataFrame, labels: DataFrame, share: float | None = None
     elif k <= 0:
         keep = F.lit(False)
     else:
-        # Half-way between the ranks n-k-1 and n-k, so rounding cannot cross either.
-        keep = F.col("gumbel_key") > exact_quantiles(scored, "gumbel_key", [(n - k - 0.5) / (n - 1)])[0]
+        # Half-way between the ranks n-k-1 and n-k, so rounding cannot cross either; if both have one
+        # key, that key.
+        keep = F.col("gumbel_key") >= exact_quantiles(scored, "gumbel_key", [(n - k - 0.5) / (n - 1)])[0]
     return scored.select("doc_id", "importance", "gumbel_key", keep.alias("kept"))

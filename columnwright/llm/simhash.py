@@ -63,8 +63,8 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.bitwise_or.reduce(np.where(2 * ones > n, np.uint64(1) << _BITS, np.uint64(0))))
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint as a signed long) of every row."""
+def fingerprints(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and ``fp`` (the fingerprint as a signed long) of every row; ``carry`` names longs that go along."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +72,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             texts = text_column(batch.column(1)).cast(pa.binary())
             values = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry]
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = ", ".join([f"doc_id {kind}, fp long", *[f"{c} long" for c in carry]])
+    return documents.select("doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def _parts(values: np.ndarray) -> np.ndarray:
@@ -197,14 +198,17 @@ def near_links(values: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_RO
     return meetings.groupBy("low", "high").applyInPandas(meet, "a long, b long")
 
 
+def _roots(values: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """``values`` (distinct ``fp``) with ``root``, the least fingerprint of its component."""
+    groups = components(near_links(values, radius, tile_rows)).df.toDF("fp", "root")
+    return values.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = store(fingerprints(documents), "fingerprints").df
     values = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "values").df
-    groups = components(near_links(values, radius, tile_rows)).df.toDF("fp", "root")
-    rooted = values.join(groups, "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _roots(values, radius, tile_rows)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_value = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(by_value, "fp").select(
@@ -212,18 +216,22 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, tile_rows: int =
     )
 
 
-def keep_first(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, the one with the least id, with all columns.
+def keep_first(documents: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row of each group, with all columns.
 
-    Rows that repeat a ``doc_id`` are one document: the row with the least text stays. Rows
-    without a ``doc_id`` all stay, as no id can stand for them. Texts are shuffled once, by id.
+    It is the row with the least ``doc_id``; rows without one come last, and rows with equal
+    ids, or none, go by a hash of id and text. So every group keeps exactly one row, also if
+    an id repeats with other texts or is missing. Of rows that are equal in both, the one with
+    the least hash of all columns stays. Texts are shuffled once.
     """
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    found = near_duplicates(documents.select("doc_id", "text"), radius)
-    ids = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = (
-        documents.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi")
-        .groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("__row"))
-        .select("__row.*")
-    )
-    return kept.union(documents.where("doc_id IS NULL"))
+    # Two 64-bit hashes stand for (id, text).
+    named = lambda seed: F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id"), F.coalesce("text", F.lit("")))
+    found = fingerprints(documents.select("doc_id", "text", named(1).alias("k1"), named(2).alias("k2")), ("k1", "k2"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    values = store(found.groupBy("fp").agg(F.min(rank).alias("least")), "values").df
+    first = _roots(values, radius, tile_rows).groupBy("root").agg(F.min("least").alias("least"))
+    keys = first.select(F.col("least.k1").alias("__k1"), F.col("least.k2").alias("__k2"))
+    rows = documents.select(F.struct(*columns).alias("__row"), named(1).alias("__k1"), named(2).alias("__k2"), F.xxhash64(*columns).alias("__all"))
+    kept = rows.join(keys, ["__k1", "__k2"], "left_semi").groupBy("__k1", "__k2").agg(F.min_by("__row", "__all").alias("__row"))
+    return kept.select("__row.*")

@@ -461,13 +461,13 @@ def removal(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
     """The rows with the repeated bytes cut out of ``text`` (and ``n_chars`` counted anew, if there).
 
     A character that loses some of its bytes goes as a whole. A null text stays null; rows stay
     even if nothing is left of their text.
     """
-    marked = _with_spans(documents, repeated_spans(documents.select("doc_id", "text"), length))
+    marked = _with_spans(documents, repeated_spans(documents.select("doc_id", "text"), length, kmer))
     at, copies_at, spans_at = (marked.columns.index(c) for c in ("text", "__copies", "__spans"))
     names = documents.columns
 

@@ -121,6 +121,15 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert len(ids) == len(set(ids)) and 12 not in ids and 5 in ids and 6 in ids
 
 
+def test_groups_with_repeated_and_missing_ids_keep_one_row_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, c), (None, c), (None, a), (5, None), (4, "")]
+    kept = simhash.keep_first(spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, fp long, least string"))
+    assert kept.columns == ["doc_id", "text", "fp", "least"]
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (4, "")], key=str)
+
+
 def brute_removal(texts, length=400):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
@@ -300,6 +309,44 @@ def test_importance_counts_and_threshold(docs, rows, labels):
     assert raw.sum() == sum(max(2 * len(words(t)) - 1, 0) for t in data)
 
 
+def test_rows_that_tie_at_the_border_are_kept(spark):
+    rows = [(None, "same words")] * 30 + [(i, f"other {i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = importance.resample(df, none, share=0.5).collect()
+    tie = next(r["gumbel_key"] for r in got if r["doc_id"] is None)
+    assert len({r["gumbel_key"] for r in got if r["doc_id"] is None}) == 1
+    keys = sorted((r["gumbel_key"] for r in got), reverse=True)
+    assert keys[19] == tie
+    assert all(r["kept"] == (r["gumbel_key"] >= tie) for r in got) and sum(r["kept"] for r in got) >= 30
+
+
+def test_importance_equals_a_second_version(spark, docs, rows, labels):
+    """Counts, ratios, noise and the k largest keys, with loops over words."""
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["doc_id"] is not None}
+    def bag(text):
+        own = [w.lower() for w in words(text)]
+        return collections.Counter(own) + collections.Counter(zip(own, own[1:]))
+    raw, target = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw += bag(r[1])
+        if r[0] in good:
+            target += bag(r[1])
+    # A table this wide holds every n-gram in a bucket of its own, up to rare collisions.
+    buckets = 1 << 22
+    got = importance.resample(docs, labels, share=0.5, buckets=buckets).collect()
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    ratio = lambda g: np.log((target[g] + 1) / (n_target + buckets)) - np.log((raw[g] + 1) / (n_raw + buckets))
+    want = collections.Counter()
+    for r in rows:
+        want[(r[0], round(sum(n * ratio(g) for g, n in bag(r[1]).items()), 4))] += 1
+    same = collections.Counter((r["doc_id"], round(r["importance"], 4)) for r in got)
+    assert sum((want & same).values()) >= len(rows) - 2
+    keys = sorted((r["gumbel_key"] for r in got), reverse=True)
+    border = keys[int(0.5 * len(rows) + 0.5) - 1]
+    assert all(r["kept"] == (r["gumbel_key"] >= border) for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(9)
