@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from columnwright.llm import linerules, mixing, packing, simhash, suffixes
 from columnwright.storage import store
 
+# About fifty words: passages of more words than that are to be found.
+PASSAGE_BYTES = 256
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or are mostly boilerplate lines, go.
@@ -29,8 +32,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out of the texts."""
-    return suffixes.remove_repeats(docs)
+    """Passages of ``PASSAGE_BYTES`` or more that occur elsewhere are cut out of the texts."""
+    return suffixes.remove_repeats(docs, PASSAGE_BYTES, kmer=PASSAGE_BYTES // 4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
