@@ -106,14 +106,56 @@ def exemplars_random(spark, sf):
     return ops.exemplars_random(task(spark, sf), KEYS, PROMPTS, 3)
 
 
-@query("exemplars_search", f"""
-    SELECT prompt, seed, text, score FROM (
-      SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, seed) AS r
-      FROM (SELECT *, (length(text) % 7) / 7.0::DOUBLE AS score FROM ({exemplar_sql([1, 2, 3, 4])}))) WHERE r = 1""")
+def predict_by_text(pairs):
+    """A stand-in for a model that gets other rows wrong for other prompts."""
+    wrong = (F.length("x") * 7 + F.length("prompt")) % 5 == 0
+    return pairs.withColumn("prediction", F.when(wrong, F.lit("nobody")).otherwise(F.col("y"))).withColumn(
+        "sequence", F.col("prediction")
+    )
+
+
+RACE_SEEDS, FIRST_ROWS = [1, 2, 3, 4], 100
+
+
+def race_sql(then):
+    """The rungs of the race unrolled: rows in hash order, twice as many each time, half of the seeds gone each time."""
+    right = "CASE WHEN (length(x) * 7 + length(text)) % 5 = 0 THEN 0.0 ELSE 1.0 END"
+    order = hash_sql(KEYS, 42)
+    scored = lambda left, size: f"""
+        SELECT c.prompt, c.seed, c.text, avg({right}) AS score FROM {left} c, ordered t
+        WHERE idx < {size} GROUP BY ALL"""
+    kept = lambda source, n: f"""
+        SELECT prompt, seed, text FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, seed) AS r FROM {source}) WHERE r <= {n}"""
+    return f"""
+    WITH ordered AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS idx, count(*) OVER () AS n FROM ({TASK_SQL})),
+    c0 AS ({exemplar_sql(RACE_SEEDS)}),
+    s0 AS ({scored("c0", FIRST_ROWS)}), c1 AS ({kept("s0", "CASE WHEN (SELECT max(n) FROM ordered) > 100 THEN 2 ELSE 4 END")}),
+    s1 AS ({scored("c1", 2 * FIRST_ROWS)}), c2 AS ({kept("s1", "CASE WHEN (SELECT max(n) FROM ordered) > 200 THEN 1 ELSE 4 END")}),
+    s2 AS (SELECT c.prompt, c.seed, c.text, avg({right}) AS score FROM c2 c, ordered t GROUP BY ALL)
+    {then}"""
+
+
+@query("exemplars_search", race_sql("""
+    SELECT prompt, seed, text, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, seed) AS r FROM s2) WHERE r = 1"""))
 def exemplars_search(spark, sf):
-    candidates = ops.exemplars_random(task(spark, sf), KEYS, PROMPTS, 3, [1, 2, 3, 4])
-    scores = candidates.select(F.col("text").alias("prompt"), (F.length("text") % 7 / 7.0).cast("double").alias("score"))
-    return ops.exemplars_search(candidates, scores).select("prompt", "seed", "text", "score")
+    race = experiment.race_exemplars(
+        task(spark, sf), KEYS, PROMPTS, predict_by_text, 3, RACE_SEEDS, first_rows=FIRST_ROWS
+    )
+    return race.best.withColumn("score", F.round("score", 6))
+
+
+@query("exemplar_rungs", race_sql(f"""
+    , e0 AS (SELECT prompt, seed, 0 AS rung, least({FIRST_ROWS}, (SELECT max(n) FROM ordered)) AS n_rows, score FROM s0),
+    e1 AS (SELECT prompt, seed, 1 AS rung, least({2 * FIRST_ROWS}, (SELECT max(n) FROM ordered)) AS n_rows, score FROM s1 WHERE (SELECT max(n) FROM ordered) > {FIRST_ROWS})
+    SELECT prompt, seed, CAST(rung AS INTEGER) AS rung, CAST(n_rows AS BIGINT) AS rows, round(score, 6) AS score
+    FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1)"""))
+def exemplar_rungs(spark, sf):
+    """What the candidates scored in the first two rungs."""
+    race = experiment.race_exemplars(
+        task(spark, sf), KEYS, PROMPTS, predict_by_text, 3, RACE_SEEDS, first_rows=FIRST_ROWS
+    )
+    return race.rungs.where("rung < 2").withColumn("score", F.round("score", 6))
 
 
 @query("label_marker", f"""

@@ -84,6 +84,48 @@ def test_best_exemplars(spark):
     assert best == {"a": "t2", "b": "t4"}
 
 
+def test_rungs_grow_to_the_whole_task():
+    assert experiment.rung_sizes(1000, 100, 2) == [100, 200, 400, 800, 1000]
+    assert experiment.rung_sizes(30, 100, 2) == [30] and experiment.rung_sizes(100, 100, 3) == [100]
+    assert experiment.rung_sizes(0, 10, 2) == [0]
+
+
+def test_race_of_exemplars(spark):
+    """Survivors and the winner by a plain loop; later rungs ask for new pairs only."""
+    rows = [(i, f"x{i % 90}", "Yes" if i % 3 else "No") for i in range(200)]
+    task = ops.text_task(spark.createDataFrame(rows, "id int, a string, b string"), ["id"], "a", "b")
+    asked = []
+
+    def predict(pairs):
+        asked.append({(r["prompt"], r["x"], r["y"]) for r in pairs.collect()})
+        good = F.pmod(F.xxhash64("prompt", "x"), F.lit(10)) < F.pmod(F.xxhash64("prompt"), F.lit(8)) + 1
+        return pairs.withColumn("prediction", F.when(good, F.col("y"))).withColumn("sequence", F.lit("s"))
+
+    race = experiment.race_exemplars(task, ["id"], ["a", "b", "a"], predict, 2, [3, 1, 2, 4, 5], first_rows=25)
+    rungs = race.rungs.collect()
+    assert {(r["rung"], r["rows"]) for r in rungs} == {(0, 25), (1, 50), (2, 100), (3, 200)}
+    for prompt in ("a", "b"):
+        own = {k: {r["seed"]: r["score"] for r in rungs if r["rung"] == k and r["prompt"] == prompt} for k in range(4)}
+        assert set(own[0]) == {1, 2, 3, 4, 5}
+        for k, n in ((0, 3), (1, 2), (2, 1)):
+            stay = sorted(own[k], key=lambda s: (-own[k][s], s))[:n]
+            assert set(own[k + 1]) == set(stay)
+        winner = next(r for r in race.best.collect() if r["prompt"] == prompt)
+        assert winner["seed"] in own[3] and winner["score"] == own[3][winner["seed"]]
+        assert winner["text"].count("Input: ") == 2 and winner["text"].endswith(prompt)
+    assert not any(a & b for i, a in enumerate(asked) for b in asked[:i])
+    again = experiment.race_exemplars(task, ["id"], ["a", "b"], predict, 2, [1, 2, 3, 4, 5], race.cache, 25)
+    assert sum(map(len, asked[4:])) == 0 and sorted(again.best.collect()) == sorted(race.best.collect())
+
+
+def test_race_without_rows_or_candidates(spark):
+    task = ops.text_task(spark.createDataFrame([], "id int, a string, b string"), ["id"], "a", "b")
+    assert experiment.race_exemplars(task, ["id"], ["a"], predict).best.count() == 0
+    assert experiment.race_exemplars(task, ["id"], [], predict).best.count() == 0
+    with pytest.raises(ValueError):
+        experiment.race_exemplars(task, ["id"], ["a"], predict, eta=1)
+
+
 def test_custom_match(task):
     match = lambda y, p: F.when(p == "yes", 0.25).otherwise(0.75)
     collected, _ = experiment.evaluate(task, ["id"], ["b"], predict, match=match)
