@@ -69,6 +69,38 @@ def cv_auc_nb_lines(spark, sf):
     return _rounded(bayes.cv_auc(lines(spark, sf), LINE_KEYS, "returned", LINE_FEATURES, FOLDS))
 
 
+def per_fold_sql(folded, numbers, categories, k=FOLDS):
+    """Each fold scored on its own, with the edges of the rows outside it."""
+    parts = []
+    for j in range(k):
+        marked = f"SELECT * REPLACE (CASE WHEN fold = {j} THEN 0 END AS fold) FROM ({folded})"
+        ctes = weights_sql(marked, KEYS, LABEL, numbers, categories, 1, edges=edges_sql("SELECT * FROM folded WHERE fold IS NULL", numbers))
+        parts.append(f"SELECT {j} AS fold, auc FROM (WITH {ctes} SELECT auc FROM ({auc_sql('SELECT row_id, any_value(y) AS y, sum(w) AS score FROM rw GROUP BY row_id')}))")
+    return f"SELECT CAST(fold AS INTEGER) AS fold, auc FROM ({' UNION ALL '.join(parts)})"
+
+
+TRAIN_FOLDS_SQL = kfold_rows_sql(train_sql(QUALITY_SQL, KEYS, LABEL), KEYS, FOLDS)
+
+
+@query("cv_auc_nb_fold_edges", _rounded_sql(per_fold_sql(TRAIN_FOLDS_SQL, QUALITY_NUMBERS, QUALITY_CATEGORIES)))
+def cv_auc_nb_fold_edges(spark, sf):
+    df = stored_quality(spark, sf)
+    return _rounded(bayes.cv_auc(df, KEYS, LABEL, QUALITY_FEATURES, FOLDS, edges="per_fold"))
+
+
+STEPS_SQL = ", ".join(str(i / 8) for i in range(1, 8))
+
+
+@query("fold_edges", "SELECT feature, fold, CAST(row_number() OVER (PARTITION BY feature, fold ORDER BY edge) - 1 AS INTEGER) AS place, edge FROM (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS feature, CAST({j} AS INTEGER) AS fold, unnest(quantile_disc(CAST(coalesce({c}, 0) AS DOUBLE), [{STEPS_SQL}])) AS edge FROM ({kfold_rows_sql(LINES_SQL, LINE_KEYS, 3)}) WHERE fold <> {j}"
+    for c in LINE_NUMBERS for j in range(3)) + ")")
+def fold_edges(spark, sf):
+    """Edges of the numbers of all lines, for the training rows of each of three folds."""
+    folded = splits.kfold(lines(spark, sf), LINE_KEYS, 3)
+    found = bayes.fold_edges(folded, LINE_NUMBERS, "fold", 3)
+    return spark.createDataFrame(bayes.edge_table(found, 3), "feature string, fold int, place int, edge double")
+
+
 @query("kfold_auc_all", _rounded_sql(nb_fold_auc_sql(
     kfold_rows_sql(QUALITY_SQL, KEYS, FOLDS), KEYS, LABEL, QUALITY_NUMBERS, QUALITY_CATEGORIES, FOLDS, impute=False)))
 def kfold_auc_all(spark, sf):

@@ -9,6 +9,7 @@ scores fold into few distinct values before anything is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -16,12 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from columnwright.functions.binning import edges_crossed
+from columnwright.functions.hashing import row_hash
 from columnwright.functions.missing import finite
 from columnwright.operators.joins import BROADCAST_BYTES, lookup_join
 from columnwright.operators.metrics import NARROW_LEVELS, auc
-from columnwright.operators.ordering import discrete_quantiles
+from columnwright.operators.ordering import HashOrder, discrete_quantiles, fold_quantiles
 from columnwright.operators.splits import kfold, split_stratified, training_folds
-from columnwright.storage import store
+from columnwright.storage import scratch, store
 
 BINS = 8
 # Weights are whole thousandths: sums are exact, and there are few distinct scores to count.
@@ -53,6 +55,26 @@ def numeric_edges(
     return {c: sorted(set(q)) for c, q in zip(columns, discrete_quantiles(read, bins, n=n))}
 
 
+def fold_edges(
+    df: DataFrame, columns: Sequence[str], fold: str, k: int, bins: int = BINS, impute: bool = True
+) -> dict[str, list[list[float]]]:
+    """Inner bin edges per column and fold, from the rows that the fold's model is trained on.
+
+    Exact discrete quantiles of the rows outside the fold (rows without a fold are always
+    outside); the passes over the table are those of one set of edges.
+    """
+    if not columns:
+        return {}
+    read = df.select(F.col(fold).alias("__fold"), *[_reading(c, impute).alias(f"c{i}") for i, c in enumerate(columns)])
+    found = fold_quantiles(read, "__fold", k, bins)
+    return {c: [sorted(set(q)) for q in folds] for c, folds in zip(columns, found)}
+
+
+def edge_table(edges: dict[str, list[list[float]]], k: int) -> list[tuple[str, int, int, float]]:
+    """(feature, fold, place, edge) of every edge."""
+    return [(c, j, i, e) for c, folds in edges.items() for j in range(k) for i, e in enumerate(folds[j])]
+
+
 @dataclass(frozen=True)
 class Weighted:
     """One row per scored table row: keys, label, fold, and a weight column per feature."""
@@ -79,18 +101,24 @@ def weigh(
     features: Sequence[str],
     impute: bool = True,
     bins: int = BINS,
-    edges: dict[str, list[float]] | None = None,
+    edges: dict[str, list[float]] | str | None = None,
     n: int | None = None,
 ) -> Weighted:
     """Attach each row's weights under the model of its own fold.
 
     Folds are 0..k-1. Rows with a NULL fold only train. The label is 0/1. A value that
     the training rows of a fold do not hold weighs nothing. ``n`` is the number of rows,
-    if it is known.
+    if it is known. ``edges`` are shared by all folds, or ``"per_fold"``: then every model bins
+    numbers by the quantiles of its own training rows. Rows are counted in the bins that the
+    edges of all folds make together, and a model adds up the ones inside each of its bins.
     """
     numbers = _numbers(df, features)
+    by_fold: dict[str, list[list[float]]] = {}
     if edges is None:
         edges = numeric_edges(df, numbers, bins, impute, n)
+    elif edges == "per_fold":
+        by_fold = fold_edges(df, numbers, fold, k, bins, impute)
+        edges = {c: sorted(set().union(*folds)) for c, folds in by_fold.items()}
     codes = {f: f"__v{i}" for i, f in enumerate(features)}
     coded = df.where(F.col(label).isNotNull()).select(
         *keys,
@@ -116,10 +144,13 @@ def weigh(
     }
     weights = _weights(counts, per_feature, k)
 
-    small = {
-        (r["feature"], r["value"]): r["w"]
-        for r in weights.where(F.col("feature").isin([codes[f] for f in numbers])).collect()
-    }
+    of_numbers = F.col("feature").isin([codes[f] for f in numbers])
+    if by_fold:
+        merged = _merged_counts(counts.where(of_numbers), {codes[f]: (edges[f], by_fold[f]) for f in numbers}, k)
+        small = _fold_weights(merged, {codes[f]: (edges[f], by_fold[f]) for f in numbers}, k)
+    else:
+        # At most one row per bin of a number.
+        small = {(r["feature"], r["value"]): r["w"] for r in weights.where(of_numbers).collect()}
     out = coded.where(F.col(fold).isNotNull())
     columns = {f: f"__w{i}" for i, f in enumerate(features)}
     at_fold = lambda w: F.get(w, F.col(fold))
@@ -171,6 +202,36 @@ def _count_values(
     return store(counted, "value-counts").df
 
 
+def _merged_counts(counts: DataFrame, bins: dict, k: int) -> dict[tuple[str, int], dict[object, tuple[int, int, bool]]]:
+    """Per (feature, fold): bin of that fold's own edges -> training rows of both classes, from counts
+    in the common bins. There are at most ``k`` times as many of those as of the fold's own."""
+    out: dict[tuple[str, int], dict[object, tuple[int, int]]] = {}
+    for r in counts.collect():
+        common, folds = bins[r["feature"]]
+        for j in range(k):
+            own = None if r["value"] is None else sum(e in folds[j] for e in common[: int(r["value"])])
+            p, n = out.setdefault((r["feature"], j), {}).get(own, (0, 0))
+            out[r["feature"], j][own] = (p + r["pos"] - r[f"pos{j}"], n + r["neg"] - r[f"neg{j}"])
+    return out
+
+
+def _fold_weights(merged: dict, bins: dict, k: int) -> dict[tuple[str, str | None], list[int]]:
+    """(feature, common bin) -> weight under each fold's model, as ``_weights`` defines it."""
+    out: dict[tuple[str, str | None], list[int]] = {}
+    for feature, (common, folds) in bins.items():
+        for value in [None, *range(len(common) + 1)]:
+            row = []
+            for j in range(k):
+                counted = merged.get((feature, j), {})
+                own = None if value is None else sum(e in folds[j] for e in common[:value])
+                p, n = counted.get(own, (0, 0))
+                all_p, all_n = (sum(x[i] for x in counted.values()) for i in (0, 1))
+                odds = math.log((p + 1) / (all_p + len(counted))) - math.log((n + 1) / (all_n + len(counted))) if p + n else 0.0
+                row.append(math.floor(abs(odds) * UNIT + 0.5) * (1 if odds > 0 else -1))
+            out[feature, None if value is None else str(value)] = row
+    return out
+
+
 def _weights(counts: DataFrame, per_feature: dict, k: int) -> DataFrame:
     """(feature, value, w): log odds of the value under each fold's training rows, with
     one added to every count."""
@@ -213,10 +274,21 @@ def cv_auc(
     k: int = 5,
     test_size: float = 0.2,
     seed: object = 42,
+    edges: str | None = None,
 ) -> DataFrame:
-    """k-fold AUC on the training part of the stratified split; missing numbers count as 0."""
-    folded, n = training_folds(df, keys, label, k, test_size, seed)
-    return fold_auc(weigh(folded, keys, label, "fold", k, features, n=n))
+    """k-fold AUC on the training part of the stratified split; missing numbers count as 0.
+
+    With ``edges="per_fold"`` the bins of numbers come from the training rows of each fold.
+
+    Split, folds, edges, counts and scores are passes over the table, so its columns and the
+    hash that orders its rows are written once.
+    """
+    with scratch():
+        table = store(df.select(*keys, label, *features, row_hash(keys, seed).alias("__order")), "cv").df
+        order = HashOrder(table, keys, seed, stratum=label, hashed="__order")
+        folded, n = training_folds(table, keys, label, k, test_size, seed, order=order)
+        made = fold_auc(weigh(folded, keys, label, "fold", k, features, edges=edges, n=n))
+        return store(made, "fold-auc", lasting=True).df
 
 
 def holdout_auc(

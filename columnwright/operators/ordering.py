@@ -36,11 +36,12 @@ class HashOrder:
     """
 
     def __init__(
-        self, df: DataFrame, keys: Sequence[str], seed: object, stratum: str | None = None
+        self, df: DataFrame, keys: Sequence[str], seed: object, stratum: str | None = None,
+        hashed: str | None = None,
     ) -> None:
-        self.keys, self.seed, self.stratum = list(keys), seed, stratum
+        self.keys, self.seed, self.stratum, self.hashed = list(keys), seed, stratum, hashed
         self._rows = df.select(
-            row_hash(self.keys, seed).alias("h"),
+            self.column().alias("h"),
             (F.lit(None).cast("string") if stratum is None else F.col(stratum)).alias("s"),
         )
         self._histogram = self._count(self._rows, DIGITS)
@@ -66,7 +67,8 @@ class HashOrder:
         return sum(self.counts.values())
 
     def column(self) -> Column:
-        return row_hash(self.keys, self.seed)
+        """The row's hash; ``hashed`` names a column of the table that holds it already."""
+        return row_hash(self.keys, self.seed) if self.hashed is None else F.col(self.hashed)
 
     def _place(self, stratum: object, position: int) -> tuple[str, int, int] | None:
         """(prefix, rows with that prefix, rank among them) of a position."""
@@ -312,78 +314,120 @@ def discrete_quantiles(
         return [list(q or []) for q in small]
     with scratch():
         # The passes read doubles only, whatever it took to make them.
-        return _narrowed_quantiles(store(read, "values").df, shares, leaf_rows)
+        made = store(read.withColumn("f", F.lit(-1)), "values").df
+        return [found[0] for found in _narrowed_quantiles(made, len(names), 0, shares, leaf_rows)]
 
 
-def _narrowed_quantiles(read: DataFrame, shares: Sequence[float], leaf_rows: int) -> list[list[float]]:
-    names = read.columns
-    grid = [i / 256 for i in range(1, 256)]
-    sketch = lambda c: F.percentile_approx(c, grid, 10_000).alias("q")
-    head = read.agg(*[x for c in names for x in (F.count(c), sketch(c))]).first()
-    ranks = [sorted({ceil(size * p) - 1 for p in shares}) if size else [] for size in head[0::2]]
-    cuts = [sorted(set(q or [0.0])) for q in head[1::2]]
+def fold_quantiles(
+    values: DataFrame, fold: str, k: int, steps: int, leaf_rows: int = SMALL_ROWS
+) -> list[list[list[float]]]:
+    """Per column and fold 0..k-1, what ``discrete_quantiles`` gives for the rows of the other folds.
+
+    All folds share the passes of one: values are counted per (range, fold), and the counts of
+    the rows outside a fold are the totals less its own. Rows without a fold are in none.
+    """
+    columns = [c for c in values.columns if c != fold]
+    names = [f"c{i}" for i in range(len(columns))]
+    read = values.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], F.coalesce(F.col(fold).cast("int"), F.lit(-1)).alias("f"))
+    with scratch():
+        return _narrowed_quantiles(store(read, "values").df, len(names), k, [i / steps for i in range(1, steps)], leaf_rows)
+
+
+# What a sketch may be off by, as a share of the rows, and the marks it is asked for to split a range.
+SKETCH_ERROR = 2e-4
+GRID = [i / 64 for i in range(1, 64)]
+
+
+def _narrowed_quantiles(
+    read: DataFrame, columns: int, k: int, shares: Sequence[float], leaf_rows: int
+) -> list[list[list[float]]]:
+    """Quantiles per column of ``c0``, ``c1``, .. and per fold: of the rows whose ``f`` is another.
+
+    With no folds, one list for all rows. A sketch is asked for the values just below and above
+    the wanted shares only; between folds these differ by little.
+    """
+    outside = range(max(k, 1))
+    names = [f"c{i}" for i in range(columns)]
+    counted = [F.count(c) for c in names]
+    inside = read.groupBy("f").agg(*[x.alias(n) for x, n in zip(counted, names)]).collect()
+    total = [sum(r[c] for r in inside) for c in names]
+    own = [[sum(r[c] for r in inside if r["f"] == j) if k else 0 for j in outside] for c in names]
+    size = [[total[c] - own[c][j] for j in outside] for c in range(columns)]
+    ranks = [[[ceil(n * p) - 1 for p in shares] if n else [] for n in sizes] for sizes in size]
+    # Folds of random rows differ by a few standard deviations of a rank; others are narrowed down later.
+    spread = max([SKETCH_ERROR, *([3 * (k / max(n, 1)) ** 0.5 / 2 for n in total] if k else [])])
+    marks = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-spread, spread)})
+    sketch = lambda c, at: F.percentile_approx(c, at, 10_000).alias("q")
+    heads = read.agg(*[sketch(c, marks) for c in names]).first()
+    cuts = [sorted(set(q or [0.0])) for q in heads]
     for passes_left in (2, 1, 0):
-        counts = [[0] * (len(c) + 1) for c in cuts]
-        for c, b, m in _columns_bucketed(read, cuts).groupBy("c", "b").agg(F.count(F.lit(1))).collect():
-            counts[c][b] = m
-        ends = [list(accumulate(c)) for c in counts]
-        targets = [sorted({bisect_right(ends[c], r) for r in ranks[c]}) for c in range(len(names))]
-        big = [[b for b in bs if counts[c][b] > leaf_rows] for c, bs in enumerate(targets)]
+        counts = [[[0] * (len(cuts[c]) + 1) for _ in outside] for c in range(columns)]
+        whole = [[0] * (len(cuts[c]) + 1) for c in range(columns)]
+        for c, b, f, m in _columns_bucketed(read, cuts).groupBy("c", "b", "f").agg(F.count(F.lit(1))).collect():
+            whole[c][b] += m
+            for j in outside:
+                if not k or f != j:
+                    counts[c][j][b] += m
+        ends = [[list(accumulate(x)) for x in counts[c]] for c in range(columns)]
+        targets = [sorted({bisect_right(ends[c][j], r) for j in outside for r in ranks[c][j]}) for c in range(columns)]
+        big = [[b for b in bs if whole[c][b] > leaf_rows] for c, bs in enumerate(targets)]
         if not any(big) or not passes_left:
             break
         wider = [set(c) for c in cuts]
-        crowded = _columns_bucketed(read, cuts).where(_in_buckets(big))
-        for c, b, q in crowded.groupBy("c", "b").agg(sketch("v")).collect():
+        for c, _, q in _columns_bucketed(read, cuts, big).groupBy("c", "b").agg(sketch("v", GRID)).collect():
             wider[c].update(q)
         if all(len(w) == len(c) for w, c in zip(wider, cuts)):
             break
         cuts = [sorted(w) for w in wider]
-    by_value = (
-        _columns_bucketed(read, cuts).where(_in_buckets(targets)).groupBy("c", "b", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("c", "b").orderBy("v")
-    spans = by_value.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
-    wanted = {
-        (c, r): (bisect_right(ends[c], r), r - (ends[c][bisect_right(ends[c], r) - 1] if r >= ends[c][0] else 0))
-        for c, rs in enumerate(ranks) for r in rs
-    }
+    wanted = [
+        (c, b, j, r - (ends[c][j][b - 1] if b else 0), r)
+        for c in range(columns) for j in outside for r in sorted(set(ranks[c][j])) for b in [bisect_right(ends[c][j], r)]
+    ]
     if not wanted:
-        return [[] for _ in names]
-    hit = reduce(
-        lambda x, y: x | y,
-        [
-            (F.col("c") == c) & (F.col("b") == b) & (F.col("lo") <= at) & (F.col("hi") > at)
-            for (c, _), (b, at) in wanted.items()
-        ],
-    )
-    rows = spans.where(hit).collect()
-    value = lambda c, r: next(
-        x["v"] for x in rows
-        if (x["c"], x["b"]) == (c, wanted[c, r][0]) and x["lo"] <= wanted[c, r][1] < x["hi"]
-    )
-    return [[value(c, ceil(size * p) - 1) for p in shares] if size else [] for c, size in enumerate(head[0::2])]
-
-
-def _columns_bucketed(read: DataFrame, cuts: Sequence[Sequence[float]]) -> DataFrame:
-    """(c, b, v): number of the column, bucket by its own cuts, and value."""
-    names, buckets = read.columns, [f"b{i}" for i in range(len(cuts))]
-    marked = Bucketizer(
-        inputCols=names, outputCols=buckets, handleInvalid="keep",
-        splitsArray=[[float("-inf"), *c, float("inf")] for c in cuts],
-    ).transform(read)
-    each = F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(b).cast("int").alias("b"), F.col(v).alias("v"))
-        for i, (v, b) in enumerate(zip(names, buckets))
-    ])
-    return marked.select(F.inline(each)).where("v IS NOT NULL")
-
-
-def _in_buckets(buckets: Sequence[Sequence[int]]) -> Column:
-    return reduce(
-        lambda x, y: x | y,
-        [(F.col("c") == c) & F.col("b").isin(list(bs)) for c, bs in enumerate(buckets) if bs], F.lit(False),
+        return [[[] for _ in outside] for _ in names]
+    spark = read.sparkSession
+    by_value = _columns_bucketed(read, cuts, targets).groupBy("c", "b", "v").agg(
+        *[F.count_if(F.col("f") != j if k else F.lit(True)).alias(f"n{j}") for j in outside]
     )
+    upto = Window.partitionBy("c", "b").orderBy("v")
+    spans = by_value.select("c", "b", "v", F.array(*[F.sum(f"n{j}").over(upto) for j in outside]).alias("hi"), F.array(*[f"n{j}" for j in outside]).alias("n"))
+    asked = spark.createDataFrame(wanted, "c int, b int, j int, at long, r long")
+    hi = F.get("hi", F.col("j"))
+    # One row per wanted rank: a bounded list.
+    rows = spans.join(F.broadcast(asked), ["c", "b"]).where((hi > F.col("at")) & (hi - F.get("n", F.col("j")) <= F.col("at")))
+    found = {(x["c"], x["j"], x["r"]): x["v"] for x in rows.select("c", "j", "r", "v").collect()}
+    return [[[found[c, j, r] for r in ranks[c][j]] for j in outside] for c in range(columns)]
+
+
+def _bucket(value: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted cuts are not above the value, by halving."""
+    if not cuts:
+        return F.lit(0)
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(cuts[middle]), among(low, middle)).otherwise(among(middle + 1, high))
+
+    return among(0, len(cuts))
+
+
+def _columns_bucketed(
+    read: DataFrame, cuts: Sequence[Sequence[float]], only: Sequence[Sequence[int]] | None = None
+) -> DataFrame:
+    """(c, b, v, f): number of the column, bucket by its own cuts, value and fold; of some buckets.
+
+    Every column is a scan of its own, which reads just that column.
+    """
+    parts = []
+    for c, own in enumerate(cuts):
+        if only is not None and not only[c]:
+            continue
+        column = F.col(f"c{c}")
+        part = read.where(column.isNotNull()).select(F.lit(c).alias("c"), _bucket(column, own).alias("b"), column.alias("v"), "f")
+        parts.append(part if only is None else part.where(F.col("b").isin(list(only[c]))))
+    return reduce(lambda x, y: x.unionAll(y), parts)
 
 
 def _floor(x: float) -> int:

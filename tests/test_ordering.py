@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from columnwright.operators import ordering
 from columnwright.operators.ordering import (
-    HashOrder, discrete_quantiles, exact_quantiles, require_unique_keys, running_totals,
+    HashOrder, discrete_quantiles, exact_quantiles, fold_quantiles, require_unique_keys, running_totals,
 )
 
 
@@ -106,3 +106,21 @@ def test_repeated_keys_raise(spark):
 
 def test_digits_tell_rows_apart():
     assert ordering.MAX_DIGITS < 32
+
+
+@pytest.mark.parametrize("leaf_rows", [1_000_000, 40])
+@pytest.mark.parametrize("sorted_folds", [False, True])
+def test_quantiles_outside_each_fold(spark, leaf_rows, sorted_folds):
+    """Also where folds differ wildly, one value fills half of a column, and rows have no fold."""
+    import random
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 1), 7.0 if i % 2 else float(rng.randrange(50)), None if i % 3 else rng.random()) for i in range(900)]
+    rows.sort()
+    folds = [(i // 300 if sorted_folds else rng.randrange(3)) if i % 10 else None for i in range(900)]
+    df = spark.createDataFrame([(*r, f) for r, f in zip(rows, folds)], "a double, b double, c double, fold int")
+    found = fold_quantiles(df.withColumn("d", F.lit(None).cast("double")), "fold", 3, 8, leaf_rows)
+    for c in range(3):
+        for j in range(3):
+            own = sorted(r[c] for r, f in zip(rows, folds) if f != j and r[c] is not None)
+            assert found[c][j] == [own[-(-len(own) * i // 8) - 1] for i in range(1, 8)]
+    assert found[3] == [[], [], []]
