@@ -220,6 +220,54 @@ def auc_sql(source: str, by: Sequence[str] = (), score: str = "score", label: st
     """
 
 
+def best_accuracy_sql(source: str, by: Sequence[str], name: str = "accuracy") -> str:
+    """Accuracy per group at its best threshold: every distinct score is tried, and one below all."""
+    groups = ", ".join(by)
+    return f"""
+    SELECT {groups}, max(greatest(ahead, 0) + all_pos) / any_value(all_n) AS {name}
+    FROM (SELECT *, sum(neg - pos) OVER (PARTITION BY {groups} ORDER BY score ROWS UNBOUNDED PRECEDING) AS ahead,
+                 sum(pos) OVER (PARTITION BY {groups}) AS all_pos, sum(pos + neg) OVER (PARTITION BY {groups}) AS all_n
+          FROM (SELECT {groups}, score, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM ({source}) GROUP BY {groups}, score))
+    GROUP BY {groups}"""
+
+
+def neg_log_loss_sql(source: str, by: Sequence[str], name: str = "neg_log_loss") -> str:
+    groups, z = ", ".join(by), f"(score / {float(UNIT)})"
+    return f"""
+    SELECT {groups}, -avg(CASE WHEN y = 1 THEN ln(1 + exp(-{z})) ELSE ln(1 + exp({z})) END) AS {name} FROM ({source}) GROUP BY {groups}"""
+
+
+METRIC_SQL = {"auc": auc_sql, "accuracy": best_accuracy_sql, "neg_log_loss": neg_log_loss_sql}
+
+
+def sequential_sql(
+    folded: str, keys: Sequence[str], label: str, numbers: Sequence[str], categories: Sequence[str], k: int,
+    direction: str, metric: str = "auc",
+) -> str:
+    """The steps of sequential selection, one after the other: each tries every feature left."""
+    features = [*numbers, *categories]
+    forward = direction == "forward"
+    listed = ", ".join(f"({i}, '{f}')" for i, f in enumerate(features))
+    start = "[]::VARCHAR[]" if forward else "[" + ", ".join(f"'{f}'" for f in features) + "]"
+    counts = (
+        "CASE WHEN feature = c.name OR list_contains(chosen, feature) THEN w ELSE 0 END" if forward
+        else "CASE WHEN feature <> c.name AND list_contains(chosen, feature) THEN w ELSE 0 END"
+    )
+    steps = len(features) // 2 if forward else len(features) - len(features) // 2
+    parts = [f"candidates(place, name) AS (VALUES {listed})", f"set0 AS (SELECT {start} AS chosen)"]
+    for i in range(1, steps + 1):
+        scored = f"""
+            SELECT c.name, place, row_id, any_value(y) AS y, any_value(fold) AS fold, sum({counts}) AS score
+            FROM rw, candidates c, set{i - 1} WHERE list_contains(chosen, c.name) <> {forward} GROUP BY c.name, place, row_id"""
+        parts.append(f"""best{i} AS (
+            SELECT name, avg({metric}) AS m FROM ({METRIC_SQL[metric](scored, ["name", "place", "fold"])}) GROUP BY name, place
+            ORDER BY round(m, 6) DESC, place LIMIT 1)""")
+        after = f"list_append(chosen, name)" if forward else "list_filter(chosen, lambda x: x <> name)"
+        parts.append(f"set{i} AS (SELECT {after} AS chosen FROM set{i - 1}, best{i})")
+    out = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS step, name AS feature, round(m, 6) AS {metric} FROM best{i}" for i in range(1, steps + 1))
+    return f"WITH {weights_sql(folded, keys, label, numbers, categories, k)}, {', '.join(parts)} {out}"
+
+
 def nb_fold_auc_sql(
     folded: str, keys: Sequence[str], label: str, numbers: Sequence[str], categories: Sequence[str],
     k: int, impute: bool = True, edges: str | None = None, fold: str = "fold",

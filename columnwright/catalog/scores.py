@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from columnwright.catalog.frames import (
     LINE_CATEGORIES, LINE_FEATURES, LINE_KEYS, LINE_NUMBERS, LINES_SQL, QUALITY_CATEGORIES,
-    QUALITY_FEATURES, QUALITY_KEYS, QUALITY_NUMBERS, QUALITY_SQL, auc_sql, edges_sql, kfold_rows_sql,
-    lines, nb_fold_auc_sql, quality, stored_quality, stratified_split_sql, table, weights_sql,
+    QUALITY_FEATURES, QUALITY_KEYS, QUALITY_NUMBERS, QUALITY_SQL, auc_sql, best_accuracy_sql, edges_sql,
+    kfold_rows_sql, lines, nb_fold_auc_sql, neg_log_loss_sql, quality, stored_quality, stratified_split_sql, table, weights_sql,
 )
 from columnwright.catalog.registry import query
 from columnwright.operators import bayes, ledger, metrics, splits, trees
@@ -31,6 +31,18 @@ def auc_exact(spark, sf):
     return _rounded(metrics.auc(quality(spark, sf), LABEL, "letter_share"))
 
 
+LINE_SCORE_SQL = "SELECT l_linestatus, CAST(l_returnflag = 'R' AS INTEGER) AS y, CAST(l_quantity AS BIGINT) * 7 - l_suppkey % 50 AS score FROM lineitem"
+
+
+@query("accuracy_best_threshold", f"SELECT l_linestatus, round(a.accuracy, 6) AS accuracy, round(l.neg_log_loss, 6) AS neg_log_loss FROM ({best_accuracy_sql(LINE_SCORE_SQL, ['l_linestatus'])}) a JOIN ({neg_log_loss_sql(LINE_SCORE_SQL, ['l_linestatus'])}) l USING (l_linestatus)")
+def accuracy_best_threshold(spark, sf):
+    rows = lines(spark, sf).withColumn("score", F.col("l_quantity").cast("bigint") * 7 - F.col("l_suppkey") % 50)
+    by = ["l_linestatus"]
+    best = metrics.best_accuracy(rows, "returned", "score", by).withColumn("accuracy", F.round("accuracy", 6))
+    loss = metrics.neg_log_loss(rows, "returned", "score", by).withColumn("neg_log_loss", F.round("neg_log_loss", 6))
+    return best.join(loss, by)
+
+
 @query("auc_per_fold", _rounded_sql(auc_sql(
     f"SELECT quality AS y, fold, letter_share AS score "
     f"FROM ({kfold_rows_sql(QUALITY_SQL, KEYS, FOLDS)})", ["fold"])))

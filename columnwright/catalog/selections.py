@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from columnwright.catalog.frames import (
     LINE_CATEGORIES, LINE_FEATURES, LINE_KEYS, LINE_NUMBERS, LINES_SQL, QUALITY_CATEGORIES,
     QUALITY_FEATURES, QUALITY_KEYS, QUALITY_NUMBERS, QUALITY_SQL, importance_sql, lines, noise_sql,
-    quality, stored_quality, stratified_fold_sql,
+    quality, sequential_sql, stored_quality, stratified_fold_sql,
 )
 from columnwright.catalog.registry import query
 from columnwright.operators import bayes, selection, splits
@@ -91,18 +91,38 @@ def prune_staged(spark, sf):
     return selection.selected_frame(df, selection.prune_staged(df, KEYS, LABEL, QUALITY_FEATURES))
 
 
-def _sequential(spark, sf, direction):
+def _sequential(spark, sf, direction, metric="auc"):
     df = stored_quality(spark, sf)
-    steps = selection.select_sequentially(df, KEYS, LABEL, QUALITY_FEATURES, direction)
-    frame = spark.createDataFrame(steps, "step int, feature string, auc double")
-    return frame.withColumn("auc", F.round("auc", 6))
+    steps = selection.select_sequentially(df, KEYS, LABEL, QUALITY_FEATURES, direction, metric=metric)
+    frame = spark.createDataFrame(steps, f"step int, feature string, {metric} double")
+    return frame.withColumn(metric, F.round(metric, 6))
 
 
-@query("sfs_forward")
+def _steps_sql(direction, metric="auc"):
+    return sequential_sql(SPLIT_SQL, KEYS, LABEL, QUALITY_NUMBERS, QUALITY_CATEGORIES, 3, direction, metric)
+
+
+@query("sfs_forward", _steps_sql("forward"))
 def sfs_forward(spark, sf):
     return _sequential(spark, sf, "forward")
 
 
-@query("sfs_backward")
+@query("sfs_backward", _steps_sql("backward"))
 def sfs_backward(spark, sf):
     return _sequential(spark, sf, "backward")
+
+
+@query("sfs_forward_accuracy", _steps_sql("forward", "accuracy"))
+def sfs_forward_accuracy(spark, sf):
+    return _sequential(spark, sf, "forward", "accuracy")
+
+
+@query("sfs_backward_log_loss", _steps_sql("backward", "neg_log_loss"))
+def sfs_backward_log_loss(spark, sf):
+    return _sequential(spark, sf, "backward", "neg_log_loss")
+
+
+@query("prune_staged_accuracy")
+def prune_staged_accuracy(spark, sf):
+    df = stored_quality(spark, sf)
+    return selection.selected_frame(df, selection.prune_staged(df, KEYS, LABEL, QUALITY_FEATURES, metric="accuracy"))

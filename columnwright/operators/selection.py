@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from columnwright.functions.hashing import hash_uniform, row_hash
 from columnwright.operators.bayes import Weighted, weigh
 from columnwright.operators.joins import BROADCAST_BYTES, lookup_join
-from columnwright.operators.metrics import NARROW_LEVELS, auc
+from columnwright.operators.metrics import NARROW_LEVELS, WORST, metric_named
 from columnwright.operators.ordering import MAX_RANGES, HashOrder
 from columnwright.operators.splits import repeated_stratified_kfold, stratified_kfold
 from columnwright.storage import scratch, store
@@ -131,18 +131,19 @@ def permute(weighted: Weighted, rows_per_range: int = RANGE_ROWS) -> tuple[Weigh
 
 
 def score_variants(
-    weighted: Weighted, variants: Sequence[tuple[str, Column]], rows: DataFrame | None = None
+    weighted: Weighted, variants: Sequence[tuple[str, Column]], rows: DataFrame | None = None, metric: str = "auc"
 ) -> DataFrame:
     """(fold, variant, auc): every variant of the score on every fold, in one job.
 
-    A variant whose score is NULL on a row is left out there.
+    A variant whose score is NULL on a row is left out there. The last column is named after
+    the ``metric``.
     """
     table = weighted.df if rows is None else rows
     pairs = F.array(*[
         F.struct(F.lit(n).alias("variant"), c.cast("bigint").alias("__score")) for n, c in variants
     ])
     long = table.select(weighted.fold, F.col(weighted.label).alias("__label"), F.inline(pairs))
-    return auc(long, "__label", "__score", [weighted.fold, "variant"], levels=NARROW_LEVELS)
+    return metric_named(metric)(long, "__label", "__score", [weighted.fold, "variant"], metric, NARROW_LEVELS)
 
 
 def importance_variants(
@@ -175,21 +176,22 @@ def permutation_importance(
     weighted: Weighted,
     features: Sequence[str] | None = None,
     rows_per_range: int = RANGE_ROWS,
+    metric: str = "auc",
 ) -> DataFrame:
-    """(fold, feature, importance): AUC lost when the feature's values are permuted."""
+    """(fold, feature, importance): AUC, or another metric, lost when the feature's values are permuted."""
     names = list(weighted.columns) if features is None else list(features)
     with scratch():
         swapped, permuted = permute(weighted, rows_per_range)
         folds = [r[0] for r in weighted.df.select(weighted.fold).distinct().collect()]
-        scores = score_variants(swapped, importance_variants(swapped, permuted, {s: names for s in folds}))
+        scores = score_variants(swapped, importance_variants(swapped, permuted, {s: names for s in folds}), metric=metric)
         # One score per (fold, feature): bounded by the schema, whatever the table holds.
         scores = store(scores, "scores", lasting=True).df
-    base = scores.where(F.col("variant") == BASE).select(weighted.fold, F.col("auc").alias("__base"))
+    base = scores.where(F.col("variant") == BASE).select(weighted.fold, F.col(metric).alias("__base"))
     return (
         scores.where(F.col("variant") != BASE).join(F.broadcast(base), weighted.fold)
         .select(
             weighted.fold, F.col("variant").alias("feature"),
-            (F.col("__base") - F.col("auc")).alias("importance"),
+            (F.col("__base") - F.col(metric)).alias("importance"),
         )
     )
 
@@ -246,13 +248,14 @@ def prune_staged(
     n_noise: int = 3,
     copy: bool = True,
     on_split: Callable[[list[tuple[int, int, str]]], None] | None = None,
+    metric: str = "auc",
 ) -> list[tuple[int, int, str]]:
     """Selected features as (split, position, feature), by three stages of pruning.
 
     All splits advance together: a round is one job that scores the current set of every
     split on its validation rows and permutes each of its features. Stage by stage, the
     least important share is dropped (first only features that do not beat noise); a set
-    is accepted if its validation AUC is not worse than the best; a stage ends after
+    is accepted if its validation ``metric`` (AUC by default) is not worse than the best; a stage ends after
     ``patience`` rounds in a row without that. ``splitter`` adds ``split`` (0..k-1).
     The input is written once with its splits; a stored one needs no ``copy``.
     """
@@ -273,7 +276,8 @@ def prune_staged(
         swapped = replace(swapped, df=store(swapped.df, "weights").df)
 
         start = {s: [f for f in features if f not in useless[s]] for s in splits}
-        best_set, best_auc = dict(start), dict.fromkeys(splits, -1.0)
+        best_set, best_score = dict(start), dict.fromkeys(splits, -math.inf)
+        worst = WORST[metric]
         deadline = time.monotonic() + time_limit_per_split * len(splits)
         seen: dict[tuple, dict[str, float]] = {}
         for stage in stages:
@@ -289,18 +293,18 @@ def prune_staged(
                 if fresh:
                     variants = importance_variants(swapped, permuted, fresh, extra)
                     seen.update({at[s]: {} for s in fresh})
-                    for r in score_variants(swapped, variants, rows).collect():
-                        seen[at[r["split"]]][r["variant"]] = r["auc"] or 0.0
+                    for r in score_variants(swapped, variants, rows, metric).collect():
+                        seen[at[r["split"]]][r["variant"]] = worst if r[metric] is None else r[metric]
                 still_open = []
                 for s in open_splits:
                     found = seen[at[s]]
-                    base = found.get(BASE, 0.0)
-                    value = found.get(PLAIN if extra else BASE, 0.0)
-                    if value >= best_auc[s]:
-                        best_set[s], best_auc[s], misses[s] = current[s], value, 0
+                    base = found.get(BASE, worst)
+                    value = found.get(PLAIN if extra else BASE, worst)
+                    if value >= best_score[s]:
+                        best_set[s], best_score[s], misses[s] = current[s], value, 0
                     else:
                         misses[s] += 1
-                    gain = {f: base - found.get(f, 0.0) for f in active[s]}
+                    gain = {f: base - found.get(f, worst) for f in active[s]}
                     droppable = sorted(current[s], key=lambda f: (gain[f], current[s].index(f)))
                     if extra:
                         bar = max(gain[f] for f in noise)
@@ -364,8 +368,9 @@ def select_sequentially(
     n_features: int | None = None,
     k: int = 3,
     seed: object = 42,
+    metric: str = "auc",
 ) -> list[tuple[int, str, float]]:
-    """Sequential feature selection by mean fold AUC: (step, feature, auc) per step.
+    """Sequential feature selection by the mean AUC, or another metric, of the folds: (step, feature, score).
 
     Forward adds the best candidate, backward removes the one whose absence scores best,
     until ``n_features`` (half of them by default) are chosen. A step scores all candidates
@@ -389,10 +394,11 @@ def select_sequentially(
                 for f in features
                 if (f in chosen) != forward
             }
-            scores = score_variants(weighted, [(f, weighted.total(fs)) for f, fs in trials.items()])
-            means = {r["variant"]: r["m"] for r in scores.groupBy("variant").agg(F.avg("auc").alias("m")).collect()}
+            scores = score_variants(weighted, [(f, weighted.total(fs)) for f, fs in trials.items()], metric=metric)
+            means = {r["variant"]: r["m"] for r in scores.groupBy("variant").agg(F.avg(metric).alias("m")).collect()}
             # Equal to six digits is equal: the earlier feature wins.
-            best = max(trials, key=lambda f: (round(means.get(f) or 0.0, 6), -list(features).index(f)))
+            value = {f: WORST[metric] if means.get(f) is None else means[f] for f in trials}
+            best = max(trials, key=lambda f: (round(value[f], 6), -list(features).index(f)))
             chosen = trials[best]
             steps.append((len(steps) + 1, best, means.get(best)))
     return steps

@@ -66,3 +66,31 @@ def test_classes_and_blocks(spark):
     df = spark.createDataFrame([("B",), ("a",), ("b",)], "y string")
     assert [r["y"] for r in metrics.distinct_classes(df, "y").collect()] == ["a", "b"]
     assert metrics.block_count(spark.range(95), 30).first()["n_blocks"] == 3
+
+
+@pytest.mark.parametrize("levels", [(20, 20), (), (2, 3, 4)])
+def test_best_accuracy_tries_every_threshold(spark, levels):
+    rng = random.Random(7)
+    rows = [(g, int(rng.random() < 0.3 + s / 60), s) for g in range(3) for s in (rng.randint(-20, 20) for _ in range(200))]
+    rows += [(3, 1, 5), (3, 1, 6), (4, 0, 5), (4, None, 1), (5, 1, 1), (5, 0, 1), (5, 0, 2), (5, 0, None)]
+    df = spark.createDataFrame(rows, "g int, y int, s bigint")
+    got = {r["g"]: r["accuracy"] for r in metrics.best_accuracy(df, "y", "s", ["g"], levels=levels).collect()}
+    floats = {r["g"]: r["accuracy"] for r in metrics.best_accuracy(df, "y", F.col("s") / 3, ["g"], levels=levels).collect()}
+    for g in range(6):
+        own = [(y, s) for h, y, s in rows if h == g and y is not None and s is not None]
+        want = max(sum((s > t) == (y == 1) for y, s in own) for t in [-99, *[s for _, s in own]]) / len(own)
+        assert got[g] == pytest.approx(want, abs=1e-12) and floats[g] == pytest.approx(want, abs=1e-12)
+
+
+def test_log_loss(spark):
+    import math
+    rows = [(1, 900), (0, 900), (0, -2500), (1, 900_000), (0, 900_000), (None, 3), (1, None)]
+    df = spark.createDataFrame(rows, "y int, s bigint")
+    own = [(y, s / 1000) for y, s in rows if y is not None and s is not None]
+    want = -sum(math.log1p(math.exp(-abs(z))) + max(-z if y else z, 0) for y, z in own) / len(own)
+    assert metrics.neg_log_loss(df, "y", "s").first()["neg_log_loss"] == pytest.approx(want, abs=1e-12)
+
+
+def test_unknown_metric(spark):
+    with pytest.raises(ValueError):
+        metrics.metric_named("luck")
