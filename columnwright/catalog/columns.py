@@ -182,6 +182,28 @@ def group_transform(spark, sf):
     return out.select("o_orderkey", F.round("customer_mean", 4).alias("customer_mean"))
 
 
+@query("group_median", """
+    SELECT c_custkey, quantile_cont(c_acctbal, 0.5) OVER (PARTITION BY c_mktsegment) AS median,
+           quantile_cont(c_acctbal, 0.9) OVER (PARTITION BY c_mktsegment) AS high FROM customer""")
+def group_median(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    out = ranks.group_quantile(df, ["c_mktsegment"], "c_acctbal", 0.5, "median")
+    out = ranks.group_quantile(out, ["c_mktsegment"], "c_acctbal", 0.9, "high")
+    return out.select("c_custkey", "median", "high")
+
+
+@query("group_median_lines", """
+    SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS price, quantile_cont(l_extendedprice, 0.25) AS low
+    FROM lineitem GROUP BY ALL""")
+def group_median_lines(spark, sf):
+    """Few groups, each with a large share of all lines; ranges are narrowed several times."""
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    keys = ["l_returnflag", "l_linestatus"]
+    price = ranks.group_quantiles(df, keys, "l_extendedprice", 0.5).withColumnRenamed("quantile", "price")
+    low = ranks.group_quantiles(df, keys, "l_extendedprice", 0.25).withColumnRenamed("quantile", "low")
+    return price.join(low, keys)
+
+
 def _with_gaps(df):
     """Balances with gaps: negative ones missing, those above 9000 infinite, 0..100 NaN."""
     value = (

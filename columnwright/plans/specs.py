@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from columnwright.functions import binning, rules
 from columnwright.functions.missing import finite, float_columns
@@ -55,6 +55,8 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
     "std": F.stddev_samp, "count": F.count, "nunique": F.count_distinct,
 }
+# Aggregates that no sum can give, and the share each stands for; ``quantile`` takes ``p``.
+QUANTILES: dict[str, float | None] = {"median": 0.5, "quantile": None}
 PLAIN_ARITHMETIC = (
     r"^\s*(?:df\[['\"]\w+['\"]\]\s*=\s*)?"
     r"(?:df\[['\"]\w+['\"]\]|[A-Za-z_]\w*|[0-9.]+|[\s()])+"
@@ -301,12 +303,23 @@ TABLE_OPS: dict[str, Callable[[DataFrame, Spec], DataFrame]] = {
     "pct_rank": lambda df, s: ranks.pct_rank(df, s["input"][0], s["name"]),
     "category_codes": lambda df, s: ranks.category_codes(df, s["input"][0], s["name"]),
     "mapping": lambda df, s: _mapping(df, s),
-    "group_transform": lambda df, s: ranks.group_transform(
-        df, [_existing(df, c) for c in s["args"]["by"]], AGGREGATES[s["args"]["agg"]](_input(df, s)), s["name"]
-    ),
+    "group_transform": lambda df, s: _group_transform(df, s),
 }
 
 
+def _group_transform(df: DataFrame, spec: Spec) -> DataFrame:
+    """``agg`` is ``median``, ``quantile`` (with ``p``), or an aggregate that can be combined."""
+    args = spec["args"]
+    by = [_existing(df, c) for c in args["by"]]
+    if args["agg"] in QUANTILES:
+        if not isinstance(df.schema[_existing(df, spec["input"][0])].dataType, T.NumericType):
+            raise SpecError(f"{spec['name']}: a quantile needs a column of numbers")
+        p = QUANTILES[args["agg"]]
+        p = args["p"] if p is None else p
+        return ranks.group_quantile(df, by, _existing(df, spec["input"][0]), float(p), spec["name"])
+    return ranks.group_transform(df, by, AGGREGATES[args["agg"]](_input(df, spec)), spec["name"])
+
+
 def _mapping(df: DataFrame, spec: Spec) -> DataFrame:
     """A dict has each key once, and its size is known."""
     on, mapping = list(spec["input"]), spec["args"]["mapping"]

@@ -181,3 +181,18 @@ def test_suggestion_rows(spark):
     out = {r["position"]: (r["status"], r["plain_arithmetic"]) for r in specs.validate_suggestions(df, ["x"], "class").collect()}
     assert out == {0: ("ok", True), 1: ("exists", False), 2: ("exists", False), 3: ("uses_target", False),
                    4: ("ok", False), 5: ("ok", False)}
+
+
+def test_median_of_a_group_is_a_spec(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 5.0), (3, "a", 6.0), (4, "b", 2.0)], "id int, g string, x double")
+    specs = [
+        {"name": "mid", "op": "group_transform", "input": ["x"], "args": {"by": ["g"], "agg": "median"}},
+        {"name": "low", "op": "group_transform", "input": ["x"], "args": {"by": ["g"], "agg": "quantile", "p": 0.25}},
+    ]
+    got = {r["id"]: (r["mid"], r["low"]) for r in apply_specs(df, specs).collect()}
+    assert got == {1: (5.0, 3.0), 2: (5.0, 3.0), 3: (5.0, 3.0), 4: (2.0, 2.0)}
+    for args in ({"by": ["g"], "agg": "quantile", "p": 2}, {"by": ["g"], "agg": "quantile"}, {"by": ["nope"], "agg": "median"}):
+        with pytest.raises(SpecError):
+            apply_specs(df, [{"name": "bad", "op": "group_transform", "input": ["x"], "args": args}])
+    with pytest.raises(SpecError):
+        apply_specs(df, [{"name": "bad", "op": "group_transform", "input": ["g"], "args": {"by": ["x"], "agg": "median"}}])

@@ -146,3 +146,22 @@ def test_profile_counts_make_no_lists(spark, monkeypatch):
     df = spark.createDataFrame([("x", 1), ("y", None)], "c string, a int")
     assert {(r["column"], r["unique_count"], r["missing_values"]) for r in profile.profile_counts(df).collect()} == {
         ("c", 2, 0), ("a", 1, 1)}
+
+
+@pytest.mark.parametrize("leaf_values", [10_000, 3])
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.9, 1.0])
+def test_quantile_of_each_group(spark, leaf_values, p):
+    """One group holds half of the rows; hot values, huge and tiny numbers, gaps, missing keys."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [("big", float(x)) for x in rng.normal(size=300)] + [("hot", 7.0)] * 100 + [("hot", float(x)) for x in range(9)]
+    rows += [("wide", float(x)) for x in (-1.7e308, 1.7e308, 1e-300, -1e-300, 0.0, -0.0, 5.0)] + [("one", 4.0), ("none", None)]
+    rows += [("gap", x) for x in (1.0, None, float("nan"), float("inf"), 2.0)] + [(None, 1.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, v double, i int")
+    got = {r["k"]: r["quantile"] for r in ranks.group_quantiles(df, ["k"], "v", p, leaf_values).collect()}
+    assert set(got) == {"big", "hot", "wide", "one", "gap"}
+    for k in got:
+        own = [v for g, v in rows if g == k and v is not None and np.isfinite(v)]
+        assert got[k] == pytest.approx(np.quantile(own, p), rel=1e-12, abs=1e-12), k
+    out = ranks.group_quantile(df, ["k"], "v", p, "q", leaf_values)
+    assert out.count() == len(rows) and out.where("k IS NULL OR k = 'none'").where("q IS NOT NULL").count() == 0
