@@ -160,6 +160,21 @@ def selected_sink_roundtrip(spark, sf):
     return sinks.read_selected(spark, path)
 
 
+@query("selected_splits_roundtrip", f"SELECT run, split, position, feature FROM ({SELECTED_SQL})")
+def selected_splits_roundtrip(spark, sf):
+    """One folder per split of each run (a year, a quarter); every split is written twice."""
+    path = fresh_path(spark, "selected")
+    chosen = {}
+    # Three features a quarter.
+    for r in selected(spark, sf).orderBy("run", "split", "position").collect():
+        chosen.setdefault((r["run"], r["split"]), []).append(r["feature"])
+    for (run, split), features in chosen.items():
+        for written in (["stale", *features], features):
+            sinks.write_selected_split(spark, split, written, f"{path}/run={run}")
+    read = spark.read.schema("position int, feature string, run int, split int").json(path)
+    return read.select("run", "split", "position", "feature")
+
+
 @query("ledger_roundtrip", """
     SELECT CAST(month(o_orderdate) AS INTEGER) AS round, o_orderstatus AS status, count(*) AS n,
            CAST(avg(CAST(o_orderpriority = '1-URGENT' AS INTEGER)) AS DOUBLE) AS score_pruned

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import threading
 import time
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from columnwright.functions.hashing import hash_uniform, row_hash
 from columnwright.operators.bayes import Weighted, weigh
@@ -217,6 +220,45 @@ def prune_round(importance: DataFrame, ratio: float, by: Sequence[str] = ("fold"
 
 # ---------------------------------------------------------------- staged pruning
 
+class TimeUp(Exception):
+    """The jobs of a block were cancelled because its time was over."""
+
+
+@contextmanager
+def time_limit(spark: SparkSession, deadline: float) -> Iterator[None]:
+    """Cancel the Spark jobs of this block at ``deadline`` (by ``time.monotonic``) and raise ``TimeUp``.
+
+    Only jobs of this block bear its tag, so nothing else in the session is touched. An error
+    that comes for another reason is raised as it is.
+    """
+    left = deadline - time.monotonic()
+    if left <= 0:
+        raise TimeUp
+    context, tag, over = spark.sparkContext, f"columnwright-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        over.set()
+        # A job that starts just now is caught by the next call.
+        while not ended.wait(0.2):
+            context.cancelJobsWithTag(tag)
+
+    ended = threading.Event()
+    timer = threading.Timer(min(left, threading.TIMEOUT_MAX), cancel)
+    timer.daemon = True
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception as error:
+        if over.is_set():
+            raise TimeUp from error
+        raise
+    finally:
+        timer.cancel()
+        ended.set()
+        context.removeJobTag(tag)
+
+
 @dataclass(frozen=True)
 class Stage:
     ratio: float
@@ -247,7 +289,7 @@ def prune_staged(
     seed: int = 42,
     n_noise: int = 3,
     copy: bool = True,
-    on_split: Callable[[list[tuple[int, int, str]]], None] | None = None,
+    on_split: Callable[[int, list[str]], None] | None = None,
     metric: str = "auc",
 ) -> list[tuple[int, int, str]]:
     """Selected features as (split, position, feature), by three stages of pruning.
@@ -258,7 +300,12 @@ def prune_staged(
     is accepted if its validation ``metric`` (AUC by default) is not worse than the best; a stage ends after
     ``patience`` rounds in a row without that. ``splitter`` adds ``split`` (0..k-1).
     The input is written once with its splits; a stored one needs no ``copy``.
+
+    ``on_split(split, features)`` is called as soon as a split is done with the last stage,
+    while others go on; ``sinks.write_selected_split`` is made for it. When the time of all
+    splits is over, the running round's jobs are cancelled, and every split keeps its best set.
     """
+    worst = WORST[metric]
     if splitter is None:
         table = repeated_stratified_kfold(df, keys, label, 3, 1, seed).drop("repeat")
         table = table.withColumnRenamed("fold", "split")
@@ -277,13 +324,23 @@ def prune_staged(
 
         start = {s: [f for f in features if f not in useless[s]] for s in splits}
         best_set, best_score = dict(start), dict.fromkeys(splits, -math.inf)
-        worst = WORST[metric]
         deadline = time.monotonic() + time_limit_per_split * len(splits)
+        done: set[int] = set()
+
+        def finish(ended: Sequence[int]) -> None:
+            for s in ended:
+                if s not in done:
+                    done.add(s)
+                    if on_split is not None:
+                        on_split(s, list(best_set[s]))
+
         seen: dict[tuple, dict[str, float]] = {}
-        for stage in stages:
+        for number, stage in enumerate(stages):
             rows = swapped.df if stage.rows is None else _cap_per_split(swapped, stage.rows)
             current, misses = dict(best_set), dict.fromkeys(splits, 0)
             open_splits = [s for s in splits if current[s]]
+            if number == len(stages) - 1:
+                finish([s for s in splits if not current[s]])
             while open_splits and time.monotonic() < deadline:
                 extra = noise if stage.against_noise else []
                 active = {s: [*current[s], *extra] for s in open_splits}
@@ -292,8 +349,13 @@ def prune_staged(
                 fresh = {s: active[s] for s in open_splits if at[s] not in seen}
                 if fresh:
                     variants = importance_variants(swapped, permuted, fresh, extra)
+                    try:
+                        with time_limit(df.sparkSession, deadline):
+                            found_scores = score_variants(swapped, variants, rows, metric).collect()
+                    except TimeUp:
+                        break
                     seen.update({at[s]: {} for s in fresh})
-                    for r in score_variants(swapped, variants, rows, metric).collect():
+                    for r in found_scores:
                         seen[at[r["split"]]][r["variant"]] = worst if r[metric] is None else r[metric]
                 still_open = []
                 for s in open_splits:
@@ -314,11 +376,11 @@ def prune_staged(
                     if dropped and misses[s] < stage.patience:
                         current[s] = [f for f in current[s] if f not in dropped]
                         still_open.append(s)
+                if number == len(stages) - 1:
+                    finish([s for s in open_splits if s not in still_open])
                 open_splits = still_open
+        finish(splits)
     out = [(s, i, f) for s in splits for i, f in enumerate(best_set[s])]
-    if on_split is not None:
-        for s in splits:
-            on_split([row for row in out if row[0] <= s])
     return out
 
 

@@ -32,6 +32,22 @@ def append_selected(selected: DataFrame, path: str) -> None:
     selected.select("split", "position", "feature").write.mode("append").json(path)
 
 
+def write_selected_split(spark: SparkSession, split: int, features: Sequence[str], path: str) -> None:
+    """One split's features as a folder of its own below ``path``.
+
+    Written anew, it takes the place of what the folder held and leaves other splits' folders
+    alone, so a split can be reported again after a failure. A split without features has a
+    folder without rows.
+    """
+    rows = spark.createDataFrame(list(enumerate(features)), "position int, feature string")
+    rows.write.mode("overwrite").json(f"{path.rstrip('/')}/split={split}")
+
+
+def read_selected_splits(spark: SparkSession, path: str) -> DataFrame:
+    """(split, position, feature) of the splits written so far."""
+    return spark.read.schema("position int, feature string, split int").json(path).select("split", "position", "feature")
+
+
 def read_selected(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("split int, position int, feature string").json(path)
 

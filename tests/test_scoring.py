@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from columnwright.operators import bayes, selection, splits, trees
 from columnwright.operators.selection import SAMPLED_STAGES, Stage
+from columnwright.sources import sinks
 
 
 def table(spark, n=400, seed=1):
@@ -146,14 +149,82 @@ def test_useless_features(spark):
 @pytest.mark.parametrize("stages", [selection.STAGES, SAMPLED_STAGES, (Stage(0.5, 1, True, 30),)])
 def test_pruning_keeps_the_signal(spark, stages):
     df = table(spark)
-    parts = []
+    parts = {}
     out = selection.prune_staged(
-        df, ["id"], "y", ["noise", "x", "c", "unique"], stages=stages, on_split=parts.append)
+        df, ["id"], "y", ["noise", "x", "c", "unique"], stages=stages, on_split=parts.__setitem__)
     assert {s for s, _, _ in out} == {0, 1, 2}
     for s in range(3):
         chosen = [f for t, _, f in out if t == s]
         assert "x" in chosen and [p for t, p, _ in out if t == s] == list(range(len(chosen)))
-    assert parts[-1] == out and len(parts) == 3
+    assert parts == {s: [f for t, _, f in out if t == s] for s in range(3)}
+
+
+def test_a_split_is_written_while_others_go_on(spark, tmp_path, monkeypatch):
+    """Split 0 has one feature left early; its folder is there when the others are scored again."""
+    path = str(tmp_path / "selected")
+    seen, real = [], selection.score_variants
+
+    def watched(weighted, variants, rows=None, metric="auc"):
+        seen.append(sorted(r["split"] for r in sinks.read_selected_splits(spark, path).select("split").distinct().collect())
+                    if os.path.isdir(path) else [])
+        found = real(weighted, variants, rows, metric)
+        # Split 0 gets worse with every round, so that it runs out of patience first.
+        worse = F.when(F.col(weighted.fold) == 0, F.col("auc") - len(seen)).otherwise(F.lit(1.0))
+        return found.withColumn("auc", worse)
+
+    monkeypatch.setattr(selection, "score_variants", watched)
+    write = lambda split, features: sinks.write_selected_split(spark, split, features, path)
+    stages = (Stage(0.2, 2),)
+    out = selection.prune_staged(table(spark), ["id"], "y", ["noise", "x", "c", "unique"], stages=stages, on_split=write)
+    assert [0] in seen
+    got = sorted(tuple(r) for r in sinks.read_selected_splits(spark, path).collect())
+    assert got == sorted(out)
+    write(0, ["x"])  # once more takes the place of the first time
+    again = sinks.read_selected_splits(spark, path)
+    assert [r["feature"] for r in again.where("split = 0").collect()] == ["x"]
+    assert again.where("split = 1").count() == sum(t == 1 for t, _, _ in out)
+
+
+def endless(spark):
+    return spark.range(10**15).select(F.sum(F.col("id") % 7)).collect()
+
+
+def test_jobs_are_cancelled_at_the_deadline(spark):
+    began = time.monotonic()
+    with pytest.raises(selection.TimeUp):
+        with selection.time_limit(spark, began + 1):
+            endless(spark)
+    assert time.monotonic() - began < 30
+    with selection.time_limit(spark, time.monotonic() + 100):
+        assert spark.range(10).count() == 10
+    with pytest.raises(ZeroDivisionError):
+        with selection.time_limit(spark, time.monotonic() + 100):
+            1 / 0
+    with pytest.raises(selection.TimeUp):
+        with selection.time_limit(spark, time.monotonic() - 1):
+            raise AssertionError("must not run")
+
+
+def test_a_slow_round_ends_in_time_with_the_best_set(spark, monkeypatch):
+    def slow(weighted, variants, rows=None, metric="auc"):
+        made = spark.range(10**15).where("id % 7 > 8")
+        return made.select(F.lit(0).alias("split"), F.lit("x").alias("variant"), F.lit(1.0).alias("auc"))
+
+    monkeypatch.setattr(selection, "score_variants", slow)
+    parts, began = {}, time.monotonic()
+    out = selection.prune_staged(
+        table(spark), ["id"], "y", ["noise", "x"], time_limit_per_split=1, on_split=parts.__setitem__)
+    assert time.monotonic() - began < 90
+    assert parts == dict.fromkeys(range(3), ["noise", "x"]) and len(out) == 6
+
+
+@pytest.mark.parametrize("metric", ["accuracy", "neg_log_loss"])
+def test_pruning_by_another_metric(spark, metric):
+    out = selection.prune_staged(table(spark), ["id"], "y", ["noise", "x", "c", "unique"], metric=metric)
+    for s in range(3):
+        assert "x" in [f for t, _, f in out if t == s]
+    with pytest.raises(KeyError):
+        selection.prune_staged(table(spark), ["id"], "y", ["x"], metric="luck")
 
 
 def test_no_time_keeps_all_but_useless(spark):
