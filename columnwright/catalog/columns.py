@@ -52,9 +52,9 @@ def _rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in ("mean", "min", "max", "std")})
 
 
-@query("profile", _profile_sql(True))
+@query("profile", f"SELECT *, false AS list_omitted FROM ({_profile_sql(True)})")
 def profile_query(spark, sf):
-    found = profile.profile(customer(spark, sf)).drop("list_omitted")
+    found = profile.profile(customer(spark, sf))
     return _rounded(found).withColumn("unique_values", F.array_join("unique_values", ","))
 
 
