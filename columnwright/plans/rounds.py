@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from columnwright.operators import bayes, selection, trees
 from columnwright.operators.columns import prune_accept
@@ -14,9 +15,10 @@ from columnwright.operators.ledger import PERFECT
 from columnwright.operators.ordering import HashOrder, require_unique_keys
 from columnwright.operators.selection import STAGES, Stage
 from columnwright.operators.splits import stratified_kfold_column, training_folds
+from columnwright.plans.manifest import Manifest
 from columnwright.plans.specs import Spec, accumulate, apply_specs, spec_at_fault, validate
-from columnwright.sources.sinks import LEDGER, append_ledger, append_selected, ledger_row
-from columnwright.storage import Stored, scratch, store
+from columnwright.sources.sinks import LEDGER, append_ledger, append_selected, ledger_row, read_ledger
+from columnwright.storage import Stored, delete, scratch, store
 
 FOLD, SPLIT = "__fold", "__split"
 N_SPLITS = 3
@@ -158,6 +160,7 @@ def augment_run(
     max_rounds: int = 11,
     ledger_path: str | None = None,
     selected_path: str | None = None,
+    resume_path: str | None = None,
 ) -> Run:
     """Repeat rounds over batches of specs.
 
@@ -167,9 +170,16 @@ def augment_run(
     ``setup.sources`` can be used by specs but are not features. The table of a kept round
     is the next one's input as it was written; the one before it and those of other rounds
     are deleted, so plans do not grow over rounds. An error deletes them all.
+
+    With ``resume_path``, a folder that every driver can reach, each finished round is committed
+    there, and a call with the same folder, columns and setup goes on after the last one: ledger,
+    accepted table, features and specs come from there, and only the round that was open runs
+    again. The accepted table outlives an error then. ``ledger_path`` gets every round once;
+    ``selected_path`` lacks a round whose driver was lost between its commit and that file. Of the
+    round that was open, tables may be left in the shared folder. The specs must be JSON values.
     """
     with scratch():
-        run, current = _rounds(df, features, batches, setup, max_rounds, ledger_path, selected_path)
+        run, current = _rounds(df, features, batches, setup, max_rounds, ledger_path, selected_path, resume_path)
         current.keep()
     return run
 
@@ -182,20 +192,33 @@ def _rounds(
     max_rounds: int,
     ledger_path: str | None,
     selected_path: str | None,
+    resume_path: str | None,
 ) -> tuple[Run, Stored]:
-    require_unique_keys(df, setup.keys)
     columns = list(dict.fromkeys([*setup.keys, setup.label, *features, *setup.sources]))
-    current = store(prepare(df.select(*columns), setup), "prepared")
-    run = Run(current.df, list(features))
-    run.auc_all_before = _all_rows(current.df, run.features, setup)
-    best = mean_cv_auc(current.df, [run.features], setup)[0]
-    run.ledger.append(
-        {"round": 0, "status": "baseline", "suggestions": "[]", "selected": list(features),
-         "score_before": best, "score_added": best, "score_pruned": best, "accepted": True}
-    )
-    if ledger_path:
-        append_ledger(ledger_row(df.sparkSession, run.ledger[0]), ledger_path)
-    for number in range(1, max_rounds + 1):
+    manifest = Manifest(df.sparkSession, resume_path) if resume_path else None
+    work = _work(df.select(*columns), features, setup)
+    state = manifest.latest() if manifest else None
+    if state is None:
+        require_unique_keys(df, setup.keys)
+        current = store(prepare(df.select(*columns), setup), "prepared")
+        run = Run(current.df, list(features))
+        run.auc_all_before = _all_rows(current.df, run.features, setup)
+        best = mean_cv_auc(current.df, [run.features], setup)[0]
+        run.ledger.append(
+            {"round": 0, "status": "baseline", "suggestions": "[]", "selected": list(features),
+             "score_before": best, "score_added": best, "score_pruned": best, "accepted": True}
+        )
+        if manifest:
+            _commit(manifest, run, current, best, work, None)
+        if ledger_path:
+            append_ledger(ledger_row(df.sparkSession, run.ledger[0]), ledger_path)
+    else:
+        run, current, best = _resumed(df, state, setup, work)
+        if ledger_path:
+            _append_missing(df, run, ledger_path)
+    for number in range(len(run.ledger), max_rounds + 1):
+        if _perfect(run.ledger[-1]):
+            break
         if callable(batches):
             batch = batches(run, number)
         else:
@@ -207,24 +230,80 @@ def _rounds(
         )
         run.ledger.append(row)
         run.applied.append(specs)
+        unused = augmented
+        if row["accepted"]:
+            unused, current = current, augmented
+            run.table, run.features = _kept(current.df, left, setup), left
+            best, run.selected = row["score_pruned"], selected
+        if manifest:
+            _commit(manifest, run, current, best, work, unused)
+        if unused is not None:
+            unused.drop()
         if ledger_path:
             append_ledger(ledger_row(df.sparkSession, row), ledger_path)
         if selected_path and selected:
             append_selected(selection.selected_frame(df, selected), selected_path)
-        if row["accepted"]:
-            keep = dict.fromkeys([*setup.keys, setup.label, FOLD, SPLIT, *setup.sources, *left])
-            current.drop()
-            current = augmented
-            run.table, run.features = current.df.select(*keep), left
-            best, run.selected = row["score_pruned"], selected
-        elif augmented is not None:
-            augmented.drop()
-        if row.get("score_pruned") is not None and row["score_pruned"] > PERFECT:
-            break
     run.auc_all_after = _all_rows(run.table, run.features, setup)
     return run, current
 
 
+def _perfect(row: Mapping[str, object]) -> bool:
+    """The baseline, round 0, ends nothing."""
+    return row["round"] > 0 and row.get("score_pruned") is not None and row["score_pruned"] > PERFECT
+
+
+def _kept(table: DataFrame, features: Sequence[str], setup: Setup) -> DataFrame:
+    return table.select(*dict.fromkeys([*setup.keys, setup.label, FOLD, SPLIT, *setup.sources, *features]))
+
+
+def _work(df: DataFrame, features: Sequence[str], setup: Setup) -> dict:
+    """What must be the same for a run to be gone on with, as JSON gives it back."""
+    options = {k: v for k, v in asdict(setup).items() if k != "time_limit_per_split"}
+    return json.loads(json.dumps({"columns": df.schema.jsonValue(), "features": list(features), "setup": options}))
+
+
+def _commit(
+    manifest: Manifest, run: Run, current: Stored, best: float, work: dict, unused: Stored | None
+) -> None:
+    """Commit the last round. From then on the accepted table belongs to the manifest."""
+    manifest.commit(run.ledger[-1]["round"], {
+        "work": work, "ledger": run.ledger, "applied": run.applied, "selected": run.selected,
+        "features": run.features, "best": best, "auc_all_before": run.auc_all_before,
+        "table": current.path, "schema": current.df.schema.jsonValue(),
+        "unused": unused.path if unused is not None else None,
+    })
+    current.keep()
+
+
+def _resumed(df: DataFrame, state: dict, setup: Setup, work: dict) -> tuple[Run, Stored, float]:
+    if state["work"] != work:
+        raise ValueError("the folder holds a run with other columns, features or setup")
+    spark = df.sparkSession
+
+    if state["unused"]:  # the driver may have been lost before it deleted this one
+        delete(spark, state["unused"])
+    schema = T.StructType.fromJson(state["schema"])
+    current = Stored(spark.read.schema(schema).parquet(state["table"]), state["table"])
+    run = Run(
+        _kept(current.df, state["features"], setup), state["features"], state["ledger"], state["applied"],
+        [tuple(s) for s in state["selected"]], state["auc_all_before"],
+    )
+    return run, current, state["best"]
+
+
+def _append_missing(df: DataFrame, run: Run, ledger_path: str) -> None:
+    """Rounds that were committed but had not reached the ledger file."""
+    try:
+        there = {r["round"] for r in read_ledger(df.sparkSession, ledger_path).select("round").collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = set()
+    for row in run.ledger:
+        if row["round"] not in there:
+            append_ledger(ledger_row(df.sparkSession, row), ledger_path)
+
+
 def _all_rows(table: DataFrame, features: Sequence[str], setup: Setup) -> float:
     with scratch():
         scores = trees.kfold_auc_all(

@@ -44,7 +44,7 @@ class Stored:
 
     def drop(self) -> None:
         """Delete the files. Only for tables no later query reads."""
-        _delete(self.df.sparkSession, self.path)
+        delete(self.df.sparkSession, self.path)
 
     def keep(self) -> None:
         """Take the table out of the block it belongs to."""
@@ -53,7 +53,8 @@ class Stored:
                 made.remove(self.path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -76,7 +77,7 @@ def scratch() -> Iterator[None]:
         _blocks.reset(token)
         spark = SparkSession.getActiveSession()
         for path in made:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def store(df: DataFrame, name: str = "table", lasting: bool = False) -> Stored:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from columnwright.plans import rounds
+from columnwright.plans.manifest import Manifest, RoundTaken
 from columnwright.sources import sinks
 from columnwright.storage import shared_folder, store
 
@@ -86,3 +87,72 @@ def test_keys_must_be_unique(table):
 def test_scorer_can_be_chosen(table):
     run = rounds.augment_run(table, ["a", "b"], [], setup(scorer="lr"))
     assert 0 < run.ledger[0]["score_pruned"] < 1
+
+
+class Lost(Exception):
+    """Stands for the end of a driver."""
+
+
+def tables_left(before, folder):
+    return {p for p in set(os.listdir(folder)) - before}
+
+
+def test_a_lost_run_is_gone_on_with(spark, table, tmp_path, monkeypatch):
+    store(spark.range(1))
+    folder = os.path.join(shared_folder(spark).removeprefix("file:"), "columnwright")
+    batches = [[HALF], [BAD], [DIFFERENT], [HALF]]
+    options = setup(sources=["a", "b"])
+    whole = rounds.augment_run(table, ["a", "c"], batches, options)
+    state, ledger = str(tmp_path / "state"), str(tmp_path / "ledger")
+    before = set(os.listdir(folder))
+
+    def until_third(run, number):
+        if number == 3:
+            raise Lost
+        return batches[number - 1]
+
+    with pytest.raises(Lost):
+        rounds.augment_run(table, ["a", "c"], until_third, options, ledger_path=ledger, resume_path=state)
+    assert Manifest(spark, state).rounds() == [0, 1, 2]
+    assert len(tables_left(before, folder)) == 1
+    ran, real = [], rounds.augment_round
+    monkeypatch.setattr(rounds, "augment_round", lambda *a: ran.append(a[4]) or real(*a))
+    run = rounds.augment_run(table, ["a", "c"], batches, options, ledger_path=ledger, resume_path=state)
+    assert ran == list(range(3, len(whole.ledger)))
+    assert run.ledger == whole.ledger and run.features == whole.features
+    assert run.applied == whole.applied and run.selected == whole.selected
+    assert (run.auc_all_before, run.auc_all_after) == (whole.auc_all_before, whole.auc_all_after)
+    order = lambda t: sorted(map(tuple, t.collect()))
+    assert run.table.columns == whole.table.columns and order(run.table) == order(whole.table)
+    assert [r["round"] for r in sinks.read_ledger(spark, ledger).orderBy("round").collect()] == list(range(len(run.ledger)))
+    assert len(tables_left(before, folder)) == 1
+    # A finished run is not repeated.
+    again = rounds.augment_run(table, ["a", "c"], batches, options, ledger_path=ledger, resume_path=state)
+    assert ran == list(range(3, len(whole.ledger))) and again.ledger == run.ledger
+    with pytest.raises(ValueError):
+        rounds.augment_run(table, ["a", "c"], batches, setup(sources=["b"]), resume_path=state)
+
+
+def test_rounds_committed_before_the_ledger_file_are_added_to_it(spark, table, tmp_path, monkeypatch):
+    state, ledger = str(tmp_path / "state"), str(tmp_path / "ledger")
+
+    def lost(*args):
+        raise Lost
+
+    with monkeypatch.context() as m:
+        m.setattr(rounds, "append_ledger", lost)
+        with pytest.raises(Lost):
+            rounds.augment_run(table, ["c"], [[BAD]], setup(), ledger_path=ledger, resume_path=state)
+    rounds.augment_run(table, ["c"], [[BAD]], setup(), ledger_path=ledger, resume_path=state)
+    assert sorted(r["round"] for r in sinks.read_ledger(spark, ledger).collect()) == [0, 1]
+
+
+def test_a_round_gets_one_state(spark, tmp_path):
+    manifest = Manifest(spark, str(tmp_path / "state"))
+    assert manifest.latest() is None
+    manifest.commit(0, {"a": [1, None, "\u00e9\n"]})
+    manifest.commit(1, {"b": 2.5})
+    with pytest.raises(RoundTaken):
+        manifest.commit(1, {"b": 3})
+    assert manifest.latest() == {"b": 2.5} and manifest.rounds() == [0, 1]
+    assert not [n for n in os.listdir(tmp_path / "state") if n.startswith("_open")]
