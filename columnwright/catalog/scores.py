@@ -158,6 +158,21 @@ def round_compare(spark, sf):
     )
 
 
+TREE_CATEGORIES = ["l_linestatus", "l_returnflag", "l_shipdate", "l_suppkey"]
+
+
+@query("training_values", " UNION ALL ".join(f"""
+    SELECT feature, CAST({i} AS INTEGER) AS fold, value, rows, CAST(code AS INTEGER) AS code FROM (
+      SELECT *, row_number() OVER (PARTITION BY feature ORDER BY rows DESC, value) AS code FROM (
+        SELECT feature, md5(CAST(v AS VARCHAR)) AS value, count(*) AS rows
+        FROM (SELECT l_orderkey, '{c}' AS feature, {c} AS v FROM lineitem) WHERE l_orderkey % 4 <> {i} AND v IS NOT NULL
+        GROUP BY ALL) WHERE rows >= 2) WHERE code <= 255""" for i in range(4) for c in TREE_CATEGORIES))
+def training_values(spark, sf):
+    """Category values that the trees of four folds know, over all lines; folds keep an order whole."""
+    folded = table(spark, sf, "lineitem").withColumn("fold", (F.col("l_orderkey") % 4).cast("int"))
+    return trees.training_values(folded, TREE_CATEGORIES, "fold", 4)
+
+
 @query("cv_auc_gbt")
 def cv_auc_gbt(spark, sf):
     return trees.cv_auc(stored_quality(spark, sf), KEYS, LABEL, QUALITY_FEATURES, 3, scorer="gbt")

@@ -91,13 +91,10 @@ def mean_cv_auc(
         return [found.get(str(i)) for i in range(len(sets))]
     if setup.scorer in trees.ESTIMATORS:
         with scratch():
-            matrix = store(
-                trees.feature_matrix(train, setup.keys, setup.label, features, [FOLD]), "matrix"
-            ).df
-            return [
-                mean(trees.fold_scores(matrix, fs, FOLD, setup.folds, setup.scorer, setup.seed))
-                for fs in sets
-            ]
+            matrix = trees.feature_matrix(
+                train, setup.keys, setup.label, features, FOLD, setup.folds, setup.scorer
+            )
+            return [mean(trees.fold_scores(matrix, fs, FOLD, setup.folds, setup.seed)) for fs in sets]
     raise ValueError(f"unknown scorer: {setup.scorer!r}")
 
 

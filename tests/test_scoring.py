@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -7,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from columnwright.operators import bayes, selection, splits, trees
+from columnwright.operators import bayes, ranks, selection, splits, trees
 from columnwright.operators.selection import SAMPLED_STAGES, Stage
 from columnwright.sources import sinks
 
@@ -89,6 +90,57 @@ def test_scorers(spark):
         trees.cv_auc(df, ["id"], "y", ["x"], 2, scorer="other")
 
 
+def brute_training_values(rows, feature, k, top, min_rows):
+    out = {}
+    for i in range(k):
+        counts = Counter(hashlib.md5(r[feature].encode()).hexdigest() for r in rows if r["fold"] != i and r[feature] is not None)
+        ranked = sorted((-n, v) for v, n in counts.items() if n >= min_rows)[:top]
+        out.update({(feature, i, v): (-n, code) for code, (n, v) in enumerate(ranked, 1)})
+    return out
+
+
+@pytest.mark.parametrize("top", [2, 255])
+def test_values_that_trees_know_come_from_training_rows(spark, top):
+    rng = random.Random(3)
+    rows = [(i, i % 3, rng.choice(["a", "b", "c", "d", None]), f"{rng.randrange(40)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, fold int, c string, d string")
+    found = trees.training_values(df, ["c", "d"], "fold", 3, top).collect()
+    got = {(r["feature"], r["fold"], r["value"]): (r["rows"], r["code"]) for r in found}
+    local = df.collect()
+    assert got == {**brute_training_values(local, "c", 3, top, 2), **brute_training_values(local, "d", 3, top, 2)}
+
+
+def parity_table(spark, n=2000, values=150):
+    """The label follows whether a category's number is even: its order among values says nothing."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        v = rng.randrange(values)
+        rows.append((i, int((v % 2 == 0) != (rng.random() < 0.05)), f"{v:04d}"))
+    return spark.createDataFrame(rows, "id int, y int, c string")
+
+
+def test_order_of_categories_does_not_mislead(spark):
+    df = parity_table(spark)
+    for scorer in ("gbt", "lr"):
+        scores = trees.kfold_auc_all(df, ["id"], "y", ["c"], 2, scorer=scorer).collect()
+        assert all(r["auc"] > 0.9 for r in scores), (scorer, scores)
+    # What the codes give if they are read as numbers.
+    read = ranks.category_codes(df, "c", "n").select("id", "y", "n")
+    assert all(r["auc"] < 0.8 for r in trees.kfold_auc_all(read, ["id"], "y", ["n"], 2, scorer="gbt").collect())
+
+
+def test_unknown_rare_and_missing_categories(spark):
+    """A name without training rows, one per row, all missing, quoted column names, tiny folds."""
+    rows = [(i, i % 2, None, f"u{i}", ["x", None][i % 2], i % 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, y int, empty string, own string, `a b` string, part int")
+    for scorer in ("gbt", "lr"):
+        scores = trees.scored_folds(df, ["id"], "y", ["empty", "own", "a b"], "part", 3, scorer).collect()
+        assert [r["fold"] for r in scores] == [0, 1, 2] and all(r["auc"] == 1.0 for r in scores)
+        alone = trees.scored_folds(df, ["id"], "y", ["own"], "part", 3, scorer).collect()
+        assert all(abs(r["auc"] - 0.5) < 1e-9 for r in alone)
+
+
 def test_scorers_on_all_rows_and_on_the_holdout(spark):
     df = table(spark, 200)
     for scorer in ("nb", "lr"):
