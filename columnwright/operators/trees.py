@@ -26,8 +26,9 @@ from columnwright.storage import scratch, store
 TOP_VALUES = 255
 # A value of a single training row tells a tree nothing that holds for other rows.
 MIN_ROWS = 2
-# Slots of the one-hot vectors of logistic regression.
-HASH_SLOTS = 1 << 16
+# Slots of the one-hot vectors of logistic regression. Every step of its fit moves that many
+# numbers, and values that meet in a slot share a weight.
+HASH_SLOTS = 1 << 12
 # Bins of numbers; categories widen it up to TOP_VALUES + 1.
 BINS = 32
 

@@ -132,13 +132,13 @@ def test_order_of_categories_does_not_mislead(spark):
 
 def test_unknown_rare_and_missing_categories(spark):
     """A name without training rows, one per row, all missing, quoted column names, tiny folds."""
-    rows = [(i, i % 2, None, f"u{i}", ["x", None][i % 2], i % 3) for i in range(30)]
+    rows = [(i, i % 2, None, f"u{i}", ["x", None][i % 2], i // 2 % 2) for i in range(30)]
     df = spark.createDataFrame(rows, "id int, y int, empty string, own string, `a b` string, part int")
     for scorer in ("gbt", "lr"):
-        scores = trees.scored_folds(df, ["id"], "y", ["empty", "own", "a b"], "part", 3, scorer).collect()
-        assert [r["fold"] for r in scores] == [0, 1, 2] and all(r["auc"] == 1.0 for r in scores)
-        alone = trees.scored_folds(df, ["id"], "y", ["own"], "part", 3, scorer).collect()
-        assert all(abs(r["auc"] - 0.5) < 1e-9 for r in alone)
+        scores = trees.scored_folds(df, ["id"], "y", ["empty", "own", "a b"], "part", 2, scorer).collect()
+        assert [r["fold"] for r in scores] == [0, 1] and all(r["auc"] == 1.0 for r in scores)
+    alone = trees.scored_folds(df, ["id"], "y", ["own"], "part", 2, "lr").collect()
+    assert all(abs(r["auc"] - 0.5) < 1e-9 for r in alone)
 
 
 def test_scorers_on_all_rows_and_on_the_holdout(spark):
