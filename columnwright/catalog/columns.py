@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from columnwright.catalog.frames import kfold_rows_sql, table
 from columnwright.catalog.registry import query
 from columnwright.functions import missing, text
-from columnwright.operators import columns as col_ops, knowledge, metrics, profile, ranks, splits
+from columnwright.operators import columns as col_ops, knowledge, metrics, profile, profile_state, ranks, splits
 from columnwright.plans import specs
 
 
@@ -82,6 +82,17 @@ def profile_json(spark, sf):
     return profile.profile_json(found, ["column", "dtype", "unique_count", "missing_values"])
 
 
+PROFILED = ["column", "dtype", "unique_count", "missing_values", "mean", "min", "max", "std"]
+
+
+@query("profile_combined", f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in PROFILED)} FROM ({_profile_sql(True)})")
+def profile_combined(spark, sf):
+    """The profile of all customers from the states of three parts."""
+    part = F.pmod(F.xxhash64("c_custkey"), F.lit(3))
+    states = [profile_state.measure(customer(spark, sf).where(part == i)) for i in range(3)]
+    return _rounded(profile_state.finish(profile_state.combine(states)))
+
+
 @query("select_by_type", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def select_by_type(spark, sf):
     return col_ops.select_by_type(orders(spark, sf))

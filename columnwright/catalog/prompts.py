@@ -8,7 +8,9 @@ from columnwright.catalog.frames import hash_sql, table
 from columnwright.catalog.registry import query
 from columnwright.functions import text
 from columnwright.operators import metrics, prompts as ops
+from columnwright.operators.prediction_cache import PredictionCache
 from columnwright.plans import experiment
+from columnwright.storage import fresh_path
 
 KEYS = ["conv_id", "turn"]
 PROMPTS = ["Who wrote this turn?", "Name the role of the speaker.", "Is it user, assistant or system?"]
@@ -81,6 +83,28 @@ def prompt_scores(spark, sf):
     return ops.prompt_scores(collected).withColumn("score", F.round("score", 6))
 
 
+def bucketed(spark, sf):
+    """The same cache, kept in buckets by pair."""
+    made = PredictionCache.open(spark, fresh_path(spark, "predictions"), buckets=16)
+    made.add(cache(spark, sf))
+    return made
+
+
+@query("cache_bucketed", f"""
+    SELECT DISTINCT prompt, md5(x) AS x, y FROM ({PAIRS_SQL}) p
+    WHERE NOT EXISTS (SELECT 1 FROM ({CACHED_SQL}) c WHERE c.prompt = p.prompt AND c.x = p.x AND c.y = p.y)""")
+def cache_bucketed(spark, sf):
+    """Pairs that a cache in buckets lacks."""
+    pairs = ops.pairs_cross(task(spark, sf), PROMPTS)
+    return bucketed(spark, sf).missing(pairs).withColumn("x", F.md5("x"))
+
+
+@query("prompt_scores_bucketed", SCORES_SQL)
+def prompt_scores_bucketed(spark, sf):
+    collected, _ = experiment.evaluate(task(spark, sf), KEYS, PROMPTS, predict, bucketed(spark, sf))
+    return ops.prompt_scores(collected).withColumn("score", F.round("score", 6))
+
+
 @query("prompt_leaderboard", f"""
     SELECT prompt, round(avg(CASE WHEN {PREDICTED} = y THEN 1.0 ELSE 0.0 END), 6) AS score
     FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {hash_sql(KEYS, 42)}) - 1 AS idx,

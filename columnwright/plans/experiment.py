@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from columnwright.operators import prompts as ops
+from columnwright.operators.prediction_cache import PredictionCache
 from columnwright.operators.splits import split_random, subsample
 from columnwright.storage import store
 
@@ -24,21 +25,26 @@ def evaluate(
     keys: Sequence[str],
     prompts: Sequence[str],
     predict: Predict,
-    cache: DataFrame | None = None,
+    cache: DataFrame | PredictionCache | None = None,
     strategy: str = "full",
     n: int = 30,
     block: int = 0,
     seed: int = 42,
     match: Callable[[Column, Column], Column] | None = None,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | PredictionCache]:
     """Score prompts on a task table (keys, x, y): (pairs with scores, extended cache).
 
     ``predict`` takes (prompt, x, y) pairs and adds ``prediction`` and ``sequence``; only
-    pairs that the cache lacks reach it.
+    pairs that the cache lacks reach it. A ``PredictionCache`` is added to in place.
     """
-    known = empty_cache(task) if cache is None else cache
     rows = subsample(task, keys, strategy, n, block, seed)
     pairs = ops.pairs_cross(rows, prompts)
+    if isinstance(cache, PredictionCache):
+        missing = cache.missing(pairs)
+        asked = missing.where(F.lit(False)) if strategy == "evaluated" else missing
+        cache.add(ops.score_predictions(predict(asked), match))
+        return cache.collect(pairs), cache
+    known = empty_cache(task) if cache is None else cache
     asked = ops.pairs_to_predict(pairs, known, strategy).select(*ops.PAIR).distinct()
     # Predictions are dear: they are written once. None of their pairs is in the cache.
     new = store(ops.score_predictions(predict(asked), match), "predictions").df
