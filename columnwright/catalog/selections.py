@@ -11,15 +11,20 @@ from columnwright.catalog.frames import (
 )
 from columnwright.catalog.registry import query
 from columnwright.operators import bayes, selection, splits
-from columnwright.storage import store
 
 KEYS, LABEL = QUALITY_KEYS, "quality"
 SPLIT_SQL = stratified_fold_sql(QUALITY_SQL, KEYS, LABEL, 3)
 
 
-def _weighted(df, features, keys=KEYS, label=LABEL):
-    folded = store(splits.stratified_kfold(df, keys, label, 3), "folded").df
-    return bayes.weigh(folded, keys, label, "fold", 3, features)
+RING = "__ring"
+
+
+def _importance(df, features, keys=KEYS, label=LABEL):
+    # The hash of the ring takes the place of the keys, which nothing else needs.
+    columns = [label, *features, selection.ring_hash(keys).alias(RING)]
+    folded = splits.stored_stratified_kfold(df, keys, label, 3, columns=columns)
+    weighted = bayes.weigh(folded, [RING], label, "fold", 3, features)
+    return selection.permutation_importance(weighted, hashed=RING)
 
 
 USELESS = ["l_quantity", "amount", "one", "none", "l_tax", "l_linestatus", "l_discount"]
@@ -48,15 +53,15 @@ IMPORTANCE_SQL = importance_sql(SPLIT_SQL, KEYS, LABEL, QUALITY_NUMBERS, QUALITY
 @query("permutation_importance",
        f"SELECT fold, feature, round(importance, 6) AS importance FROM ({IMPORTANCE_SQL})")
 def permutation_importance(spark, sf):
-    found = selection.permutation_importance(_weighted(quality(spark, sf), QUALITY_FEATURES))
+    found = _importance(quality(spark, sf), QUALITY_FEATURES)
     return found.withColumn("importance", F.round("importance", 6))
 
 
 @query("permutation_importance_lines", "SELECT fold, feature, round(importance, 6) AS importance FROM (" + importance_sql(
     stratified_fold_sql(LINES_SQL, LINE_KEYS, "returned", 3), LINE_KEYS, "returned", LINE_NUMBERS, LINE_CATEGORIES, 3) + ")")
 def permutation_importance_lines(spark, sf):
-    weighted = _weighted(lines(spark, sf), LINE_FEATURES, LINE_KEYS, "returned")
-    return selection.permutation_importance(weighted).withColumn("importance", F.round("importance", 6))
+    found = _importance(lines(spark, sf), LINE_FEATURES, LINE_KEYS, "returned")
+    return found.withColumn("importance", F.round("importance", 6))
 
 
 @query("prune_round", f"""
@@ -64,7 +69,7 @@ def permutation_importance_lines(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY fold ORDER BY importance, feature) AS r, count(*) OVER (PARTITION BY fold) AS n
       FROM ({IMPORTANCE_SQL})) WHERE r > ceil(0.3 * n)""")
 def prune_round(spark, sf):
-    found = selection.permutation_importance(_weighted(quality(spark, sf), QUALITY_FEATURES))
+    found = _importance(quality(spark, sf), QUALITY_FEATURES)
     return selection.prune_round(found, 0.3).select("fold", "feature")
 
 
@@ -81,7 +86,7 @@ NOISY_IMPORTANCE_SQL = importance_sql(NOISY_SQL, KEYS, LABEL, [*QUALITY_NUMBERS,
     FROM i JOIN bar USING (fold) WHERE feature NOT LIKE '\\_\\_noise%' ESCAPE '\\'""")
 def noise_threshold(spark, sf):
     df, noise = selection.noise_columns(quality(spark, sf), KEYS)
-    found = selection.permutation_importance(_weighted(df, [*QUALITY_NUMBERS, *noise, *QUALITY_CATEGORIES]))
+    found = _importance(df, [*QUALITY_NUMBERS, *noise, *QUALITY_CATEGORIES])
     return selection.noise_threshold(found, noise).withColumn("importance", F.round("importance", 6))
 
 

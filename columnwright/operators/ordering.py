@@ -363,14 +363,18 @@ def _narrowed_quantiles(
     for passes_left in (2, 1, 0):
         counts = [[[0] * (len(cuts[c]) + 1) for _ in outside] for c in range(columns)]
         whole = [[0] * (len(cuts[c]) + 1) for c in range(columns)]
-        for c, b, f, m in _columns_bucketed(read, cuts).groupBy("c", "b", "f").agg(F.count(F.lit(1))).collect():
+        values: dict[tuple[int, int], set[float]] = {}
+        counted = _columns_bucketed(read, cuts).groupBy("c", "b", "f").agg(F.count(F.lit(1)), F.min("v"), F.max("v"))
+        for c, b, f, m, low, high in counted.collect():
             whole[c][b] += m
+            values.setdefault((c, b), set()).update((low, high))
             for j in outside:
                 if not k or f != j:
                     counts[c][j][b] += m
         ends = [[list(accumulate(x)) for x in counts[c]] for c in range(columns)]
         targets = [sorted({bisect_right(ends[c][j], r) for j in outside for r in ranks[c][j]}) for c in range(columns)]
-        big = [[b for b in bs if whole[c][b] > leaf_rows] for c, bs in enumerate(targets)]
+        # A bucket of one value has nothing to split.
+        big = [[b for b in bs if whole[c][b] > leaf_rows and len(values[c, b]) > 1] for c, bs in enumerate(targets)]
         if not any(big) or not passes_left:
             break
         wider = [set(c) for c in cuts]

@@ -19,7 +19,7 @@ from columnwright.operators.bayes import Weighted, weigh
 from columnwright.operators.joins import BROADCAST_BYTES, lookup_join
 from columnwright.operators.metrics import NARROW_LEVELS, WORST, metric_named
 from columnwright.operators.ordering import MAX_RANGES, HashOrder
-from columnwright.operators.splits import repeated_stratified_kfold, stratified_kfold
+from columnwright.operators.splits import repeated_stratified_kfold, stored_stratified_kfold
 from columnwright.storage import scratch, store
 
 PERMUTE_SEED = "permute"
@@ -98,35 +98,56 @@ def noise_columns(df: DataFrame, keys: Sequence[str], n: int = 3) -> tuple[DataF
     return df.withColumns({c: hash_uniform(keys, NOISE_SEED, i) for i, c in enumerate(names)}), names
 
 
-def permute(weighted: Weighted, rows_per_range: int = RANGE_ROWS) -> tuple[Weighted, dict[str, str]]:
+def ring_hash(keys: Sequence[str]) -> Column:
+    """What ``permute`` orders rows by: the row hash's bytes, and its first twelve digits as a number.
+
+    Bytes are in the order of the digits, in half the room; the number is costly to work out.
+    """
+    digits = row_hash(keys, PERMUTE_SEED)
+    return F.struct(F.conv(F.substring(digits, 1, 12), 16, 10).cast("bigint").alias("lead"), F.unhex(digits).alias("bytes"))
+
+
+def permute(
+    weighted: Weighted, rows_per_range: int = RANGE_ROWS, hashed: str | None = None
+) -> tuple[Weighted, dict[str, str]]:
     """Add, per feature, the weight of the next row of the same fold in a hash order; the
     last row of a fold is followed by its first.
 
     Inside one fold a row's weight depends on its value alone, so the neighbour's weight
     is the weight of the permuted value. A table of more than ``rows_per_range`` rows is
-    range-partitioned and written with its range number: ranges are ordered by their own
-    tasks, and the last row of a range gets the first row of the next one, which are
-    broadcast. The number of ranges does not change the result.
+    cut into ranges of the leading bytes of its hashes, which are even, so no sample of it is
+    needed: ranges are ordered by their own tasks, and the last row of a range gets the first
+    row of the next one, which are broadcast. The number of ranges does not change the result.
+    ``hashed`` names a key column of a stored table that holds ``ring_hash`` already; else the
+    table is written with it.
     """
     fold, names = weighted.fold, {f: f"__p{i}" for i, f in enumerate(weighted.columns)}
     row = F.struct(*[F.col(w).alias(names[f]) for f, w in weighted.columns.items()])
-    hashed = weighted.df.withColumn("__h", row_hash(weighted.keys, PERMUTE_SEED))
+    marked = weighted.df.withColumn("__ring", ring_hash(weighted.keys) if hashed is None else F.col(hashed))
     follower = lambda c, window: F.coalesce(F.lead(c).over(window), F.first(c).over(window))
     most = min(MAX_RANGES, BROADCAST_BYTES // (16 * (len(names) + 2)))
     ranges = min(-(-weighted.rows // rows_per_range), most)
     if ranges <= 1:
-        ring = Window.partitionBy(fold).orderBy("__h")
-        out = hashed.withColumn("__row", row).withColumn("__next", follower("__row", ring))
+        ring = Window.partitionBy(fold).orderBy("__ring")
+        out = marked.withColumn("__row", row).withColumn("__next", follower("__row", ring))
     else:
-        ranged = store(
-            hashed.repartitionByRange(ranges, fold, "__h").withColumn("__range", F.spark_partition_id()), "ring"
-        ).df.withColumn("__row", row)
-        heads = ranged.groupBy(fold, "__range").agg(F.min_by("__row", "__h").alias("__head"))
+        ready = store(marked, "ring").df if hashed is None else marked
+        ranged = ready.select(
+            *weighted.df.columns, F.col("__ring.lead").alias("__lead"), F.col("__ring.bytes").alias("__h"),
+            F.shiftright(F.col("__ring.lead") * ranges, 48).alias("__range"),
+        )
+        # Rows that share the least leading bytes of a range are few: the whole hash decides among them.
+        least = ranged.groupBy(fold, "__range").agg(F.min("__lead").alias("__lead"))
+        heads = (
+            ranged.join(F.broadcast(least), [fold, "__range", "__lead"])
+            .groupBy(fold, "__range").agg(F.min_by(row, "__h").alias("__head"))
+        )
         ring = Window.partitionBy(fold).orderBy("__range")
         borders = heads.select(fold, "__range", follower("__head", ring).alias("__border"))
-        within = Window.partitionBy(fold, "__range").orderBy("__h")
+        within = Window.partitionBy(fold, "__range").orderBy("__lead", "__h")
         out = (
-            ranged.withColumn("__after", F.lead("__row").over(within))
+            ranged.repartition(ranges, fold, "__range").withColumn("__row", row)
+            .withColumn("__after", F.lead("__row").over(within))
             .join(F.broadcast(borders), [fold, "__range"])
             .withColumn("__next", F.coalesce("__after", "__border"))
         )
@@ -142,37 +163,38 @@ def score_variants(
     the ``metric``.
     """
     table = weighted.df if rows is None else rows
-    pairs = F.array(*[
-        F.struct(F.lit(n).alias("variant"), c.cast("bigint").alias("__score")) for n, c in variants
-    ])
-    long = table.select(weighted.fold, F.col(weighted.label).alias("__label"), F.inline(pairs))
-    return metric_named(metric)(long, "__label", "__score", [weighted.fold, "variant"], metric, NARROW_LEVELS)
+    # Variants go by number until there is one row for each of them.
+    scores = F.posexplode(F.array(*[c.cast("bigint") for _, c in variants])).alias("__variant", "__score")
+    long = table.select(weighted.fold, F.col(weighted.label).alias("__label"), scores)
+    found = metric_named(metric)(long, "__label", "__score", [weighted.fold, "__variant"], metric, NARROW_LEVELS)
+    name = F.get(F.array(*[F.lit(n) for n, _ in variants]), F.col("__variant"))
+    return found.select(weighted.fold, name.alias("variant"), metric)
 
 
 def importance_variants(
     weighted: Weighted, permuted: Mapping[str, str], active: Mapping[object, Sequence[str]],
-    noise: Sequence[str] = (),
-) -> list[tuple[str, Column]]:
-    """Scores to compare: all active features, all but noise, and each feature permuted.
+    noise: Sequence[str] = (), rows: DataFrame | None = None,
+) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """Rows with scores to compare: all active features, all but noise, and each feature permuted.
 
-    ``active`` lists the features in use per fold.
+    ``active`` lists the features in use per fold; rows of other folds are left out. The sums
+    are columns of the rows, so that no variant spells them out again: the JVM does not compile
+    a method of more than 8,000 bytes.
     """
     fold = F.col(weighted.fold)
     used = [f for f in weighted.columns if any(f in fs for fs in active.values())]
     where = {f: [s for s, fs in active.items() if f in fs] for f in used}
-    on = lambda f, c: F.when(fold.isin(where[f]), c).otherwise(F.lit(0))
-    total = lambda fs: reduce(
-        lambda a, b: a + b, [on(f, F.col(weighted.columns[f])) for f in fs], F.lit(0).cast("bigint")
-    )
-    base = total(used)
-    out = [(BASE, F.when(fold.isin(list(active)), base))]
+    on = lambda f, c, other: c if len(where[f]) == len(active) else F.when(fold.isin(where[f]), c).otherwise(other)
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    total = lambda fs: reduce(lambda a, b: a + b, [on(f, F.col(weighted.columns[f]), zero) for f in fs], zero)
+    table = (weighted.df if rows is None else rows).where(fold.isin(list(active)))
+    sums = {BASE: total(used)}
     if noise:
-        plain = [f for f in used if f not in noise]
-        out.append((PLAIN, F.when(fold.isin(list(active)), total(plain))))
+        sums[PLAIN] = total([f for f in used if f not in noise])
+    out = [(name, F.col(name)) for name in sums]
     for f in used:
-        swapped = base - F.col(weighted.columns[f]) + F.col(permuted[f])
-        out.append((f, F.when(fold.isin(where[f]), swapped)))
-    return out
+        out.append((f, F.col(BASE) + on(f, F.col(permuted[f]) - F.col(weighted.columns[f]), none)))
+    return table.withColumns(sums), out
 
 
 def permutation_importance(
@@ -180,13 +202,18 @@ def permutation_importance(
     features: Sequence[str] | None = None,
     rows_per_range: int = RANGE_ROWS,
     metric: str = "auc",
+    hashed: str | None = None,
 ) -> DataFrame:
-    """(fold, feature, importance): AUC, or another metric, lost when the feature's values are permuted."""
+    """(fold, feature, importance): AUC, or another metric, lost when the feature's values are permuted.
+
+    ``hashed`` is the one of ``permute``.
+    """
     names = list(weighted.columns) if features is None else list(features)
     with scratch():
-        swapped, permuted = permute(weighted, rows_per_range)
+        swapped, permuted = permute(weighted, rows_per_range, hashed)
         folds = [r[0] for r in weighted.df.select(weighted.fold).distinct().collect()]
-        scores = score_variants(swapped, importance_variants(swapped, permuted, {s: names for s in folds}), metric=metric)
+        rows, variants = importance_variants(swapped, permuted, {s: names for s in folds})
+        scores = score_variants(swapped, variants, rows, metric)
         # One score per (fold, feature): bounded by the schema, whatever the table holds.
         scores = store(scores, "scores", lasting=True).df
     base = scores.where(F.col("variant") == BASE).select(weighted.fold, F.col(metric).alias("__base"))
@@ -348,10 +375,10 @@ def prune_staged(
                 at = {s: (s, stage.rows, *active[s]) for s in open_splits}
                 fresh = {s: active[s] for s in open_splits if at[s] not in seen}
                 if fresh:
-                    variants = importance_variants(swapped, permuted, fresh, extra)
+                    summed, variants = importance_variants(swapped, permuted, fresh, extra, rows)
                     try:
                         with time_limit(df.sparkSession, deadline):
-                            found_scores = score_variants(swapped, variants, rows, metric).collect()
+                            found_scores = score_variants(swapped, variants, summed, metric).collect()
                     except TimeUp:
                         break
                     seen.update({at[s]: {} for s in fresh})
@@ -444,8 +471,8 @@ def select_sequentially(
     if not 0 < target <= len(features):
         raise ValueError("the number of features to select must lie within the table's")
     with scratch():
-        folded = stratified_kfold(df, keys, label, k, seed).select(*keys, label, "fold", *features)
-        made = weigh(store(folded, "sfs").df, keys, label, "fold", k, features)
+        folded = stored_stratified_kfold(df.select(*keys, label, *features), keys, label, k, seed)
+        made = weigh(folded, keys, label, "fold", k, features)
         weighted = replace(made, df=store(made.df, "weights").df)
         forward = direction == "forward"
         chosen: list[str] = [] if forward else list(features)

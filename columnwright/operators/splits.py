@@ -11,7 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from columnwright.functions.hashing import row_hash
 from columnwright.operators.ordering import HashOrder
+from columnwright.storage import store
 
 
 def _starts(n: int, k: int) -> list[int]:
@@ -70,6 +72,19 @@ def stratified_kfold(
     return df.withColumn(name, stratified_kfold_column(df, keys, label, k, seed))
 
 
+def stored_stratified_kfold(
+    df: DataFrame, keys: Sequence[str], label: str, k: int, seed: object = 42, name: str = "fold",
+    columns: Sequence[str | Column] = ("*",),
+) -> DataFrame:
+    """The same on a table written with the hashes of its rows, which no pass works out again.
+
+    ``columns`` are the ones to write, the label among them; the keys are needed for the hashes only.
+    """
+    table = store(df.select(*columns, row_hash(keys, seed).alias("__order")), "hashed").df
+    order = HashOrder(table, keys, seed, stratum=label, hashed="__order")
+    return table.withColumn(name, stratified_kfold_column(table, keys, label, k, seed, order)).drop("__order")
+
+
 def repeated_stratified_kfold(
     df: DataFrame, keys: Sequence[str], label: str, k: int = 3, repeats: int = 1, seed: int = 42
 ) -> DataFrame:

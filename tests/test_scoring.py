@@ -1,6 +1,7 @@
 import hashlib
 import math
 import os
+import re
 import random
 import time
 from collections import Counter
@@ -174,6 +175,45 @@ def test_permutation_is_one_ring_per_fold(spark):
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_the_ring_is_cut_without_a_sample_and_its_hash_may_be_stored(spark):
+    """Ranges follow from the hash: no pass over the table samples it, none works a stored hash out again."""
+    df = table(spark)
+    plain = bayes.weigh(splits.stratified_kfold(df, ["id"], "y", 3), ["id"], "y", "fold", 3, ["x", "c"])
+    stored = splits.stored_stratified_kfold(
+        df, ["id"], "y", 3, columns=["y", "x", "c", selection.ring_hash(["id"]).alias("ring")])
+    weighted = bayes.weigh(stored, ["ring"], "y", "fold", 3, ["x", "c"])
+    found = []
+    for made, hashed in ((plain, None), (weighted, "ring")):
+        for per_range in (selection.RANGE_ROWS, 11):
+            swapped, names = selection.permute(made, per_range, hashed=hashed)
+            wanted = ["y", "fold", *made.columns.values(), *names.values()]
+            found.append(sorted(map(tuple, swapped.df.select(*wanted).collect())))
+    plan = swapped.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "RepartitionByExpression [fold" in plan and "ASC" not in plan.split("RepartitionByExpression")[1].split("\n")[0]
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_scores_of_many_sets_are_compiled(spark, capsys):
+    """The JVM does not compile a method of more than 8,000 bytes: rounds then take ten times as long."""
+    names = [f"f{i}" for i in range(12)]
+    df = spark.range(90).selectExpr("id", "cast(id % 2 as int) as y", *[f"cast(hash(id, {i}) as double) as {f}" for i, f in enumerate(names)])
+    weighted = bayes.weigh(splits.stratified_kfold(df, ["id"], "y", 3), ["id"], "y", "fold", 3, names)
+    swapped, permuted = selection.permute(weighted)
+    stored = swapped.df.localCheckpoint()
+    active = {0: names[:9], 1: names[2:], 2: names}
+    rows, variants = selection.importance_variants(swapped, permuted, active, names[-3:], stored)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        selection.score_variants(swapped, variants, rows).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+    got = {(r["fold"], r["variant"]) for r in selection.score_variants(swapped, variants, rows).collect()}
+    extra = [selection.BASE, selection.PLAIN]
+    assert got == {(s, f) for s, fs in active.items() for f in [*fs, *extra]}
+
+
 def test_importance_ranks_the_signal_first(spark):
     df = splits.stratified_kfold(table(spark), ["id"], "y", 3)
     found = selection.permutation_importance(bayes.weigh(df, ["id"], "y", "fold", 3, ["x", "c", "noise"]))
