@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from columnwright.functions.hashing import row_hash
 from columnwright.operators import bayes, selection, trees
 from columnwright.operators.columns import prune_accept
 from columnwright.operators.ledger import PERFECT
@@ -20,7 +21,7 @@ from columnwright.plans.specs import Spec, accumulate, apply_specs, spec_at_faul
 from columnwright.sources.sinks import LEDGER, append_ledger, append_selected, ledger_row, read_ledger
 from columnwright.storage import Stored, delete, scratch, store
 
-FOLD, SPLIT = "__fold", "__split"
+FOLD, SPLIT, ORDER = "__fold", "__split", "__order"
 N_SPLITS = 3
 
 
@@ -57,15 +58,19 @@ class Run:
         return self.table.sparkSession.createDataFrame(rows, LEDGER)
 
 
-def prepare(df: DataFrame, setup: Setup) -> DataFrame:
-    """Mark rows once: scoring fold (NULL on the holdout) and pruning split."""
+def prepare(df: DataFrame, setup: Setup, hashed: str | None = None) -> DataFrame:
+    """Mark rows once: scoring fold (NULL on the holdout) and pruning split.
+
+    ``hashed`` names a column that holds the rows' hashes already; it is left out.
+    """
     keys, label, seed = setup.keys, setup.label, setup.seed
-    order = HashOrder(df, keys, seed, stratum=label)
+    order = HashOrder(df, keys, seed, stratum=label, hashed=hashed)
     splits = stratified_kfold_column(df, keys, label, N_SPLITS, seed, order)
     folded, _ = training_folds(
         df, keys, label, setup.folds, setup.test_size, seed, FOLD, keep_holdout=True, order=order
     )
-    return folded.withColumn(SPLIT, splits)
+    marked = folded.withColumn(SPLIT, splits)
+    return marked if hashed is None else marked.drop(hashed)
 
 
 def mean_cv_auc(
@@ -196,8 +201,11 @@ def _rounds(
     work = _work(df.select(*columns), features, setup)
     state = manifest.latest() if manifest else None
     if state is None:
-        require_unique_keys(df, setup.keys)
-        current = store(prepare(df.select(*columns), setup), "prepared")
+        with scratch():
+            # Marks are several passes: they read the input and the hash of its rows as written once.
+            hashed = store(df.select(*columns, row_hash(setup.keys, setup.seed).alias(ORDER)), "hashed").df
+            require_unique_keys(hashed, setup.keys)
+            current = store(prepare(hashed, setup, ORDER), "prepared", lasting=True)
         run = Run(current.df, list(features))
         run.auc_all_before = _all_rows(current.df, run.features, setup)
         best = mean_cv_auc(current.df, [run.features], setup)[0]
