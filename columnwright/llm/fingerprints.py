@@ -1,15 +1,17 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-The terms of a text are its words, weighted by how often they occur. For each of ``SAMPLES``
-samples a term ``k`` of weight ``w`` draws, from a hash of the term and the sample's number,
-two gamma(2, 1) values ``r`` and ``c`` and a uniform ``b``; with ``t = floor(ln w / r + b)`` and
-``ln y = r (t - b)`` the term with the least ``ln c - ln y - r`` wins, and (term, t) is the
-sample. Two texts agree in a sample with a probability equal to the generalised Jaccard
+The terms of a text are its words, weighted by how often they occur. A sample is a pair (term,
+number) with a number from 1 to the term's weight: of all such pairs of a text the one with the
+least draw, where a draw depends on the pair and the sample's number only. Every pair is equally
+likely, and two texts agree in a sample with a probability equal to the generalised Jaccard
 similarity of their weighted terms.
 
-A draw is read from a table of 4,096 quantiles (for ``c`` with linear steps between them), so
-that no logarithm is taken per term and sample; the lowest quantiles of ``c``, which decide who
-wins, have a table of their own.
+Few draws can be the least of a text, so the others are not worked out. Hashes of the pair give
+words of 64 random bits, a bit for each of 64 samples: a draw is smaller the more words from the
+first on have its bit set, then by a hash of pair and sample. A text of n pairs enters the draws
+with as many set bits as leave 10 to 20 pairs for each sample on average, but no more than
+``LEVELS``. A sample for which none is left (by calculation at most 0.6 % of texts have one) is
+worked out from all pairs of the text, so each sample is the least of all draws.
 
 Counts come from a sorted array inside the row, so terms are never shuffled; the least values
 are a grouped minimum within the ranges in which the texts already lie. A document's text and
@@ -27,19 +29,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from columnwright.llm.ranges import id_ranges
 
 SAMPLES = 128
-# Samples that a term is entered for at a time; with more, the JVM leaves the code uncompiled.
-WIDTH = 2
+# Words of random bits that a draw goes by before its hash.
+LEVELS = 12
+# Pairs wanted for each sample at least, on average.
+LEAST = 10
 SEPARATORS = r"[\x20\x09-\x0D]+"
 RANGE_BYTES = 8_000_000
 LOW = (1 << 32) - 1
-# Steps of the tables that the gamma draws are read from.
-CELLS = 1 << 12
+# Greater than any draw.
+NONE = (1 << 63) - 1
 
 
 def hashes(text: Column, tag: int = 0) -> Column:
@@ -53,84 +56,92 @@ def sorted_terms(text: Column) -> Column:
     return F.sort_array(hashes(text))
 
 
-def _log(x: Column) -> Column:
-    """The logarithm of a number known to be above zero: never null, which shortens the code."""
-    return F.coalesce(F.log(x), F.lit(0.0))
+def _pair(term: Column, number: Column) -> Column:
+    return F.xxhash64(term, number.cast("int"))
 
 
-def gamma_quantiles(share: np.ndarray) -> np.ndarray:
-    """The values that a gamma(2, 1) draw is below with these probabilities, by Newton's method."""
-    x = np.sqrt(2 * share) + share
-    for _ in range(60):
-        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - share) / np.maximum(x * np.exp(-x), 1e-300), x / 4)
-    return x
+def _words(pair: Column, word: Column) -> list[Column]:
+    """``LEVELS`` words of random bits for the samples from 64 * ``word`` on."""
+    return [F.xxhash64(pair, F.lit(-i) - word * LEVELS) for i in range(1, LEVELS + 1)]
 
 
-def _table(values: np.ndarray) -> Column:
-    """A constant array: Spark folds the text into one before it runs."""
-    return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
+def _draw(pair: Column, sample: Column, set_bits: Column) -> Column:
+    """The draw in 31 bits (those not set first, then a hash), and 32 bits that name the pair."""
+    rest = F.xxhash64(pair, sample).bitwiseAND(F.lit((1 << 59) - 1 - LOW))
+    above = F.shiftleft((F.lit(LEVELS) - set_bits).cast("long"), 59)
+    return above.bitwiseOR(rest).bitwiseOR(pair.bitwiseAND(F.lit(LOW)))
 
 
-def _at(table: Column, place: Column) -> Column:
-    return F.coalesce(F.get(table, place.cast("int")), F.lit(0.0))
+def _whole_draw(pair: Column, sample: Column) -> Column:
+    """The draw of a pair for a sample, from nothing else."""
+    shift = F.pmod(sample, F.lit(64)).cast("int")
+    set_bits, still = F.lit(0).cast("long"), F.lit(1).cast("long")
+    words = _words(pair, (sample / 64).cast("int"))
+    # Bits count up to the first that is not set.
+    level = F.lit(LEVELS)
+    for i in reversed(range(LEVELS)):
+        level = F.when(_bit(words[i], shift) == 0, i).otherwise(level)
+    return _draw(pair, sample, level)
 
 
-def _tables() -> tuple[Column, Column, Column]:
-    """Quantiles of r and of ln c at steps of 2^-12, and how far it is to the next ln c.
-
-    The cell of the least draws of c, which decide, is cut into 2^12 more.
-    """
-    edges = np.arange(1, CELLS + 1) / CELLS
-    edges[-1] = 1 - 0.25 / CELLS
-    middle = (np.arange(CELLS) + 0.5) / CELLS
-    c = np.concatenate([[0.0], np.log(gamma_quantiles(edges))])
-    fine = np.log(gamma_quantiles(middle / CELLS))
-    return _table(gamma_quantiles(middle)), _table(np.concatenate([c[:-1], fine])), _table(np.diff(c))
+def _bit(word: Column, shift: Column) -> Column:
+    return F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.lit(1))
 
 
-def _bits(hash_: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(hash_, shift).bitwiseAND(F.lit((1 << width) - 1))
+def _level(n: Column) -> Column:
+    """Bits that are to be set in a draw that a text of ``n`` pairs enters."""
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.greatest(n, F.lit(1)) / F.lit(LEAST))).cast("int")))
 
 
-def _samples(terms: DataFrame, keep: list[str], width: int, texts: int) -> DataFrame:
-    """``keep`` and what a term enters for each of ``width`` samples from number ``__from`` on.
+def _entered(pairs: DataFrame, keep: list[str], samples: int) -> DataFrame:
+    """``keep``, ``__sample`` and ``__draw`` of the draws of every ``__pair`` with ``__level`` bits set.
 
-    ``__0_0``, ``__0_1``, ..: its value in the upper, (term, t) in the lower 32 bits, for each of
-    the ``texts`` weights of the term. Each step is a projection of its own, so that Spark works
-    out what later steps read more than once only once. One hash gives all draws of a sample:
-    12 bits for r, 28 for b, 12 + 12 for c.
+    Each step is a projection of its own, so that Spark works out what later steps read more than
+    once only once.
     """
-    of = range(width)
-    both = [(i, j) for i in range(texts) for j in of]
-    weights = [f"__weight{i}" for i in range(texts)]
-    col = lambda name, j: F.col(f"__{name}{j}")
-    r, c, c_step = _tables()
-    hashed = terms.select(*keep, "__term", *weights, *[F.xxhash64("__term", F.col("__from") + j).alias(f"__h{j}") for j in of])
-
-    def ln_c(h: Column) -> Column:
-        high, low = _bits(h, 12, 12), _bits(h, 0, 12)
-        return F.when(high > 0, _at(c, high) + _at(c_step, high) * low * F.lit(2.0**-12)).otherwise(_at(c, low + CELLS))
-
-    drawn = hashed.select(
-        *keep, "__term", *weights,
-        *[_at(r, F.shiftrightunsigned(col("h", j), 52)).alias(f"__r{j}") for j in of],
-        *[((_bits(col("h", j), 24, 28) + F.lit(0.5)) * F.lit(2.0**-28)).alias(f"__b{j}") for j in of],
-        *[ln_c(col("h", j)).alias(f"__c{j}") for j in of],
+    levels = range(1, LEVELS + 1)
+    keep = [*keep, "__pair"]
+    words = pairs.select("*", F.explode(F.array(*[F.lit(i) for i in range(-(-samples // 64))])).alias("__word"))
+    words = words.select(
+        *keep, "__level", "__word", *[w.alias(f"__w{i}") for i, w in zip(levels, _words(F.col("__pair"), F.col("__word")))]
     )
-    stepped = drawn.select(
-        *keep, "__term", *[f"__{x}{j}" for x in "rbc" for j in of],
-        *[F.coalesce(F.floor(F.col(f"__weight{i}") / col("r", j) + col("b", j)), F.lit(0).cast("long")).alias(f"__t{i}_{j}")
-          for i, j in both],
+    masks, mask = [], None
+    for i in levels:
+        mask = F.col(f"__w{i}") if mask is None else mask.bitwiseAND(F.col(f"__w{i}"))
+        masks.append(mask.alias(f"__m{i}"))
+    masked = words.select(*keep, "__level", "__word", *masks)
+    entering = F.lit(-1).cast("long")
+    for i in levels:
+        entering = F.when(F.col("__level") >= i, F.col(f"__m{i}")).otherwise(entering)
+    names = [f"__m{i}" for i in levels]
+    masked = masked.select(*keep, "__word", *names, entering.alias("__mask"))
+    # Eight samples at a time first: most of them have no bit.
+    eights = masked.select("*", F.explode(F.array(*[F.lit(8 * i) for i in range(8)])).alias("__eight")).where(
+        F.call_function("shiftrightunsigned", F.col("__mask"), F.col("__eight")).bitwiseAND(F.lit(255)) != 0
     )
+    bits = eights.select(*keep, "__word", *names, "__mask", "__eight", F.explode(F.array(*[F.lit(i) for i in range(8)])).alias("__one"))
+    bits = bits.where(_bit(F.col("__mask"), F.col("__eight") + F.col("__one")) == 1)
+    placed = bits.select(*keep, *names, (F.col("__eight") + F.col("__one")).alias("__shift"), "__word")
+    set_bits = sum((_bit(F.col(m), F.col("__shift")) for m in names[1:]), _bit(F.col(names[0]), F.col("__shift")))
+    counted = placed.select(*keep, (F.col("__word") * 64 + F.col("__shift")).alias("__sample"), set_bits.alias("__set"))
+    if samples % 64:
+        counted = counted.where(F.col("__sample") < samples)
+    return counted.select(*keep[:-1], "__sample", _draw(F.col("__pair"), F.col("__sample"), F.col("__set")).alias("__draw"))
+
+
+def _least_of_all(terms: Column, wanted: Column) -> Column:
+    """The least draws of a text for the samples ``wanted``, from all its pairs."""
+    start = F.struct(F.lit(0).cast("long").alias("term"), F.lit(0).alias("number"),
+                     F.transform(wanted, lambda j: F.lit(NONE)).alias("least"))
 
-    def entry(i: int, j: int) -> Column:
-        t = F.col(f"__t{i}_{j}")
-        value = col("c", j) - col("r", j) * (t - col("b", j)) - col("r", j)
-        # Between -88 and 64: 32 bits hold it.
-        place = ((value + F.lit(60.0)) * F.lit(float(1 << 24))).cast("long")
-        return F.shiftleft(place, 32).bitwiseOR(F.col("__term").bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
+    def step(state: Column, term: Column) -> Column:
+        number = F.when(state["term"] == term, state["number"]).otherwise(0) + F.lit(1)
+        pair = _pair(term, number)
+        return F.struct(term.alias("term"), number.alias("number"), F.zip_with(
+            state["least"], wanted, lambda least, j: F.least(least, _whole_draw(pair, j))
+        ).alias("least"))
 
-    return stepped.select(*keep, *[entry(i, j).alias(f"__{i}_{j}") for i, j in both])
+    return F.aggregate(terms, start, step, lambda state: state["least"])
 
 
 def signatures(
@@ -141,20 +152,24 @@ def signatures(
 
     ``terms`` is a sorted array of hashes; ``carry`` names columns of whole numbers that go along.
     With two ``texts`` the lowest bit of a hash tells the text it is from, and the signature of
-    the second is ``signature1``; a term of both draws once. ``key`` is one column or several; if
-    rows lie together by some of them, nothing is shuffled. A term is entered for ``WIDTH``
-    samples at a time: the code has one size for any number of samples, which the JVM compiles.
+    the second (null if it has no terms) is ``signature1``; a term of both draws once. ``key`` is
+    one column or several; if rows lie together by some of them, nothing is shuffled.
     """
     key = [key] if isinstance(key, str) else list(key)
-    carried = rows.select(*key, *carry)
     # Unnesting a list of one makes Spark work out the array once, not once per reference.
-    rows = rows.select(*key, F.explode(F.array(F.col(terms))).alias(terms))
+    rows = rows.select(*key, *carry, F.explode(F.array(F.col(terms))).alias(terms))
+    carried = rows.select(*key, *carry, F.col(terms).alias("__terms"))
     n = F.size(terms)
     last = F.filter(
         F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(F.col(terms), i) != F.get(F.col(terms), i - 1))
     )
-    runs = rows.where(n > 0).select(*key, terms, F.explode(F.array(last)).alias("__ends"))
-    each = runs.select(*key, terms, "__ends", F.posexplode("__ends").alias("__at", "__end"))
+    first_n = n if texts == 1 else F.size(F.filter(terms, lambda t: t.bitwiseAND(F.lit(1)) == 0))
+    sized = rows.where(n > 0).select(*key, terms, F.explode(F.array(F.struct(last.alias("ends"), first_n.alias("n")))).alias("__of"))
+    levels = [f"__level{i}" for i in range(texts)]
+    runs = sized.select(*key, terms, F.col("__of.ends").alias("__ends"), *[
+        _level(c).alias(name) for c, name in zip([F.col("__of.n"), n - F.col("__of.n")], levels)
+    ])
+    each = runs.select(*key, terms, "__ends", *levels, F.posexplode("__ends").alias("__at", "__end"))
     end = lambda back: F.coalesce(F.get(F.col("__ends"), F.col("__at") - back), F.lit(0))
     term = F.get(F.col(terms), F.col("__end") - 1)
     plain = lambda x: x.bitwiseAND(F.lit(-2))
@@ -170,32 +185,58 @@ def signatures(
         second = term.bitwiseAND(F.lit(1)) == 1
         before = F.when(F.get(F.col(terms), end(1) - 1) == plain(term), end(1) - end(2)).otherwise(0)
         weights = [F.when(second, before).otherwise(own), F.when(second, own).otherwise(0)]
-    weighted = each.select(*key, plain(term).alias("__term"), *[
-        # A term that is not in a text never beats one that is: values of those are below 4.
-        F.when(w > 0, _log(w.cast("double"))).otherwise(F.lit(-60.0)).alias(f"__weight{i}") for i, w in enumerate(weights)
-    ])
-    numbered = weighted.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, samples, WIDTH)])).alias("__from"))
-    width = min(WIDTH, samples)
-    names = [[f"__{i}_{j}" for j in range(width)] for i in range(texts)]
-    entered = _samples(numbered, [*key, "__from"], width, texts)
-    least = entered.groupBy(*key, "__from").agg(*[F.min(x).alias(x) for some in names for x in some])
-    low = [F.array(*[F.col(x).bitwiseAND(F.lit(LOW)) for x in some]).alias(f"low{i}") for i, some in enumerate(names)]
-    digits = [
-        F.concat(*[F.lpad(F.hex(F.col(x).bitwiseAND(F.lit(LOW))), 8, "0") for x in some]).alias(f"text{i}")
-        for i, some in enumerate(names)
-    ]
-    parts = least.select(*key, F.struct("__from", *low, *digits).alias("__part"))
-    if carry:
-        # Columns that go along join here: in the aggregate above they would take most of its time.
-        # Both sides lie by the same columns, so the union does too, and nothing is shuffled.
-        parts = parts.unionByName(carried, allowMissingColumns=True)
+    counts = [f"__weight{i}" for i in range(texts)]
+    weighted = each.select(*key, *levels, plain(term).alias("__term"), *[w.alias(c) for w, c in zip(weights, counts)])
+    most = F.col(counts[0]) if texts == 1 else F.greatest(*counts)
+    numbered = weighted.select("*", F.explode(F.sequence(F.lit(1), most)).alias("__number"))
+    has = [F.col("__number") <= F.col(c) for c in counts]
+    level = F.col(levels[0]) if texts == 1 else (
+        F.when(has[0] & has[1], F.least(*levels)).when(has[0], F.col(levels[0])).otherwise(F.col(levels[1]))
+    )
+    # A text takes draws of its own level only: below it those of pairs that it has alone are left out.
+    tops = [f"__top{i}" for i in range(texts)]
+    pairs = numbered.select(
+        *key, *[F.when(h, F.lit(LEVELS) - F.col(x)).otherwise(-1).alias(top) for h, x, top in zip(has, levels, tops)],
+        level.alias("__level"), _pair(F.col("__term"), F.col("__number")).alias("__pair"),
+    )
+    entered = _entered(pairs, [*key, *tops], samples)
+    draws = [f"__draw{i}" for i in range(texts)]
+    least = entered.groupBy(*key, "__sample").agg(
+        *[F.min(F.when(F.shiftright("__draw", 59) <= F.col(top), F.col("__draw")).otherwise(NONE)).alias(d) for top, d in zip(tops, draws)]
+    )
+    parts = least.select(*key, F.struct("__sample", *draws).alias("__part"))
+    # Columns that go along, and the terms for samples without a draw, join here: in the aggregate
+    # above they would take most of its time.
+    # Both sides lie by the same columns, so the union does too, and nothing is shuffled.
+    parts = parts.unionByName(carried, allowMissingColumns=True)
     found = parts.groupBy(*key).agg(
-        F.sort_array(F.collect_list("__part")).alias("__parts"), *[F.min(c).alias(c) for c in carry]
-    ).where(F.size("__parts") > 0)
-    return found.select(*key, *carry, *[
-        F.slice(F.flatten(f"__parts.low{i}"), 1, samples).alias(f"signature{i or ''}") for i in range(texts)
-    ], *[
-        F.lower(F.substring(F.array_join(f"__parts.text{i}", ""), 1, 8 * samples)).alias(f"digits{i or ''}") for i in range(texts)
+        F.sort_array(F.collect_list("__part")).alias("__parts"),
+        F.first("__terms", ignorenulls=True).alias("__terms"), *[F.min(c).alias(c) for c in carry],
+    ).where(F.size("__terms") > 0)
+    numbers = F.sequence(F.lit(0), F.lit(samples - 1))
+    of_text = lambda d: F.filter("__parts", lambda x: x[d] != NONE)
+    entries = [of_text(d) for d in draws]
+    missing = found.select("*", *[
+        F.when(F.size(e) < samples, F.array_except(numbers, F.transform(e, lambda x: x["__sample"]))).alias(f"__missing{i}")
+        for i, e in enumerate(entries)
+    ])
+
+    def signature(i: int) -> Column:
+        entered = F.transform(entries[i], lambda x: F.struct(x["__sample"].alias("sample"), x[draws[i]].alias("draw")))
+        of = F.col("__terms") if texts == 1 else F.filter("__terms", lambda t: t.bitwiseAND(F.lit(1)) == i)
+        rest = F.zip_with(
+            F.col(f"__missing{i}"), _least_of_all(F.transform(of, plain), F.col(f"__missing{i}")),
+            lambda j, draw: F.struct(j.alias("sample"), draw.alias("draw")),
+        )
+        all_ = F.when(F.col(f"__missing{i}").isNull(), entered).when(
+            F.size(of) > 0, F.sort_array(F.concat(entered, rest))
+        )
+        return F.transform(all_, lambda x: x["draw"].bitwiseAND(F.lit(LOW)))
+
+    signed = missing.select(*key, *carry, *[signature(i).alias(f"signature{i or ''}") for i in range(texts)])
+    return signed.select("*", *[
+        F.lower(F.array_join(F.transform(f"signature{i or ''}", lambda x: F.lpad(F.hex(x), 8, "0")), "")).alias(f"digits{i or ''}")
+        for i in range(texts)
     ])
 
 

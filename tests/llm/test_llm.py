@@ -418,6 +418,67 @@ def test_likeness_of_single_pairs_at_the_production_number(spark):
     assert abs(np.mean(errors)) < 0.01
 
 
+def least_draws(text, samples):
+    """The sample of every number, from all draws of all pairs (term, number) of the text."""
+    hash_ = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    whole = lambda x: x.to_bytes(4, "little", signed=True)
+    pairs = []
+    for word, count in collections.Counter(words(text)).items():
+        term = hash_(word, 42) & ~1
+        first = hash_(term.to_bytes(8, "little"), 42)
+        pairs += [hash_(whole(i), first) for i in range(1, count + 1)]
+    out = []
+    for j in range(samples):
+        least = None
+        for pair in pairs:
+            seed, levels = hash_(pair.to_bytes(8, "little"), 42), fingerprints.LEVELS
+            above = next((i for i in range(levels) if not hash_(whole(-i - 1 - j // 64 * levels), seed) >> j % 64 & 1), levels)
+            rest = (hash_(whole(j), seed) & ((1 << 59) - 1)) >> 32
+            draw = (levels - above, rest, pair & 0xFFFFFFFF)
+            least = draw if least is None else min(least, draw)
+        out.append(least[2])
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 10])
+def test_samples_are_the_least_of_all_draws(spark, monkeypatch, least):
+    # With 1 many samples are without a draw at first and are worked out from all pairs.
+    monkeypatch.setattr(fingerprints, "LEAST", least)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n)) for n in (1, 3, 25, 90, 400)]
+    texts += ["ab " * 300, "ab " * 90 + texts[3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    terms = df.select("key", fingerprints.sorted_terms(df["text"]).alias("terms"))
+    got = {r["key"]: r["signature"] for r in fingerprints.signatures(terms, "key", "terms", 70).collect()}
+    assert got == {i: least_draws(t, 70) for i, t in enumerate(texts)}
+
+
+def test_two_texts_have_the_samples_of_each(spark, docs, rows, monkeypatch):
+    got = [(r["doc_id"], r["fingerprint"], r["edited_sha256"], r["edited_fingerprint"]) for r in
+           fingerprints.edited_likeness(docs, 64).collect()]
+    monkeypatch.setattr(fingerprints, "LEAST", 1)
+    again = [(r["doc_id"], r["fingerprint"], r["edited_sha256"], r["edited_fingerprint"]) for r in
+             fingerprints.edited_likeness(docs, 64).collect()]
+    assert collections.Counter(got) == collections.Counter(again)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    sign = lambda t: "".join(f"{x:08x}" for x in least_draws(t, 64)) if words(t) else "-" * 8 * 64
+    want = collections.Counter()
+    for r, after in zip(order, order[1:] + order[:1]):
+        text, nxt = r[1] or "", after[1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + nxt[:half]
+        if len(text) < 9000:
+            want[r[0], sign(text), hashlib.sha256(edited.encode()).hexdigest(), sign(edited)] += 1
+    assert not want - collections.Counter(got) and len(want) > 10
+
+
+def test_few_draws_are_worked_out(spark):
+    rows = [(i, i, 5) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "key long, __pair long, __level int")
+    entered = fingerprints._entered(pairs, ["key"], 128).count()
+    assert abs(entered - 400 * 128 / 32) < 200
+
+
 def test_followers_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_BYTES", 200)
     texts = [" ".join(f"w{i // 2}x{j}" for j in range(30)) for i in range(40)]
