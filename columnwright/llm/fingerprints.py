@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from columnwright.llm.ranges import id_ranges
 
@@ -39,7 +39,9 @@ LEVELS = 12
 # Pairs wanted for each sample at least, on average.
 LEAST = 10
 SEPARATORS = r"[\x20\x09-\x0D]+"
-RANGE_BYTES = 8_000_000
+RANGE_BYTES = 16_000_000
+# What a document weighs besides its text: its samples take memory however short it is.
+DOCUMENT_BYTES = 4096
 LOW = (1 << 32) - 1
 # Greater than any draw.
 NONE = (1 << 63) - 1
@@ -251,26 +253,50 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / F.lit(float(samples)))
 
 
+def _weighed(plain: DataFrame) -> DataFrame:
+    """A row for each ``DOCUMENT_BYTES`` of a document's weight, so that a sketch of ids goes by weight."""
+    units = (F.lit(1) + F.floor(F.octet_length("text") / DOCUMENT_BYTES)).cast("int")
+    return plain.select("doc_id", F.explode(F.array_repeat(F.lit(DOCUMENT_BYTES), units)).alias("bytes"))
+
+
+def _spread(spark: SparkSession, n: int) -> list[int]:
+    """``n`` different numbers that ``repartition(n)`` by the number deals one to each partition.
+
+    Of 32 candidates for each partition none fits with a probability of e^-32; such a partition
+    stays empty, and another has two numbers.
+    """
+    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = [r["id"] for r in spark.range(32 * n).groupBy(part).agg(F.min("id").alias("id")).collect()]
+    return [*found, *range(32 * n, 33 * n - len(found))]
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), ``range``, ``place`` in it, and the text of the next document.
 
     Ranges of ids are ordered on their own; the first document of each range stands once more
     at the end of the range before it (of the last one for the first) with ``border`` 1, so every
-    row finds its follower in its own range. Texts are shuffled once.
+    row finds its follower in its own range. Texts are shuffled once. A range is a partition of
+    its own, whatever the session's number of partitions: what a task holds follows from the
+    weight of a range.
     """
     plain = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = id_ranges(plain, F.octet_length("text"), RANGE_BYTES)
-    marked = ranges.mark(plain, "range").withColumn("border", F.lit(0))
+    spark = documents.sparkSession
+    ranges = id_ranges(_weighed(plain), F.col("bytes"), RANGE_BYTES)
+    labels = _spread(spark, ranges.count)
+    label = spark.createDataFrame(list(enumerate(labels)), "number int, range int")
+    marked = (
+        ranges.mark(plain, "number").join(F.broadcast(label), "number")
+        .select("doc_id", "text", "number", "range", F.lit(0).alias("border"))
+    )
     # One row per range; the text is looked up for these ids only.
-    lowest = marked.groupBy("range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("open"))
-    heads = {r["range"]: None if r["open"] else r["id"] for r in lowest.collect()}
+    lowest = marked.groupBy("number").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("open"))
+    heads = {r["number"]: None if r["open"] else r["id"] for r in lowest.collect()}
     order = sorted(heads)
     before = {r: order[i - 1] for i, r in enumerate(order)}
     if not order:
         return marked.select("doc_id", "text", "range", "border", F.lit(0).alias("place"), F.col("text").alias("next_text"))
-    spark = documents.sparkSession
     names = spark.createDataFrame(
-        [(r, heads[r], before[r]) for r in order], f"range int, id {documents.schema['doc_id'].dataType.simpleString()}, to int"
+        [(labels[r], heads[r], labels[before[r]]) for r in order], f"range int, id {documents.schema['doc_id'].dataType.simpleString()}, to int"
     )
     first = (
         marked.join(F.broadcast(names), "range").where(F.col("doc_id").eqNullSafe(F.col("id")))
@@ -279,7 +305,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     )
     along = Window.partitionBy("range").orderBy("border", F.col("doc_id").asc_nulls_first(), "text")
     return (
-        marked.select("doc_id", "text", "range", "border").unionByName(first)
+        marked.select("doc_id", "text", "range", "border").unionByName(first).repartition(ranges.count, "range")
         .withColumn("place", F.row_number().over(along)).withColumn("next_text", F.lead("text").over(along))
     )
 

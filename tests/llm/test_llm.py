@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions
 
 import corpus_pipeline
 from columnwright.llm import (fingerprints, importance, linerules, mixing, packing, queries, simhash, suffixes,
@@ -487,6 +488,24 @@ def test_followers_across_ranges(spark, monkeypatch):
     assert got == {i: float(i % 2 == 0) for i in range(40)}
 
 
+def test_a_task_holds_one_range_of_bounded_weight(spark, monkeypatch):
+    # Many short texts, then long ones that lie together; three rows have no id, one id comes twice.
+    texts = [f"a{i} b{i // 2}" for i in range(300)] + [" ".join(f"{i}w{j % 900}" for j in range(6000)) for i in range(6)]
+    data = [(None if i < 3 else 10 if i == 11 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    whole = collections.Counter(map(tuple, fingerprints.edited_likeness(df, 64).collect()))
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 40_000)
+    part = functions.spark_partition_id().alias("part")
+    rows = fingerprints.with_next(df).select(part, "range", "border", functions.octet_length("text").alias("bytes")).collect()
+    assert len(rows) == len(data) + len({r["range"] for r in rows})
+    assert len({r["part"] for r in rows}) == len({(r["part"], r["range"]) for r in rows}) > 30
+    weight = collections.Counter()
+    for r in rows:
+        weight[r["part"]] += (1 - r["border"]) * (4096 + r["bytes"])
+    assert max(weight.values()) < 2 * 40_000
+    assert collections.Counter(map(tuple, fingerprints.edited_likeness(df, 64).collect())) == whole
+
+
 def test_fingerprint_plan_has_no_python(spark, docs):
     plan = fingerprints.edited_likeness(docs)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "ArrowEval", "MapInArrow"))
